@@ -30,7 +30,8 @@ from .common import SPLIT_OF_TEXT, documents, parts, spread_join, staged
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit from the top, length
-FRONTIER = 400_000
+FRONTIER = 100_000
+EDGES_A_TASK = 500_000
 _WORDS = re.compile(SPLIT_OF_TEXT)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TO_64 = np.uint64
@@ -164,22 +165,37 @@ def links(distinct: DataFrame, tasks: int | None = None) -> DataFrame:
     return dealt.select("fp", "block").mapInPandas(_join, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node with an edge: the smallest node it is connected to.
+def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One task's edges to (node, component)."""
+    got = [f.to_numpy(np.int64) for f in frames if len(f)]
+    if got:
+        nodes, ends = np.unique(np.concatenate(got), return_inverse=True)
+        ends = ends.reshape(-1, 2)
+        member, root = forest(len(nodes), iter([(ends[:, 0], ends[:, 1])]))
+        yield pd.DataFrame({"node": nodes[member], "component": nodes[root]})
 
-    Alternates two steps until nothing changes: every node's larger neighbours are joined to its smallest neighbour, and
-    every node's smaller neighbours are joined to the smallest of them.
+
+def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
+    """(node, component) of every node that has a smaller one in its component: the smallest there.
+
+    Edges are dealt to as many tasks as their number asks for, and each task replaces its edges by a forest. One task
+    is the whole answer; several go on with two alternating steps until nothing changes: every node's larger neighbours
+    are joined to its smallest neighbour, and every node's smaller neighbours are joined to the smallest of them.
     """
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges = staged(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    tasks = max(1, -(-edges.count() // edges_a_task))
+    dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
+    solved = dealt.mapInPandas(_solve, "node long, component long")
+    if tasks == 1:
+        return solved
+    edges, before = staged(solved.toDF("a", "b").distinct()), None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
-        large = staged(large)
+        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionAll(low.select("a", F.col("low").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        edges = staged(small)
+        met = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
+        edges = staged(met.unionAll(low.select("a", F.col("low").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
