@@ -38,13 +38,13 @@ _WORD = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = ".,;:!?*#%$&)\"'"
 
 
-class WordIds(dict):
+class WordIds:
     """Ids, as bytes, of white-space separated words; a word is encoded once while it is remembered.
 
     Two generations of at most ``most`` words bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,19 +58,19 @@ class WordIds(dict):
         self.ends = np.zeros(size, bool)
         for token, k in self.whole.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
-        self.old, self.most, self.tails = {}, most, {}
+        self.now, self.old, self.most, self.tails = {}, {}, most, {}
 
     def encode(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        now = self.now
         cores, rest = {}, []
         for w in words:
             if (got := self.old.get(w)) is not None:
-                self[w] = got
+                now[w] = got
             elif _WORD.fullmatch(core := w.rstrip(_TAIL)):
                 cores.setdefault(core, []).append(w)
             else:
@@ -86,9 +86,9 @@ class WordIds(dict):
             for core, end in zip(some, ends.tolist(), strict=True):
                 head, at = ids[at:end].tobytes(), end
                 for w in cores[core]:
-                    self[w] = head + self._tail(w[len(core) :])
+                    now[w] = head + self._tail(w[len(core) :])
         for w in rest:
-            self[w] = self.encode(w)
+            now[w] = self.encode(w)
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
@@ -97,19 +97,30 @@ class WordIds(dict):
         return self.tails[tail]
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if _ODD.search(t) else t.lower().split() for t in texts]
-        new = set().union(*[w for w in split if w]) - self.keys()
-        if new or len(self) > self.most:
-            self.learn(new)
-        for text, words in zip(texts, split, strict=True):
-            if words is None:
-                yield self.encode(text)
+        rows, missing, get = [], set(), self.now.get
+        for text in texts:
+            if _ODD.search(text):
+                rows.append((self.encode(text), None, None))
+                continue
+            words = text.lower().split()
+            ids = list(map(get, words))
+            gaps = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
+            if gaps:
+                words = [words[k] for k in gaps]
+                missing.update(words)
+                rows.append((ids, gaps, words))
             else:
-                try:
-                    yield b"".join(map(self.__getitem__, words))
-                except KeyError:  # forgotten within this batch
-                    self.learn(set(words) - self.keys())
-                    yield b"".join([self[w] if w in self else self.encode(w) for w in words])
+                rows.append((b"".join(ids), None, None))
+        if missing:
+            self.learn(missing)
+        now = self.now
+        for ids, gaps, words in rows:
+            if gaps is None:
+                yield ids
+            else:
+                for k, w in zip(gaps, words, strict=True):
+                    ids[k] = now[w]
+                yield b"".join(ids)
 
 
 _LOADED: dict[str, WordIds] = {}
