@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: labels belong to documents, scores to sentences.
 
-A sentence's probability is a logistic function of its words; a document's is their noisy-or, 1 - prod(1 - p). Word
+A sentence's probability is a logistic function of its words and their prefixes; a document's is their noisy-or, 1 - prod(1 - p). Word
 weights are trained from document labels through the noisy-or with a soft threshold that keeps the weight list short,
 on a bounded sample of labelled rows (``TRAIN_ROWS``, the smallest hashes of doc_id). Every sentence of every text is
 then scored where the text lies, and the sentence with the largest probability is located.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, fold
 
-TRAIN_ROWS, LEAST_DOCS, STEPS = 5000, 3, 150
+TRAIN_ROWS, LEAST_DOCS, STEPS, SPARSE = 5000, 3, 200, 1e-4
+PREFIXES = (5, 6, 7)
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]+")
 _STOP = re.compile(r"[.!?\n]+")
 SCORES = "doc_id long, score double, worst_start int, worst_end int, worst_score double"
@@ -40,9 +41,34 @@ def _tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def features(word: str) -> list[str]:
+    """The word, and its prefixes marked as such."""
+    return [word, *[f"{word[:k]}-" for k in PREFIXES if len(word) > k]]
+
+
+class _Totals(dict):
+    """Words' summed feature weights, worked out when first met; forgotten when there are too many."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return got
+
+
 class NoisyOr:
     def __init__(self, weights: dict[str, float], bias: float):
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.totals = weights, bias, _Totals(weights)
+
+    def __getstate__(self):
+        return self.weights, self.bias
+
+    def __setstate__(self, state):
+        self.__init__(*state)
 
     def sentences(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and probabilities of the sentences that have words."""
@@ -50,7 +76,7 @@ class NoisyOr:
         if not tokens:
             return np.empty(0, int), np.empty(0)
         ends = np.fromiter((t[0] in ".!?\n" for t in tokens), bool, len(tokens))
-        score = np.fromiter(map(self.weights.get, tokens, _ZEROS(len(tokens))), float, len(tokens))
+        score = np.fromiter(map(self.totals.__getitem__, tokens), float, len(tokens))
         which = np.cumsum(ends)
         words = np.bincount(which, ~ends)
         z = np.bincount(which, score) + self.bias
@@ -65,20 +91,16 @@ class NoisyOr:
         return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(some[best]), float(p[best])
 
 
-def _ZEROS(n: int):
-    from itertools import repeat
-
-    return repeat(0.0, n)
-
-
-def fit(texts: list[str], labels: list[int], steps: int = STEPS, least: int = LEAST_DOCS, sparse: float = 2e-4) -> NoisyOr:
+def fit(texts: list[str], labels: list[int], steps: int = STEPS, least: int = LEAST_DOCS, sparse: float = SPARSE) -> NoisyOr:
     share = float(np.mean(labels)) if len(labels) else 0.0
     if not 0 < share < 1:
         return NoisyOr({}, -30.0 if share == 0 else 30.0)
     split = [_tokens(t) for t in texts]
-    seen = Counter(w for s in split for w in set(s))
-    words = sorted(w for w, n in seen.items() if n >= least and w[0] not in ".!?\n")
-    number = {w: k for k, w in enumerate(words)}
+    parts_of = {w: features(w) for s in split for w in s if w[0] not in ".!?\n"}
+    seen = Counter(f for s in split for f in {f for w in set(s) for f in parts_of.get(w, ())})
+    words = sorted(f for f, n in seen.items() if n >= least)
+    number = {f: k for k, f in enumerate(words)}
+    numbers = {w: [number[f] for f in fs if f in number] for w, fs in parts_of.items()}
     word, sentence, bag, sentences = [], [], [], 0
     for d, tokens in enumerate(split):
         had = False
@@ -89,10 +111,8 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, least: int = LE
             if not had:
                 had, sentences = True, sentences + 1
                 bag.append(d)
-            k = number.get(t)
-            if k is not None:
-                word.append(k)
-                sentence.append(sentences - 1)
+            word += numbers[t]
+            sentence += [sentences - 1] * len(numbers[t])
     if not sentences or not words:
         return NoisyOr({}, float(np.log(share / (1 - share))))
     word, sentence, bag, y = np.array(word), np.array(sentence), np.array(bag), np.array(labels, float)
