@@ -29,22 +29,33 @@ from .common import documents, staged
 LENGTH, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-PIECES_A_GROUP = 25_000
+PIECES_A_GROUP = 8_000
 
 # Words of these characters can be encoded one by one: white space ends a word in the tokenizer as in str.split, and
 # lower-casing and composition don't reach beyond a word.
 _ODD = re.compile("[^\t-\r -~¡-ſ]|<\\|")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
 _WORD = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = ".,;:!?*#%$&)\"'"
 
 
+def _plain(text: str) -> bool:
+    """Whether the text can be encoded word by word."""
+    if "<|" in text or any(c in text for c in _ODD_SPACES):
+        return False
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return not _ODD.search(text)
+
+
 class WordIds:
     """Ids, as bytes, of white-space separated words; a word is encoded once while it is remembered.
 
     Two generations of at most ``most`` words bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,9 +87,9 @@ class WordIds:
             else:
                 rest.append(w)
         plain = list(cores)
-        for k in range(0, len(plain), 50):
-            some = plain[k : k + 50]
-            ids = np.array(self.plain.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        lists = [plain[k : k + 50] for k in range(0, len(plain), 50)]
+        for some, got in zip(lists, self.plain.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("the vocabulary doesn't mark the ends of words")
@@ -99,7 +110,7 @@ class WordIds:
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         rows, missing, get = [], set(), self.now.get
         for text in texts:
-            if _ODD.search(text):
+            if not _plain(text):
                 rows.append((self.encode(text), None, None))
                 continue
             words = text.lower().split()
