@@ -49,7 +49,7 @@ def near_corridor(near: DataFrame, variants: list[str], metres: float, beyond: b
 
 def _crosses(lat: Column, lon: Column) -> Column:
     """Whether a ray from the point to the east crosses the edge."""
-    return ((F.col("a_lat") > lat) != (F.col("b_lat") > lat)) & (lon < (F.col("b_lon") - F.col("a_lon")) * (lat - F.col("a_lat")) / (F.col("b_lat") - F.col("a_lat")) + F.col("a_lon"))
+    return ((F.col("a_lat") > lat) != (F.col("b_lat") > lat)) & (lon < (F.col("b_lon") - F.col("a_lon")) * (lat - F.col("a_lat")) / F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0.0)) + F.col("a_lon"))
 
 
 def containing_units(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def containing_units(points: DataFrame, edges: DataFrame) -> DataFrame:
                                               F.collect_list(F.struct("a_lat", "a_lon", "b_lat", "b_lon")).alias("edges"))
     located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon")
     met = located.join(boxes, F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
-    odd = F.size(F.filter("edges", lambda x: ((x.a_lat > F.col("lat")) != (x.b_lat > F.col("lat"))) & (F.col("lon") < (x.b_lon - x.a_lon) * (F.col("lat") - x.a_lat) / (x.b_lat - x.a_lat) + x.a_lon))) % 2 == 1
+    odd = F.size(F.filter("edges", lambda x: ((x.a_lat > F.col("lat")) != (x.b_lat > F.col("lat"))) & (F.col("lon") < (x.b_lon - x.a_lon) * (F.col("lat") - x.a_lat) / F.nullif(x.b_lat - x.a_lat, F.lit(0.0)) + x.a_lon))) % 2 == 1
     return met.where(odd).select("listing_id", "terc")
 
 
@@ -86,7 +86,7 @@ def units_meeting(edges: DataFrame, area: tuple[float, float, float, float]) ->
     for (p_lat, p_lon), (q_lat, q_lon) in zip(corners, corners[1:] + corners[:1], strict=True):
         p_lat, p_lon, q_lat, q_lon = map(F.lit, (p_lat, p_lon, q_lat, q_lon))
         crossing = crossing | ((turn(a_lon, a_lat, b_lon, b_lat, p_lon, p_lat) != turn(a_lon, a_lat, b_lon, b_lat, q_lon, q_lat)) & (turn(p_lon, p_lat, q_lon, q_lat, a_lon, a_lat) != turn(p_lon, p_lat, q_lon, q_lat, b_lon, b_lat)))
-    inside = [(F.count_if(_crosses(F.lit(lat), F.lit(lon))) % 2 == 1) for lat, lon in corners]
+    inside = [(F.count_if(F.coalesce(_crosses(F.lit(lat), F.lit(lon)), F.lit(False))) % 2 == 1) for lat, lon in corners]
     rings = edges.groupBy("terc", "ring").agg(F.bool_or(vertex).alias("v"), F.bool_or(crossing).alias("x"), (inside[0] | inside[1] | inside[2] | inside[3]).alias("c"))
     return rings.where("v or x or c").select("terc").distinct()
 

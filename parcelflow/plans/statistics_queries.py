@@ -66,8 +66,8 @@ def price_histogram_adaptive(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CUR_SQL}, own AS (SELECT source, kind, count(*) AS own FROM cur WHERE last_seen_at >= TIMESTAMP '1997-06-01' GROUP BY source, kind),
-rep AS (SELECT o_orderkey, list_extract({SOURCES}, CAST(o_orderkey%7+1 AS INT)) AS source, CASE WHEN o_custkey%3=0 THEN 'house' ELSE 'plot' END AS kind, o_custkey % 20 AS place, CAST(floor(o_totalprice/100) AS BIGINT) AS total, o_orderdate AS at FROM orders),
-last AS (SELECT source, kind, place, arg_max(total, (at, o_orderkey)) AS total FROM rep WHERE place <> 19 GROUP BY source, kind, place), sums AS (SELECT source, kind, sum(total) AS total FROM last GROUP BY source, kind)
+rep AS (SELECT o_orderkey, list_extract({SOURCES}, CAST(o_orderkey%7+1 AS INT)) AS source, CASE WHEN o_custkey%3=0 THEN 'house' ELSE 'plot' END AS kind, o_custkey % 20 AS place, CAST(floor(o_totalprice/100) AS BIGINT) AS total, o_orderdate AS stamp FROM orders),
+last AS (SELECT source, kind, place, arg_max(total, row(stamp, o_orderkey)) AS total FROM rep WHERE place <> 19 GROUP BY source, kind, place), sums AS (SELECT source, kind, sum(total) AS total FROM last GROUP BY source, kind)
 SELECT source, kind, coalesce(own, 0) AS own, CAST(coalesce(total, 0) AS BIGINT) AS reported, CASE WHEN coalesce(total,0) > 0 THEN least(100, CAST(floor(coalesce(own,0)*CAST(100 AS DOUBLE)/total+0.5) AS BIGINT)) END AS percent FROM own FULL JOIN sums USING (source, kind)""")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     own = current(spark, d).where(F.col("last_seen_at") >= F.lit("1997-06-01").cast("timestamp_ntz")).groupBy("source", "kind").agg(F.count("*").alias("own"))
@@ -109,14 +109,14 @@ def stop_page(spark: SparkSession, d: str) -> DataFrame:
     return stats.stop_pages(pages, ["walk", "m"])
 
 
-_RUNS = "r AS (SELECT CAST(ts AS DATE) AS run, event_id, event_type, value, CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'done' WHEN 2 THEN 'done' WHEN 3 THEN 'queued' WHEN 4 THEN 'done' ELSE 'running' END AS status, ts FROM events)"
+_RUNS = "r AS (SELECT strftime(ts, '%Y-%m-%d') AS run, event_id, event_type, value, CASE event_id % 6 WHEN 0 THEN 'failed' WHEN 1 THEN 'done' WHEN 2 THEN 'done' WHEN 3 THEN 'queued' WHEN 4 THEN 'done' ELSE 'running' END AS status, ts FROM events)"
 _STATUSES = ["queued", "running", "done", "failed", "cancelled"]
 
 
 def _jobs(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id") % 6
     status = F.when(k == 0, "failed").when(k == 3, "queued").when(k == 5, "running").otherwise("done")
-    return spark.read.parquet(f"{d}/events.parquet").select(F.to_date("ts").alias("run"), "event_id", "event_type", "value", status.alias("status"), "ts")
+    return spark.read.parquet(f"{d}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("run"), "event_id", "event_type", "value", status.alias("status"), "ts")
 
 
 @query(f"""WITH {_RUNS} SELECT run, {", ".join(f"count(*) FILTER (WHERE status='{s}') AS {s}" for s in _STATUSES)}, CAST(sum(floor(value)) AS BIGINT) AS total,
