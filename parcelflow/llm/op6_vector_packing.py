@@ -35,7 +35,6 @@ PIECES_A_GROUP = 8_000
 # lower-casing and composition don't reach beyond a word.
 _ODD = re.compile("[^\t-\r -~¡-ſ]|<\\|")
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
-_WORD = re.compile("[a-zß-öø-ÿ]+")
 _TAIL = ".,;:!?*#%$&)\"'"
 
 
@@ -55,7 +54,7 @@ class WordIds:
     Two generations of at most ``most`` words bound the memory.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,26 +77,26 @@ class WordIds:
         if len(self.now) > self.most:
             self.now, self.old = {}, self.now
         now = self.now
-        cores, rest = {}, []
+        found, old, cores, rest = [], self.old.get, {}, []
         for w in words:
-            if (got := self.old.get(w)) is not None:
+            if (got := old(w)) is not None:
                 now[w] = got
-            elif _WORD.fullmatch(core := w.rstrip(_TAIL)):
-                cores.setdefault(core, []).append(w)
+                continue
+            core = w.rstrip(_TAIL)
+            if core.isalpha():
+                found.append((w, cores.setdefault(core, len(cores)), w[len(core) :]))
             else:
                 rest.append(w)
         plain = list(cores)
-        lists = [plain[k : k + 50] for k in range(0, len(plain), 50)]
-        for some, got in zip(lists, self.plain.encode_batch_fast([" ".join(x) for x in lists], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, "<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
+        lists = [" ".join(plain[k : k + 50]) for k in range(0, len(plain), 50)]
+        if lists:
+            ids = np.concatenate([np.array(x.ids, "<u4") for x in self.plain.encode_batch_fast(lists, add_special_tokens=False)])
+            ends = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            if len(ends) != len(plain) + 1:
                 raise ValueError("the vocabulary doesn't mark the ends of words")
-            at = 0
-            for core, end in zip(some, ends.tolist(), strict=True):
-                head, at = ids[at:end].tobytes(), end
-                for w in cores[core]:
-                    now[w] = head + self._tail(w[len(core) :])
+            raw, tail_of = ids.tobytes(), self._tail
+            for w, k, tail in found:
+                now[w] = raw[ends[k] : ends[k + 1]] + tail_of(tail) if tail else raw[ends[k] : ends[k + 1]]
         for w in rest:
             now[w] = self.encode(w)
 
