@@ -86,6 +86,8 @@ def class_prior(p: np.ndarray, u: np.ndarray, steps: int = STEPS) -> float:
     """Least ratio of shares above a threshold of a positive-versus-unlabelled classifier, on rows held back from it."""
     if len(p) < 8 or len(u) < 8:
         return 0.5
+    deal = np.random.default_rng(0)
+    p, u = p[deal.permutation(len(p))], u[deal.permutation(len(u))]
     half_p, half_u = len(p) // 2, len(u) // 2
     a, b = p[:half_p], u[:half_u]
     w, c = _descend(lambda w, c: _gradient(a, (_sigmoid(a @ w + c) - 1) / len(a)) + _gradient(b, _sigmoid(b @ w + c) / len(b)), p.shape[1], steps, 1e-3)
