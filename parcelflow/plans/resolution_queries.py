@@ -117,11 +117,13 @@ def title_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("a.listing_id").alias("a_id"), F.col("b.listing_id").alias("b_id"), F.round(sim, 9).alias("title_sim"))
 
 
-@query(f"""WITH s AS (SELECT s_suppkey, {_tokens_sql("s_name || ' ' || n_name || ' real estate'", 2, text.SELLER_NOISE)} AS seller FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+@query(f"""WITH s AS (SELECT s_suppkey, {_tokens_sql("CASE WHEN s_suppkey % 2 = 0 THEN n_name || ' real estate' ELSE n_name || ' Team' || CAST(s_suppkey % 7 AS VARCHAR) END", 2, text.SELLER_NOISE)} AS seller FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey AND len(a.seller) > 0 AND len(b.seller) > 0 AND list_has_all(a.seller, b.seller)""")
 def seller_match(spark: SparkSession, d: str) -> DataFrame:
     s, n = spark.read.parquet(f"{d}/supplier.parquet"), spark.read.parquet(f"{d}/nation.parquet")
-    named = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", text.seller_tokens(F.concat_ws(" ", "s_name", "n_name", F.lit("real estate"))).alias("seller"))
+    team = F.concat(F.lit("Team"), (F.col("s_suppkey") % 7).cast("string"))
+    name = F.concat_ws(" ", "n_name", F.when(F.col("s_suppkey") % 2 == 0, "real estate").otherwise(team))
+    named = s.join(n, s.s_nationkey == n.n_nationkey).select("s_suppkey", text.seller_tokens(name).alias("seller"))
     return blocking.same_sellers(named, "s_suppkey")
 
 
