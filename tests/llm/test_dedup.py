@@ -157,3 +157,16 @@ def test_repeated_passages_are_found_and_clean_documents_left(docs, rows):
     assert exact <= set(found) and all(d in exact | {112, 30} for d in found)
     passage = next(r for r in got if r.doc_id == 110)
     assert (passage.start_word, passage.end_word, passage.similarity) == (5, 65, 1.0)
+
+
+def test_passages_with_a_line_that_other_documents_hold(spark):
+    docs, want = [], set()
+    for k in range(12):
+        for others, width in ((3, 0), (30, 50_000)):
+            line, at = words(30, 500 + k, 10**6), 10_000 * k + width * 10
+            around = [words(15, 600 + k + width, 10**6), words(15, 700 + k + width, 10**6)]
+            docs += [(at + i, f"{words(20, at + i, 10**6)} {line} {words(20, at + i + 500, 10**6)}") for i in range(1, others)]
+            docs += [(at + i, f"{words(20, at + i, 10**6)} {around[0]} {line} {around[1]} {words(20, at + i + 500, 10**6)}") for i in (0, others)]
+            want.add((at, at + others))
+    got = op9.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
