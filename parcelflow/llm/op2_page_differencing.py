@@ -133,8 +133,7 @@ def extract(lines: list[str], marks: list[int], partner: list[str] | None) -> tu
     """The main text, and how many lines the partner shares."""
     shared = common_lines(lines, partner) if partner else []
     gone = set(shared) if not _copy(lines, shared) else set()
-    has_article = any(m == MAIN for m in marks)
-    keep = [line for k, (line, m) in enumerate(zip(lines, marks, strict=True)) if not m & SKIP and (m & MAIN if has_article else k not in gone)]
+    keep = [line for k, (line, m) in enumerate(zip(lines, marks, strict=True)) if not m & SKIP and (m & MAIN or k not in gone)]
     return "\n\n".join(keep), len(shared)
 
 

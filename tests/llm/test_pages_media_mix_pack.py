@@ -51,6 +51,13 @@ def test_pages(spark):
     assert all(r.n_chars == len(r.text) for r in op2.main_text(df).collect()) and op2.main_text(df.where("false")).count() == 0
 
 
+def test_lines_outside_an_article_are_differenced(spark):
+    body = "<div>Home</div><div><p>{0} text, first part</p><p>{0} text, second part</p></div><article>Read {0} as well</article><article>Same teaser</article><p>All rights reserved</p>"
+    df = spark.createDataFrame([(k, f"http://a.org/{k}", page(body.format(name))) for k, name in enumerate(("Long", "Short"))], "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in op2.main_text(df, 1).collect()}
+    assert got == {k: [f"{name} text, first part", f"{name} text, second part", f"Read {name} as well", "Same teaser"] for k, name in enumerate(("Long", "Short"))}
+
+
 @pytest.mark.parametrize("n", [0, 1, 64, 121, 122, 1417, 1418, 100_000])
 def test_media_round_trip(n):
     payload = bytes(k * 7 % 251 for k in range(n))
