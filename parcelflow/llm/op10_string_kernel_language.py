@@ -1,7 +1,7 @@
 """Language identification with a blended-spectrum string kernel.
 
 A text's features are the distinct letter n-grams of lengths 1 to 3 that it holds (runs of other characters are one
-boundary; letters that no landmark has share one symbol). k(x, z) is the number of common n-grams over the geometric
+boundary; letters that no training text has share one symbol). k(x, z) is the number of common n-grams over the geometric
 mean of both counts. Landmark texts give Nystroem features K(x, Z) K(Z, Z)^(-1/2); a one-versus-rest ridge regression
 over them gives a language's margin. Batches of texts are scored by two matrix products. The model is fitted on a
 bounded sample (``TRAIN_ROWS``, ``LANDMARKS`` a language) of rows with a language, outside the held-out fold.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import documents, fold
 
 TRAIN_ROWS, LANDMARKS, RIDGE, BATCH = 3000, 20, 1e-2, 256
+DENSE, CELLS = 122, 1 << 25  # symbols up to which n-grams are marked in an array; values of a presence matrix at once
 _LETTER: list[np.ndarray] = []
 
 
@@ -55,6 +56,9 @@ class Alphabet:
         if len(s) < 3:
             return np.empty(0, np.int64)
         n, two = self.base, s[:-1] * self.base + s[1:]
+        if n > DENSE:
+            found = np.unique(np.concatenate([s, n + two, n + n * n + two[:-1] * n + s[2:]]))
+            return found[found != 0]
         seen = np.zeros(n + n * n + n * n * n, bool)
         seen[s] = True
         seen[0] = False
@@ -69,6 +73,10 @@ class KernelModel:
 
     def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Kernel values with the landmarks, and which texts have a letter."""
+        most = max(1, CELLS // max(1, len(self.grams)))
+        if len(texts) > most:
+            some = [self.kernel(texts[k : k + most]) for k in range(0, len(texts), most)]
+            return np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some])
         present, norm = np.zeros((len(texts), len(self.grams)), np.float32), np.ones(len(texts), np.float32)
         for k, text in enumerate(texts):
             own = self.alphabet.grams(text)
@@ -90,10 +98,6 @@ class KernelModel:
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> KernelModel:
     classes = sorted(set(langs))
     alphabet = Alphabet(sorted({c for t in texts for c in set(t.lower()) if c.isalpha() and len(c) == 1}))
-    if len(alphabet.letters) > 120:  # keep the commonest letters so that n-gram numbers stay small
-        from collections import Counter
-
-        alphabet = Alphabet(sorted(c for c, _ in Counter(c for t in texts for c in set(t.lower()) if c.isalpha()).most_common(120)))
     sets = [alphabet.grams(t) for t in texts]
     usable = [k for k, s in enumerate(sets) if len(s)]
     if not usable:

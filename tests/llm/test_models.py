@@ -85,3 +85,19 @@ def test_models_on_odd_rows(docs, empty):
     assert op3.offending_sentences(docs, model).where("doc_id = 106").first().sentence == "one two"
     pu = op4.fit(np.ones((20, 18)), np.zeros((20, 18)), prior=0.5)
     assert op4.score_documents(docs, pu).count() == docs.count() and op4.score_documents(empty, pu).count() == 0
+
+
+def test_every_letter_of_large_scripts_keeps_its_symbol():
+    scripts = {"x": [chr(0x4E00 + k) for k in range(400)], "y": [chr(0x6000 + k) for k in range(400)]}
+    r = np.random.default_rng(4)
+    texts = [("".join(r.choice(letters, 60)), lang) for lang, letters in scripts.items() for _ in range(60)]
+    model = op10.fit([t for t, _ in texts], [lang for _, lang in texts])
+    assert len(model.alphabet.letters) == len({c for t, _ in texts for c in t}) > 700
+    assert model.predict(["".join(r.choice(letters, 40)) for letters in scripts.values() for _ in range(50)])[0] == ["x"] * 50 + ["y"] * 50
+    small, large = op10.Alphabet(["a", "b"]), op10.DENSE
+    want = small.grams("ab, ba aab").tolist()
+    op10.DENSE = 0
+    try:
+        assert small.grams("ab, ba aab").tolist() == want
+    finally:
+        op10.DENSE = large
