@@ -130,12 +130,24 @@ def test_components_of_long_chains_in_one_task_and_in_many(spark):
 def test_compact_windows_cover_every_subsequence_once():
     r = random.Random(2)
     for n in (0, 5, 30, 80):
-        h = np.array([r.randrange(40) for _ in range(n)], np.uint64)
-        nodes = op9.compact_windows(h, 6)
-        for i in range(n):
-            for j in range(i + 5, n):
-                hits = [c for left, c, right in nodes if left <= i <= c <= j <= right]
-                assert len(hits) == 1 and h[hits[0]] == h[i : j + 1].min()
+        h = np.array([r.randrange(40) for _ in range(2 * n)], np.uint64)
+        nodes = list(zip(*(x.tolist() for x in op9.compact_windows(h, np.array([0, n]), np.array([n, 2 * n]), 6))))
+        for start in (0, n):
+            for i in range(start, start + n):
+                for j in range(i + 5, start + n):
+                    hits = [c for left, c, right in nodes if left <= i <= c <= j <= right]
+                    assert len(hits) == 1 and h[hits[0]] == h[i : j + 1].min()
+        assert all(right < n or left >= n for left, _, right in nodes)
+
+
+def test_shingles_of_joined_texts_are_those_of_each():
+    texts = [words(60, 1), None, "", words(49, 2), words(50, 3), words(300, 4)]
+    joined, starts = op9.shingled(texts)
+    for k, t in enumerate(texts):
+        w = (t or "").lower().split()
+        own = joined[starts[k] : starts[k + 1]]
+        assert own.tolist() == op9.shingles(t).tolist() and len(own) == (len(w) - 4 if len(w) >= 50 else 0)
+        assert len(set(own.tolist())) == len({tuple(w[i : i + 5]) for i in range(len(own))})
 
 
 def test_longest_stretch():
@@ -170,3 +182,58 @@ def test_passages_with_a_line_that_other_documents_hold(spark):
             want.add((at, at + others))
     got = op9.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
+
+
+def test_passages_survive_a_shorter_copy_between_them(spark):
+    docs, want = [], set()
+    for k in range(60):
+        passage, other = words(60, 900 + k, 10**6), lambda n, k=k: words(40, 10_000 + 10 * k + n, 10**6)
+        docs += [(3 * k, f"{other(0)} {passage} {other(1)}"), (3 * k + 1, f"{other(2)} {' '.join(passage.split()[8:52])} {other(3)}"), (3 * k + 2, f"{other(4)} {passage} {other(5)}")]
+        want.add((3 * k, 3 * k + 2))
+    got = op9.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
+
+
+def near_pairs(texts, least=50):
+    """Brute force: pairs of texts with stretches of equal length, ``least`` words or more, at a Jaccard of 0.8 or more."""
+    sets = [[tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in (x.split() for x in texts)]
+    out = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            n = least - 4
+            for shift in range(n - len(sets[b]), len(sets[a]) - n + 1):
+                low, high = max(0, shift), min(len(sets[a]), len(sets[b]) + shift)
+                equal = np.cumsum([0] + [sets[a][i] == sets[b][i - shift] for i in range(low, high)])
+                if len(equal) > n and (equal[n:] - equal[:-n]).max() >= 1.6 / 1.8 * n:
+                    out.add((b, a))
+                    break
+    return out
+
+
+def test_recall_of_passages_with_edits(spark):
+    """Passages of 100 words of which one in fifty is changed: half of them fall below 0.8 as a whole, not in every part."""
+    r, texts = random.Random(8), []
+    for k in range(25):
+        passage = words(100, 2000 + k, 10**6).split()
+        edited = [w if r.random() > 0.02 else f"x{r.random()}" for w in passage]
+        texts += [f"{words(30, 5000 + 4 * k, 10**6)} {' '.join(p)} {words(30, 5001 + 4 * k, 10**6)}" for p in (passage, edited)]
+    want = near_pairs(texts)
+    got = {(min(x.doc_id, x.partner_id), max(x.doc_id, x.partner_id)) for x in op9.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(want) > 15 and len(want & got) >= 0.9 * len(want)
+    assert all(b == a + 1 and a % 2 == 0 for a, b in got)
+
+
+def test_a_common_line_is_dealt_by_its_contexts(spark):
+    """A line that all of 300 texts hold is a common signature; passages around it are found, other texts left alone."""
+    line, docs, want = words(30, 1, 10**6), [], set()
+    for k in range(300):
+        before, after = words(40, 100 + k, 10**6), words(40, 1000 + k, 10**6)
+        if k % 30 == 1:  # the same twelve words on each side as the text before
+            before = " ".join(before.split()[:28] + docs[-1][1].split()[28:40])
+            after = " ".join(docs[-1][1].split()[70:82] + after.split()[12:])
+            want.add((k - 1, k))
+        docs.append((k, f"{before} {line} {after}"))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert len(op9.common_signatures(df)) > 0
+    got = {(min(x.doc_id, x.partner_id), max(x.doc_id, x.partner_id)) for x in op9.repeated_passages(df).collect()}
+    assert got == want
