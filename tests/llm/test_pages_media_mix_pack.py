@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import defaultdict
 
@@ -27,35 +28,79 @@ def slow_common(a, b):
 
 def test_common_lines_is_a_longest_common_subsequence():
     r = np.random.default_rng(1)
-    for _ in range(60):
-        a, b = [[str(x) for x in r.integers(0, 5, r.integers(0, 12))] for _ in range(2)]
-        got = op2.common_lines(a, b)
+    for k in range(90):
+        a, b = [[int(x) for x in r.integers(0, 5, r.integers(0, 12))] for _ in range(2)]
+        got = op2.common_lines(a, b, most=(4, 30, 10**6)[k % 3])
         assert len(got) == slow_common(a, b) and got == sorted(got)
         it = iter(b)
         assert all(any(x == y for y in it) for x in (a[k] for k in got))
 
 
+def extracted(spark, rows, tasks=None):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as pid", "'z' as lines", "'q' as host", "'d' as digest")
+    return op2.main_text(df, tasks).collect()
+
+
 def test_pages(spark):
     menu, foot = "<div>Home</div><div>News</div>", "<p>All rights reserved</p>"
+    long = " ".join(f"word{k}" for k in range(30))
     rows = [
-        (1, "http://a.org/x/1", page(f"{menu}<p>First &amp; best<br>story</p>{foot}")),
-        (2, "http://a.org/x/2?q=1", page(f"{menu}<p>Second   story</p><p>ends&nbsp;here</p>{foot}")),
+        (1, "http://a.org/x/1", page(f"{menu}<p>First &amp; best<br>story {long}</p>{foot}")),
+        (2, "http://a.org/x/2?q=1", page(f"{menu}<p>Second   story</p><p>ends&nbsp;here {long}</p>{foot}")),
         (3, "http://b.org/1", page("<nav>m</nav><div class='ad'>buy</div><article><h1>T</h1><p><b>bold<br><p>two</p></article><footer>f</footer><script>var t='</p>';x()</script>")),
-        (4, None, None), (5, "http://c.org/", ""), (6, "http://a.org/x/1", page(f"{menu}<p>First &amp; best<br>story</p>{foot}")), (None, "http://d.org/1", page("<p>alone</p><!-- <p>not</p> -->")),
-        (7, "http://e.org/1", page("<nav><ul><li>open menu<article><p>kept</p></article><section class='comments'><p>nice</p></section>")),
+        (4, None, None), (5, "http://c.org/", ""), (6, "http://a.org/x/1", page(f"{menu}<p>First &amp; best<br>story {long}</p>{foot}")), (None, "http://d.org/1", page("<p>alone</p><!-- <p>not</p> -->")),
+        (7, "http://e.org/1", page("<nav><ul><li>open menu<article><p>kept</p></article><section class='comments'><p>nice</p></section>")), (2**60 + 1, "x", page("<p>no host</p>")),
     ]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as pid", "'z' as lines")
-    for tasks in (1, 4):  # a pair of copies may lie across a split, so it is left out where there are splits
-        got = {r.page_id: r.text for r in op2.main_text(df if tasks == 1 else df.where("coalesce(page_id, 0) <> 6"), tasks).collect()}
-        assert got == ({6: "First & best story"} if tasks == 1 else {}) | {1: "First & best story", 2: "Second story\n\nends here", 3: "T\n\nbold\n\ntwo", 4: "", 5: "", None: "alone", 7: "kept"}
-    assert all(r.n_chars == len(r.text) for r in op2.main_text(df).collect()) and op2.main_text(df.where("false")).count() == 0
+    for tasks in (1, 4):
+        got = {r.page_id: r.text for r in extracted(spark, rows, tasks)}
+        first = f"First & best story {long}"
+        assert got == {1: first, 6: first, 2: f"Second story\n\nends here {long}", 3: "T\n\nbold\n\ntwo", 4: "", 5: "", None: "alone", 7: "kept", 2**60 + 1: "no host"}
+    assert all(r.n_chars == len(r.text) for r in extracted(spark, rows)) and extracted(spark, [(1, None, None)])[0].text == ""
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert op2.main_text(empty).count() == 0
+
+
+def test_differencing_decides_without_markup(spark):
+    """Twelve pages of a host, none with a mark; the same pages on hosts of their own keep what only partners tell."""
+    text = [" ".join(f"t{k}w{n}" for n in range(40)) for k in range(12)]
+    adverts = [f"<div class='x{k}'><p>offer {k % 3} today</p></div>" for k in range(12)]
+    body = [f"<div><ul><li>Home<li>News<li>Page {k % 4} of many</ul></div>{adverts[k]}<div class='body'><p>{text[k]}</p><p>Shared licence, all rights reserved</p></div>" for k in range(12)]
+    together = [(k, f"http://a.org/{k:02}", page(body[k])) for k in range(12)]
+    apart = [(k, f"http://a{k}.org/{k:02}", page(body[k])) for k in range(2)]
+    for tasks in (1, 3):
+        assert {r.page_id: r.text for r in extracted(spark, together, tasks)} == dict(enumerate(text))
+    alone = {r.page_id: r.text for r in extracted(spark, apart)}
+    assert all(text[k] in alone[k] and "Home" in alone[k] and "rights" in alone[k] for k in range(2))
+    rows = extracted(spark, together)
+    assert all(r.differenced and r.partners for r in rows)
+
+
+def test_near_copies_and_articles_keep_what_they_share(spark):
+    story = "".join(f"<p>{' '.join(f's{k}w{n}' for n in range(30))}</p>" for k in range(4))
+    rows = [(k, f"http://a.org/{k}", page(f"<div>Menu</div><p>Print version {k}</p>{story}")) for k in range(4)]
+    assert all(r.text.count("\n\n") == 5 and r.partners == 0 for r in extracted(spark, rows))  # copies of each other only
+    marked = [(k, f"http://b.org/{k}", page(f"<div>Menu</div><article>{story}<p>{' '.join(f'p{k}w{n}' for n in range(50))}</p></article>")) for k in range(3)]
+    assert all(r.text.count("\n\n") == 4 and "Menu" not in r.text for r in extracted(spark, marked))
+
+
+def test_class_words_and_teasers_do_not_cut_articles(spark):
+    body = "<div class='share-price'><p>prices</p></div><article class='comments-on-law'><p>law</p></article><div id='related-work'><p>work</p></div><article class='comment'><p>me too</p></article><aside><article>teaser</article></aside>"
+    assert extracted(spark, [(1, "http://a.org/1", page(body))])[0].text == "prices\n\nlaw\n\nwork"
+
+
+def test_long_pages_of_unclosed_quotes_and_tags_take_one_pass():
+    start = time.perf_counter()
+    for piece in ("<a \"", "<p title=\"x>one</p>", "<a b = ", "<!-- ", "</p ", "<script>", "<nav>", "<p><i>", "&am", "<   ", "<a/ "):
+        op2.blocks(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - start < 20
+    assert op2.blocks("<p>a</p><p title=\"x>one</p>")[0] == ["a"] and op2.blocks("1 < 2 <b>x</b>")[0] == ["1 < 2 x"]
 
 
 def test_lines_outside_an_article_are_differenced(spark):
+    text = [" ".join(f"{n}{k}" for k in range(20)) for n in ("Long", "Short")]
     body = "<div>Home</div><div><p>{0} text, first part</p><p>{0} text, second part</p></div><article>Read {0} as well</article><article>Same teaser</article><p>All rights reserved</p>"
-    df = spark.createDataFrame([(k, f"http://a.org/{k}", page(body.format(name))) for k, name in enumerate(("Long", "Short"))], "page_id long, url string, html string")
-    got = {r.page_id: r.text.split("\n\n") for r in op2.main_text(df, 1).collect()}
-    assert got == {k: [f"{name} text, first part", f"{name} text, second part", f"Read {name} as well", "Same teaser"] for k, name in enumerate(("Long", "Short"))}
+    got = {r.page_id: r.text.split("\n\n") for r in extracted(spark, [(k, f"http://a.org/{k}", page(body.format(name))) for k, name in enumerate(text)])}
+    assert got == {k: [f"{name} text, first part", f"{name} text, second part", f"Read {name} as well", "Same teaser"] for k, name in enumerate(text)}
 
 
 @pytest.mark.parametrize("n", [0, 1, 64, 121, 122, 1417, 1418, 100_000])
