@@ -427,7 +427,7 @@ def decisions(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     pages = solved.where("kind = 0").select("host", "digest", "partners", "shared", "places")
     asked = pages.select("host", "digest", F.explode("places").alias("place"))
     asked = asked.withColumn("key", F.explode(F.array(F.xxhash64("host", "place"), F.xxhash64(F.lit(None).cast("string"), "place"))))
-    held = spread_join(asked, found, "key", "digest").where("is_template is not null").groupBy("host", "digest").agg(
+    held = spread_join(asked, found, "key", "digest", salts=128).where("is_template is not null").groupBy("host", "digest").agg(
         F.collect_set(F.when(F.col("is_template"), F.col("place"))).alias("templates"), F.collect_set("place").alias("known"))
     return pages.drop("places").join(held, ["host", "digest"], "left")
 
@@ -445,7 +445,7 @@ def main_text(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     found = staged(decisions(pages, tasks)).withColumn("key", F.struct("host", "digest")).drop("host", "digest")
     keyed = keys_of(pages.select("page_id", "url", "html")).select(F.col("page_id").cast("string").alias("page"), "url", "host", "html")
     lines = keyed.mapInPandas(_parsed, PARSED.replace("page_id long", "page string")).withColumn("key", F.struct("host", "digest"))
-    rows = spread_join(lines, found, "key", "page")
+    rows = lines.join(found, "key", "left")  # adaptive execution splits the rows of a page that fills a third of the table
     mark = lambda k: F.element_at("marks", k + 1)
     shared = lambda k: F.coalesce(F.element_at("shared", k + 1), F.lit(False))
     template = lambda k: F.coalesce(F.array_contains("templates", F.element_at("places", k + 1)), F.lit(False))
