@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local session that names none gets a temporary folder."""
+    """The session's ``spark.checkpoint.dir``; a local session that names none gets a temporary folder.
+
+    A cluster must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -19,8 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str = "staged") -> str:
+    """A new path in the shared folder that goes when the application ends; results may be read until then."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write once and read back, so that later rounds neither recompute nor lose it."""
-    path = f"{shared_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    """Write ``df`` once and read it back: lineage ends there, and lost executors cost a retry of the reader only."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parcelflow.sources.fixtures import observations
-from parcelflow.sources.shared import shared_dir
+from parcelflow.sources.shared import scratch
 
 TRACKED = "source string, source_id string, observed_at timestamp_ntz, obs_id long, price long"
 _OUT = "source string, source_id string, observed_at timestamp_ntz, obs_id long, price long, previous_price long, is_change boolean"
@@ -41,7 +41,7 @@ def run_ingest(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
     Returns (source, source_id, last_seen_at, price, history_rows), a missing last price as -1; a batch run over the same
     sightings gives the same rows.
     """
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     obs = observations(spark, sf_dir).select("source", "source_id", "observed_at", "obs_id", "price")
     cuts = obs.select(F.percentile_approx(F.unix_micros(F.col("observed_at").cast("timestamp")), [k / batches for k in range(1, batches)]).alias("c")).first()["c"] or []
     part = sum([F.when(F.unix_micros(F.col("observed_at").cast("timestamp")) > c, 1).otherwise(0) for c in cuts], F.lit(0))
@@ -63,7 +63,7 @@ def rates(events: DataFrame, late: str = "10 minutes", width: str = "10 minutes"
 
 def run_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed counts of the event log as a stream, complete once all input is read."""
-    name, base = f"rate_{uuid.uuid4().hex}", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    name, base = f"rate_{uuid.uuid4().hex}", scratch(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
 
