@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from parcelflow.sources.shared import shared_dir, staged
+
+__all__ = ["SPLIT_OF_TEXT", "by_row", "by_text", "documents", "fold", "parts", "shared_dir", "spread_join", "staged", "unused"]
 
 SPLIT_OF_TEXT = r"[^\x20\x09-\x0D]+"
 
@@ -15,27 +20,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``.
-
-    A local session that names none gets a temporary folder; a cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once and read it back: lineage ends there and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,9 +29,39 @@ def spread_join(rows: DataFrame, labels: DataFrame, key: str, salt_of: str, salt
 
     A key's rows are dealt over ``salts`` sub-keys; a label is copied only to the sub-keys that occur.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
-    copies = salted.select(key, "__salt").distinct().join(labels, key)
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    salt = unused(rows, "salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
+    copies = salted.select(key, salt).distinct().join(labels, key)
+    return salted.join(copies, [key, salt], "left").drop(salt)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"{name}_"
+    return name
+
+
+def by_row(rows: DataFrame, columns: Callable[[list[str]], list[pa.Array]], schema: str, at_once: int = 500) -> DataFrame:
+    """The first column and what ``columns`` makes of the second, a text (null: empty), in ``schema``'s order.
+
+    The first column passes untouched, as Arrow: a null among 64-bit ids doesn't turn the others into floats.
+    """
+    names = [f.name for f in StructType.fromDDL(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                some = batch.slice(at, at_once)
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns([t or "" for t in some.column(1).to_pylist()])], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def by_text(docs: DataFrame, columns: Callable[[list[str]], list[pa.Array]], schema: str) -> DataFrame:
+    """doc_id and what ``columns`` makes of each text."""
+    return by_row(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), columns, schema)
 
 
 def fold(doc_id: str, modulus: int):

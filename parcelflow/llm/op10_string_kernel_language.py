@@ -12,14 +12,13 @@ row can be learnt from, every text is ``und``; repeated rows repeat; other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import by_text, documents, fold, unused
 
 TRAIN_ROWS, LANDMARKS, RIDGE, BATCH = 3000, 20, 1e-2, 256
 DENSE, CELLS = 122, 1 << 25  # symbols up to which n-grams are marked in an array; values of a presence matrix at once
@@ -130,18 +129,15 @@ def predict_languages(docs: DataFrame, model: KernelModel) -> DataFrame:
     """(doc_id, lang_pred, score) of every row. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks times their n-grams
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for at in range(0, len(pdf), BATCH):
-                some = pdf.iloc[at : at + BATCH]
-                langs, score = shared.value.predict([t or "" for t in some.text])
-                yield pd.DataFrame({"doc_id": some.doc_id.to_numpy(), "lang_pred": langs, "score": score})
+    def columns(texts: list[str]) -> list[pa.Array]:
+        langs, score = shared.value.predict(texts)
+        return [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return by_text(docs, columns, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: KernelModel | None = None) -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; whole rows and columns, no shuffle."""
+    """``docs`` without the rows whose language is ``und``, a null ``lang`` filled with the prediction. No shuffle."""
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -151,7 +147,9 @@ def keep_known(docs: DataFrame, model: KernelModel | None = None) -> DataFrame:
             out += shared.value.predict([t or "" for t in text.iloc[at : at + BATCH]])[0]
         return pd.Series(out, dtype=str)
 
-    return docs.where(F.pandas_udf(language, "string")(F.col("text")) != "und")
+    found = unused(docs, "found")
+    known = docs.withColumn(found, F.pandas_udf(language, "string")(F.col("text"))).where(F.col(found) != "und")
+    return known.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
 
 
 def op10_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, spread_join, staged
+from .common import documents, spread_join, staged, unused
 
 INDEX = "bucket int, n long, sizes array<long>, bits binary, digests binary, winners binary, counts binary"
 FOUND = "digest binary, keep_id long, group_size long, member boolean"
@@ -68,7 +68,7 @@ def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     levels = build_hash(words)
     at = slots_of(levels, words)
     digests, winners, counts = np.empty_like(words), np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    digests[at], winners[at], counts[at] = words, pdf.winner.fillna(NONE).to_numpy(np.int64), pdf.n.to_numpy(np.int64)
+    digests[at], winners[at], counts[at] = words, pdf.winner.to_numpy(np.int64), pdf.n.to_numpy(np.int64)
     return pd.DataFrame([{
         "bucket": int(pdf.bucket.iloc[0]), "n": len(at), "sizes": [len(x) for x in levels],
         "bits": b"".join(np.packbits(x).tobytes() for x in levels),
@@ -87,7 +87,7 @@ def _levels(sizes, bits: bytes) -> list[np.ndarray]:
 
 def _lookup(batch: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     asked = _words(batch.digest)
-    winner, count = batch.winner.fillna(NONE).to_numpy(np.int64).copy(), batch.n.to_numpy(np.int64).copy()
+    winner, count = batch.winner.to_numpy(np.int64).copy(), batch.n.to_numpy(np.int64).copy()
     member, rest = np.zeros(len(asked), bool), []
     if len(index):
         row = index.iloc[0]
@@ -130,7 +130,7 @@ def digests_of(docs: DataFrame) -> DataFrame:
 
 def dedup_digests(rows: DataFrame, seen: DataFrame | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Winner and size of each digest's group, for ``rows`` (digest, doc_id, copies) against those of ``seen``."""
-    one = lambda x: x.groupBy("digest").agg(F.max("doc_id").alias("winner"), F.sum("copies").alias("n"))
+    one = lambda x: x.groupBy("digest").agg(F.coalesce(F.max("doc_id"), F.lit(NONE)).alias("winner"), F.sum("copies").alias("n"))
     rows_n = rows.count() + (seen.count() if seen is not None else 0)
     buckets = max(1, -(-rows_n // per_bucket))
     history = one(seen if seen is not None else rows.limit(0))
@@ -160,13 +160,14 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` without repeats, whole rows and columns."""
     id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))
-    won = staged(grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("__digest"), id_of.alias("__id"), F.col("copies").alias("__copies")))
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).withColumn("__id", id_of)
-    kept = marked.join(won, ["__digest", "__id"])
-    if won.where("__copies > 1").isEmpty():
+    digest, number, copies = (unused(docs, name) for name in ("digest", "id", "copies"))
+    won = staged(grouped(docs).where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias(digest), id_of.alias(number), F.col("copies").alias(copies)))
+    marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))).withColumn(number, id_of)
+    kept = marked.join(won, [digest, number])
+    if won.where(F.col(copies) > 1).isEmpty():
         return kept.select(*docs.columns)
-    once = kept.where("__copies > 1").dropDuplicates(["__digest", "__id"])
-    return kept.where("__copies = 1").select(*docs.columns).unionAll(once.select(*docs.columns))
+    once = kept.where(F.col(copies) > 1).dropDuplicates([digest, number])
+    return kept.where(F.col(copies) == 1).select(*docs.columns).unionAll(once.select(*docs.columns))
 
 
 def op1_perfect_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

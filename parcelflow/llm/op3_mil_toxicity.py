@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import by_text, documents, fold
 
 TRAIN_ROWS, LEAST_DOCS, STEPS, SPARSE = 5000, 3, 200, 1e-4
 PREFIXES = (5, 6, 7)
@@ -150,36 +150,29 @@ def score_documents(docs: DataFrame, model: NoisyOr) -> DataFrame:
     """doc_id, score, and the worst sentence's place and probability, for every row. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as long as the sample's word list at most
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for pdf in frames:
-            out = []
-            for text in pdf.text:
-                text = text or ""
-                score, number, worst = model.score(text)
-                out.append((score, *locate(text, number), worst))
-            got = pd.DataFrame(out, columns=["score", "worst_start", "worst_end", "worst_score"])
-            yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), got], axis=1)
+    def columns(texts: list[str]) -> list[pa.Array]:
+        rows = []
+        for text in texts:
+            score, number, worst = shared.value.score(text)
+            rows.append((score, *locate(text, number), worst))
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.float64(), pa.int32(), pa.int32(), pa.float64()), strict=True)]
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, SCORES)
+    return by_text(docs, columns, SCORES)
 
 
 def offending_sentences(docs: DataFrame, model: NoisyOr, least: float = 0.5) -> DataFrame:
     """A row for every sentence whose own probability is ``least`` or more: doc_id, start, end, probability, sentence."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        for pdf in frames:
-            rows = []
-            for doc, text in zip(pdf.doc_id, pdf.text, strict=True):
-                some, p = model.sentences(text or "")
-                for k in np.flatnonzero(p >= least):
-                    start, end = locate(text, int(some[k]))
-                    rows.append((doc, start, end, float(p[k]), text[start:end]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "probability", "sentence"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, start int, end int, probability double, sentence string")
+    def columns(texts: list[str]) -> list[pa.Array]:
+        found = []
+        for text in texts:
+            some, p = shared.value.sentences(text)
+            places = [(*locate(text, int(some[k])), float(p[k])) for k in np.flatnonzero(p >= least)]
+            found.append([{"start": start, "end": end, "probability": q, "sentence": text[start:end]} for start, end, q in places])
+        return [pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64()), ("sentence", pa.string())])))]
+
+    return by_text(docs, columns, "doc_id long, s array<struct<start:int,end:int,probability:double,sentence:string>>").select("doc_id", F.inline("s"))
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> NoisyOr:

@@ -3,7 +3,8 @@
 Trusted positives are rows labelled 1 outside the held-out fold; unlabelled web text is drawn from all documents without
 looking at labels. Both samples are bounded (``POSITIVES``, ``UNLABELLED``, the smallest hashes of doc_id). A first
 classifier tells the samples apart; on held-back halves the class prior is the least ratio, over thresholds, of the
-unlabelled share above to the positive share above. The final linear model over binned surface measures minimises
+unlabelled share above to the positive share above. The final linear model, over binned surface measures and hashed words
+and character trigrams, minimises
 prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) and is applied to every whole text where it lies.
 
 Defined results: null and empty texts have all measures 0 and are scored like any; a null doc_id isn't held out; null
@@ -12,19 +13,19 @@ labels aren't learnt from; without positives every score is 0; repeated rows rep
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
-from .op3_mil_toxicity import sample_of_labels
+from .common import by_text, documents, fold
 
 POSITIVES, UNLABELLED, BINS, STEPS = 3000, 6000, 16, 400
+MEASURES, WORDS, GRAMS, CONTENTS = 18, 1024, 1024, 0.3  # surface measures, buckets of words and of trigrams, and the length of each
 _KINDS = np.zeros((10, 256))
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"*#$%&", b"|", b"!", b"?;:()[]{}<>/\\_=+~^@\"'", b".,", b"\n", b" \t\r", b"abcdefghijklmnopqrstuvwxyz")):
     _KINDS[_k, list(_chars)] = 1
@@ -47,25 +48,59 @@ def measures(text: str) -> np.ndarray:
     ]])
 
 
+class _Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        got = self[word] = zlib.crc32(word.encode("utf-8", "replace")) % WORDS
+        return got
+
+
+_BUCKETS = _Buckets()
+
+
+def _share(counts: np.ndarray) -> np.ndarray:
+    """Damped counts, as a vector of the length of CONTENTS."""
+    out = np.log1p(counts)
+    return out * (CONTENTS / max(1e-9, float(np.sqrt(out @ out))))
+
+
+def contents(text: str) -> np.ndarray:
+    """Hashed words and character trigrams of a whole text."""
+    low = text.lower()
+    words = low.split()
+    some = np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)), minlength=WORDS)
+    raw = np.frombuffer(low.encode(), np.uint8).astype(np.uint32)
+    grams = (raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]) * np.uint32(2654435761) >> np.uint32(22) if len(raw) > 2 else np.empty(0, np.uint32)
+    return np.concatenate([_share(some), _share(np.bincount(grams, minlength=GRAMS))])
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """A row a text: surface measures, then hashed contents."""
+    return np.array([np.concatenate([measures(t), contents(t)]) for t in texts], np.float32).reshape(-1, MEASURES + WORDS + GRAMS)
+
+
 class PuModel:
     def __init__(self, edges: list[np.ndarray], w: np.ndarray, b: float, prior: float):
         self.edges, self.w, self.b, self.prior = edges, w, b, prior
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(binned(x, self.edges) @ self.w + self.b, -30, 30)))
+        if not len(self.w):
+            return np.full(len(x), 1 / (1 + np.exp(-self.b)))
+        return _sigmoid((binned(x, self.edges) @ self.w + self.b).astype(float))
 
 
 def bin_edges(x: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+    return [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x[:, :MEASURES].T]
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    """One column a bin edge: 1 if the measure is above it."""
-    return np.concatenate([(x[:, [k]] > e[None, :]) for k, e in enumerate(edges)], axis=1).astype(float)
+    """One column a bin edge of the measures, 1 if the measure is above it; the other columns as they are."""
+    return np.concatenate([*[(x[:, [k]] > e[None, :]) for k, e in enumerate(edges)], x[:, len(edges) :]], axis=1).astype(np.float32)
 
 
 def _descend(grad, size: int, steps: int, decay: float) -> tuple[np.ndarray, float]:
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    w, m, v = np.zeros((3, size + 1), np.float32)
     for step in range(1, steps + 1):
         g = grad(w[:-1], w[-1])
         g[:-1] += decay * w[:-1]
@@ -101,7 +136,7 @@ def class_prior(p: np.ndarray, u: np.ndarray, steps: int = STEPS) -> float:
 
 def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = STEPS) -> PuModel:
     if not len(positives) or not len(unlabelled):
-        return PuModel([np.empty(0)] * positives.shape[1], np.empty(0), -30.0, 0.0)
+        return PuModel([], np.empty(0), -30.0, 0.0)
     edges = bin_edges(np.concatenate([positives, unlabelled]))
     p, u = binned(positives, edges), binned(unlabelled, edges)
     prior = class_prior(p, u, steps) if prior is None else prior
@@ -109,40 +144,33 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float | None = Non
     def grad(w, b):
         gp, gu = _sigmoid(p @ w + b), _sigmoid(u @ w + b)
         loss = lambda s: -np.log(np.maximum(1 - s, 1e-12)).mean()
-        negative = _gradient(u, gu / len(u)) - prior * _gradient(p, gp / len(p))
-        if loss(gu) - prior * loss(gp) < 0:  # the estimated risk on negatives may not fall below zero
-            return -negative
-        return prior * _gradient(p, (gp - 1) / len(p)) + negative
+        positive = prior * _gradient(p, (gp - 1) / len(p))
+        if loss(gu) - prior * loss(gp) < 0:  # the estimated risk on negatives counts as zero and has no slope
+            return positive
+        return positive + _gradient(u, gu / len(u)) - prior * _gradient(p, gp / len(p))
 
     w, b = _descend(grad, p.shape[1], steps, 1e-3)
     return PuModel(edges, w, b, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PuModel:
-    trusted = sample_of_labels(docs, labels.where("quality = 1"), "quality", 4, 2, positives).text
-    some = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
-    web = docs.select("doc_id", "text").join(F.broadcast(some.distinct()), "doc_id").limit(2 * unlabelled).select("text").toPandas().text
-    rows = lambda texts: np.array([measures(t or "") for t in texts]).reshape(-1, 18)
-    return fit(rows(trusted), rows(sorted(web.fillna("").tolist(), key=lambda t: (hash_of(t), t))))
+    trusted = labels.where((F.col("quality") == 1) & (fold("doc_id", 4) != 2)).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives)
+    web = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
 
+    def rows(ids: DataFrame, most: int) -> np.ndarray:
+        """Features, worked out where the texts lie; as many numbers a row come to the driver."""
+        some = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").limit(most)
+        got = by_text(some, lambda texts: [pa.array([x.tobytes() for x in features(texts)], pa.binary())], "doc_id long, x binary").toArrow()
+        raw = b"".join(x for _, x in sorted(zip(got.column("doc_id").to_pylist(), got.column("x").to_pylist(), strict=True)))
+        return np.frombuffer(raw, np.float32).reshape(-1, MEASURES + WORDS + GRAMS)
 
-def hash_of(text: str) -> int:
-    import zlib
-
-    return zlib.crc32(text.encode())
+    return fit(rows(trusted, 2 * positives), rows(web, 2 * unlabelled))
 
 
 def score_documents(docs: DataFrame, model: PuModel) -> DataFrame:
     """(doc_id, score) of every row. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            if len(pdf):
-                x = np.array([measures(t or "") for t in pdf.text])
-                yield pd.DataFrame({"doc_id": pdf.doc_id, "score": shared.value.score(x)})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many numbers as there are features
+    return by_text(docs, lambda texts: [pa.array(shared.value.score(features(texts)))], "doc_id long, score double")
 
 
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

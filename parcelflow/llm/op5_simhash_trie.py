@@ -22,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPLIT_OF_TEXT, documents, parts, spread_join, staged
+from parcelflow.operators.graph import components, forest
+
+from .common import SPLIT_OF_TEXT, by_row, by_text, documents, parts, spread_join, staged, unused
 
 SHINGLE, SEED, BUDGET = 3, 42, 2
 BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit from the top, length
 FRONTIER = 100_000
-EDGES_A_TASK = 500_000
 _WORDS = re.compile(SPLIT_OF_TEXT)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _TO_64 = np.uint64
@@ -56,13 +58,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint's 64 bits as a signed long."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            fp = np.array([fingerprint(t) for t in pdf.text], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.to_numpy(), "fp": fp})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, fp long")
+    return by_text(docs, lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))], "doc_id long, fp long")
 
 
 def rotate(fp: np.ndarray, block: int) -> np.ndarray:
@@ -118,31 +114,6 @@ def _middle(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint6
     return np.clip(at, low, high)
 
 
-def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for members that have a link, roots left out; the root is the smallest index."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = _find(root, i), _find(root, j)
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-    root = _find(root, np.arange(n))
-    member = np.flatnonzero(root != np.arange(n))
-    return member, root[member]
-
-
-def _find(root: np.ndarray, at: np.ndarray) -> np.ndarray:
-    at = root[at]
-    while True:
-        up = root[at]
-        if (up == at).all():
-            return at
-        at = up
-
-
 def _join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     kept = [[] for _ in BLOCKS]
     for pdf in frames:
@@ -165,55 +136,18 @@ def links(distinct: DataFrame, tasks: int | None = None) -> DataFrame:
     return dealt.select("fp", "block").mapInPandas(_join, "a long, b long")
 
 
-def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's edges to (node, component)."""
-    got = [f.to_numpy(np.int64) for f in frames if len(f)]
-    if got:
-        nodes, ends = np.unique(np.concatenate(got), return_inverse=True)
-        ends = ends.reshape(-1, 2)
-        member, root = forest(len(nodes), iter([(ends[:, 0], ends[:, 1])]))
-        yield pd.DataFrame({"node": nodes[member], "component": nodes[root]})
-
-
-def components(edges: DataFrame, edges_a_task: int = EDGES_A_TASK) -> DataFrame:
-    """(node, component) of every node that has a smaller one in its component: the smallest there.
-
-    Edges are dealt to as many tasks as their number asks for, and each task replaces its edges by a forest. One task
-    is the whole answer; several go on with two alternating steps until nothing changes: every node's larger neighbours
-    are joined to its smallest neighbour, and every node's smaller neighbours are joined to the smallest of them.
-    """
-    edges = staged(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    tasks = max(1, -(-edges.count() // edges_a_task))
-    dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
-    solved = dealt.mapInPandas(_solve, "node long, component long")
-    if tasks == 1:
-        return solved
-    edges, before = staged(solved.toDF("a", "b").distinct()), None
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        met = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b")
-        edges = staged(met.unionAll(low.select("a", F.col("low").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-        before = state
+def _grouped(rows: DataFrame) -> DataFrame:
+    """Staged ``rows`` (doc_id, fp, ...) with group, a fingerprint that names the component, and component_id."""
+    first = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    found = components(links(first.select("fp"))).withColumnRenamed("node", "fp")
+    labels = staged(first.join(found, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("group")))
+    ids = labels.groupBy("group").agg(F.min("low").alias("component_id"))
+    return spread_join(rows, spread_join(labels.drop("low"), ids, "group", "fp"), "fp", "doc_id")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
-    rows = staged(fingerprints(docs))
-    first = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    edges = links(first.select("fp"))
-    # Edges between the fingerprints' smallest ids; a fingerprint without an id can't name a component, so ids are tagged.
-    named = first.select("fp", F.coalesce("low", F.lit((1 << 63) - 1) - F.pmod(F.xxhash64("fp"), F.lit(1 << 40))).alias("node"))
-    ends = edges.join(named.withColumnsRenamed({"fp": "a", "node": "na"}), "a").join(named.withColumnsRenamed({"fp": "b", "node": "nb"}), "b")
-    found = components(ends.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    labels = named.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    labels = labels.withColumn("component_id", F.when(F.col("component_id") < (1 << 63) - 1 - (1 << 40), F.col("component_id")))
-    return spread_join(rows, labels, "fp", "doc_id")
+    return _grouped(staged(fingerprints(docs))).drop("group")
 
 
 def hex_of(fp):
@@ -223,11 +157,25 @@ def hex_of(fp):
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group, that of the smallest doc_id; whole rows and columns.
 
-    Of rows that share a group's smallest doc_id all stay: only the exact stage tells repeated rows apart.
+    A row is known by doc_id and text, so an id that repeats with another text is a row of its own. Of rows of a group
+    that share its smallest doc_id the one of the least text digest stays; a null doc_id stays only where there is no other.
     """
-    rows = near_groups(docs)
-    drop = staged(rows.where((F.col("doc_id") != F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNotNull())).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(drop, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    number, key = unused(docs, "id"), unused(docs, "digest")
+    marked = docs.withColumn(key, F.md5(F.coalesce("text", F.lit("")))).withColumn(number, F.col("doc_id").cast("long"))
+    texts = marked.select(F.struct(F.col(number).alias("id"), F.col(key).alias("digest")).alias("row"), "text")
+    prints = by_row(texts, lambda texts: [pa.array(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))], "row struct<id:bigint,digest:string>, fp long")
+    rows = _grouped(staged(prints.select(F.col("row.id").alias("doc_id"), "row.digest", "fp")))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
+    counted = staged(rows.groupBy("group", "doc_id", "digest").agg(F.count("*").alias("copies")))
+    first = counted.groupBy("group").agg(F.min(order).alias("first"), F.count("*").alias("rows"))
+    lost = spread_join(counted, first, "group", "digest").withColumn("wins", order == F.col("first")).where("not wins or copies > 1")
+    lost = staged(lost.select(F.col("doc_id").alias("a"), F.col("digest").alias("b"), "wins"))
+    same = marked[number].eqNullSafe(lost["a"]) & (marked[key] == lost["b"])
+    kept = marked.join(lost, same, "left_anti").select(*docs.columns)
+    if lost.where("wins").isEmpty():
+        return kept
+    repeated = marked.join(lost.where("wins"), same, "left_semi").dropDuplicates([number, key])
+    return kept.unionAll(repeated.select(*docs.columns))
 
 
 def op5_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

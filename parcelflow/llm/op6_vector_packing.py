@@ -18,8 +18,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import documents, staged
 
 LENGTH, END_ID = 2048, 0
+WEIGHTS = (1.0, 0.01, 0.1)  # of tokens, documents and attention cost
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 PIECES_A_GROUP = 8_000
@@ -159,7 +160,7 @@ def tokenise(path: str, length: int = LENGTH):
     return run
 
 
-def assign(lengths: np.ndarray, length: int = LENGTH, most_docs: int = LENGTH, most_cost: float = float(LENGTH) ** 2, weights=(1.0, 0.01, 0.1), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+def assign(lengths: np.ndarray, length: int = LENGTH, most_docs: int = LENGTH, most_cost: float = float(LENGTH) ** 2, weights=WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of every piece."""
     capacity = np.array([length, most_docs, most_cost], float)
     w = np.array(weights)[:, None]
@@ -194,14 +195,16 @@ def assign(lengths: np.ndarray, length: int = LENGTH, most_docs: int = LENGTH, m
     return sequence, offset
 
 
-def _pack(rule: str, length: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [f for f in frames if len(f)]
+def _pack(**how):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        pdf = pd.concat(got, ignore_index=True).sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        sequence, offset = assign(pdf.length.to_numpy(np.int64), length, length, float(length) ** 2, rule=rule)
-        yield pdf.assign(sequence_id=sequence + (TaskContext.get().partitionId() << 36), offset=offset)
+        table = pa.Table.from_batches(got)
+        table = table.take(pc.sort_indices(table, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]))
+        sequence, offset = assign(table.column("length").to_numpy(), **how)
+        table = table.append_column("sequence_id", pa.array(sequence + (TaskContext.get().partitionId() << 36))).append_column("offset", pa.array(offset))
+        yield from table.to_batches(10_000)
 
     return run
 
@@ -214,11 +217,19 @@ def pieces_of(docs: DataFrame, path: str | None = None, length: int = LENGTH) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenise(path, length), PIECES)
 
 
-def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, rule: str = "norm", pieces_a_group: int = PIECES_A_GROUP) -> DataFrame:
-    """One row per piece with its sequence and its place there."""
+def pack(
+    docs: DataFrame, path: str | None = None, length: int = LENGTH, rule: str = "norm", pieces_a_group: int = PIECES_A_GROUP,
+    most_docs: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = WEIGHTS,
+) -> DataFrame:
+    """One row per piece with its sequence and its place there.
+
+    A sequence holds at most ``length`` tokens, ``most_docs`` pieces and ``most_cost`` of the pieces' squared lengths; left
+    out, the last two are as large as the tokens allow, as the query's contract knows no other bound than tokens.
+    """
     pieces = staged(pieces_of(docs, path, length))
     groups = max(1, round(pieces.count() / pieces_a_group))
-    return pieces.repartition(groups).mapInPandas(_pack(rule, length), PACKED)
+    how = {"length": length, "most_docs": most_docs or length, "most_cost": most_cost or float(length) ** 2, "weights": weights, "rule": rule}
+    return pieces.repartition(groups).mapInArrow(_pack(**how), PACKED)
 
 
 def op6_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

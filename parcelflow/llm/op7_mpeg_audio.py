@@ -5,8 +5,8 @@ are free and players hear silence. A stream is an ID3v2.3 tag (with the payload'
 count, byte count and a table of 100 seek points, frames of 320 kbit/s and a last frame of the smallest bit rate that
 holds the rest, and an ID3v1 tag. All frames carry the CRC-16 of their header and side information.
 
-The scanner knows nothing of the writer: it skips tags, finds a header whose successor is a header too, checks each
-CRC, loses and finds its place again after damage, reads Xing or VBRI tables, and reports exact duration and the offset
+The scanner knows nothing of the writer: it skips tags, finds a header whose successor is a header too, checks the CRC of
+every frame of layers I, II and III that has one, loses and finds its place again after damage, reads Xing or VBRI tables, and reports exact duration and the offset
 of every frame.
 
 Defined results: a null text counts as empty; an empty text is 64 zero bytes; equal texts give equal streams; a null
@@ -39,11 +39,13 @@ RATES = {
 }
 HERTZ = {1: (44100, 48000, 32000), 2: (22050, 24000, 16000), 2.5: (11025, 12000, 8000)}
 VERSIONS = {0: 2.5, 2: 2, 3: 1}
+# Fixed values of layer II: bits of a subband's allocation, as runs of (subbands, bits), by table.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
 HEADER = 0xFFFA08C0  # version 1, layer III, with CRC, 32 kHz, one channel; the rate's index is missing
 SIDE = 17
 SAMPLES, HZ = 1152, 32000
 
-MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, frame_offsets array<long>"
 
 
 def crc16(data: bytes, crc: int = 0xFFFF) -> int:
@@ -58,6 +60,44 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
 crc_of = lru_cache(4096)(crc16)
 
 
+def crc16_bits(data: bytes, bits: int, crc: int) -> int:
+    """The CRC carried on over so many bits."""
+    for k in range(bits):
+        crc ^= (data[k >> 3] >> (7 - (k & 7)) & 1) << 15
+        crc = ((crc << 1) ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    return crc
+
+
+def _bits(data: bytes, at: int, n: int) -> int:
+    return int.from_bytes(data[at >> 3 : (at + n + 7) >> 3]) >> (-(at + n) & 7) & ((1 << n) - 1)
+
+
+def protected_bits(four: bytes, body: bytes) -> int:
+    """How many bits behind a layer I or II frame's CRC it covers: the allocation, and in layer II the scale factor selection."""
+    (x,) = struct.unpack(">I", four)
+    version, layer, _, hz, *_ = header(four)
+    mode, channels = x >> 6 & 3, 1 if x >> 6 & 3 == 3 else 2
+    bound = 4 * ((x >> 4 & 3) + 1) if mode == 1 else 32
+    if layer == 1:
+        return 128 if channels == 1 else 4 * (bound + 32)
+    kbit = RATES[1 if version == 1 else 2, 2][x >> 12 & 15] // channels
+    if version != 1:
+        table = "low"
+    elif kbit in (32, 48):
+        table = "d" if hz == 32000 else "c"
+    else:
+        table = "a" if hz == 48000 or kbit in (56, 64, 80) else "b"
+    at, used, band = 0, 0, 0
+    for bands, width in ALLOCATION[table]:
+        for _ in range(bands):
+            each = channels if band < bound else 1
+            for _ in range(each):
+                used += (_bits(body, at, width) > 0) * (channels if each < channels else 1)
+                at += width
+            band += 1
+    return at + 2 * used
+
+
 @lru_cache(4096)
 def header(four: bytes) -> tuple | None:
     """(version, layer, has a CRC, sample rate, samples, frame bytes, side information bytes), or None."""
@@ -131,8 +171,11 @@ def scan(data: bytes) -> dict:
             continue
         lost, (version, layer, has_crc, hz, samples, size, side) = False, h
         body = at + 4 + 2 * has_crc + side
-        if has_crc and layer == 3 and crc_of(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6]):
-            bad += 1
+        if has_crc and layer == 3:
+            bad += crc_of(data[at + 2 : at + 4] + data[at + 6 : body]) != int.from_bytes(data[at + 4 : at + 6])
+        elif has_crc:
+            four, rest = data[at : at + 4], data[at + 6 : at + size]
+            bad += crc16_bits(rest, min(8 * len(rest), protected_bits(four, rest)), crc_of(four[2:])) != int.from_bytes(data[at + 4 : at + 6])
         if not frames and table is None and (found := _table(data, at, body, size)):
             table = found
         else:
@@ -186,10 +229,10 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (text.as_py() or "").encode()
             media, found = store(raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0"))
             back = read_payload(media, found)
-            out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found)))
-        columns = list(zip(*out, strict=True)) or [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(found), float(found["duration"]), [x[0] for x in found["frames"]]))
+        columns = list(zip(*out, strict=True)) or [()] * 9
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "frame_offsets"])
 
 
 def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ Weights follow the sources in code-point order, null last, repeating. Their targ
 weight; a target stops at ``most`` times its source's size and the excess goes to the others by weight until none is
 above, which is the level L at which the sum of min(weight * L, most * size) is the total.
 
-Defined results: a null text has size 0 and takes 0; a null source is a source; a null doc_id hashes as empty; repeated
+Defined results: a null text has size 0 and takes 0; a null source is a source; rows without a doc_id hash by their text; repeated
 rows are separate documents; an empty table gives no rows; other columns play no part. Targets are real numbers, the
 words taken of a source are the target's whole part.
 """
@@ -20,7 +20,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPLIT_OF_TEXT, documents, staged
+from .common import SPLIT_OF_TEXT, documents, staged, unused
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 ROWS_A_RANGE = 20_000
@@ -30,12 +30,13 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(SPLIT_OF_TEXT)), F.lit(0)).cast("long")
 
 
-def random_key(doc_id):
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def random_key(doc_id, text):
+    """A hash of the id, or of the text where there is none, so that rows without an id don't share one range."""
+    return F.md5(F.coalesce(doc_id.cast("string"), F.concat(F.lit("-"), F.coalesce(text, F.lit("")))).cast("binary"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id")).alias("key"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text")).alias("key"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -89,12 +90,13 @@ def take(docs: DataFrame) -> DataFrame:
     mixed = staged(mix(staged(sized(docs))))
     order = F.struct("key", "doc_id", "size")
     cuts = mixed.groupBy("source").agg(F.first("epochs").alias("__epochs"), F.max(F.when(F.col("taken") > F.col("epochs") * F.col("size"), order)).alias("__cut"))
-    cuts = staged(cuts.withColumnRenamed("source", "__source"))
-    rows = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__order", F.struct(random_key(F.col("doc_id")).alias("key"), F.col("doc_id"), F.col("__size").alias("size")))
-    rows = rows.join(cuts, F.col("source").eqNullSafe(F.col("__source")))
-    times = F.when(F.col("__size") > 0, F.col("__epochs") + F.coalesce((F.col("__order") <= F.col("__cut")).cast("long"), F.lit(0))).otherwise(0)
-    rows = rows.withColumn("__times", times).where("__times > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*docs.columns)
+    of, epochs, cut, size, times = (unused(docs, name) for name in ("source_of_cut", "epochs", "cut", "words", "times"))
+    cuts = staged(cuts.withColumnsRenamed({"source": of, "__epochs": epochs, "__cut": cut}))
+    rows = docs.withColumn(size, word_count(F.col("text"))).join(cuts, F.col("source").eqNullSafe(F.col(of)))
+    place = F.struct(random_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id"), F.col(size).alias("size"))
+    begun = F.when(F.col(size) > 0, F.col(epochs) + F.coalesce((place <= F.col(cut)).cast("long"), F.lit(0))).otherwise(0)
+    rows = rows.withColumn(times, begun).where(F.col(times) > 0)
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))).alias(unused(docs, "copy"))).select(*docs.columns)
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +107,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5(coalesce(CAST(doc_id AS VARCHAR), '-' || coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight,

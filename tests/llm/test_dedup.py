@@ -237,3 +237,34 @@ def test_a_common_line_is_dealt_by_its_contexts(spark):
     assert len(op9.common_signatures(df)) > 0
     got = {(min(x.doc_id, x.partner_id), max(x.doc_id, x.partner_id)) for x in op9.repeated_passages(df).collect()}
     assert got == want
+
+
+BIG = 2**60 + 1
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    """An id above 2**53 and a null in one batch, through every operator that carries ids."""
+    from parcelflow.llm import op3_mil_toxicity as op3
+    from parcelflow.llm import op4_pu_quality as op4
+    from parcelflow.llm import op6_vector_packing as op6
+    from parcelflow.llm import op7_mpeg_audio as op7
+    from parcelflow.llm import op8_mix_sources as op8
+    from parcelflow.llm import op10_string_kernel_language as op10
+
+    df = spark.createDataFrame([(BIG, "one text here", "en", "s"), (None, "another text", None, "s"), (None, None, "en", None)], "doc_id long, text string, lang string, source string").coalesce(1)
+    texts = {BIG, None}
+    model = op3.NoisyOr({"text": 1.0}, -1.0)
+    pu = op4.fit(op4.features(["a b c"] * 20), op4.features(["1 2"] * 20), prior=0.5)
+    ids = lambda x: {r.doc_id for r in x.collect()}
+    assert ids(op1.exact_dedup(df)) == texts and {r.keep_id for r in op1.exact_dedup(df).collect()} == texts and ids(op1.keep_one(df)) == texts and op1.keep_one(df).count() == 3
+    assert ids(op3.score_documents(df, model)) == texts and ids(op3.offending_sentences(df, model, 0.0)) == texts and ids(op4.score_documents(df, pu)) == texts
+    assert ids(op5.near_groups(df)) == texts and {r.component_id for r in op5.near_groups(df).collect()} == texts and ids(op5.keep_one(df)) == texts
+    assert ids(op6.pack(df)) == texts and ids(op7.media_columns(df)) == texts and ids(op8.mix(op8.staged(op8.sized(df)))) == texts
+    assert ids(op10.predict_languages(df, op10.fit(["one text", "ein wort"] * 3, ["en", "de"] * 3))) == texts
+
+
+def test_keep_one_knows_rows_by_id_and_text(spark):
+    a, b = words(60, 1), words(60, 2)
+    df = spark.createDataFrame([(5, a), (3, b), (5, b), (3, b), (7, None), (None, ""), (8, a + " x" * 0)], "doc_id long, text string").selectExpr("*", "1 as id", "2 as digest", "3 as copies", "4 as wins")
+    got = op5.keep_one(df)
+    assert got.columns == df.columns and sorted((r.doc_id, r.text or "") for r in got.collect()) == sorted([(5, a), (3, b), (7, "")])

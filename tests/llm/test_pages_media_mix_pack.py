@@ -1,3 +1,4 @@
+import struct
 import time
 import zlib
 from collections import defaultdict
@@ -194,3 +195,101 @@ def test_pack(docs, rows, empty):
         g = g.sort_values("offset")
         assert g.length.sum() <= 2048 and (g.offset.to_numpy() == np.concatenate([[0], g.length.cumsum()[:-1]])).all()
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 2048) * 1.05 + 1
+
+
+def best_fit(lengths, capacity, weights, rule):
+    """Vector best fit written out: pieces in falling length, every open bin looked at."""
+    bins, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = [lengths[i] / capacity[0], 1 / capacity[1], lengths[i] ** 2 / capacity[2]]
+        fits = []
+        for b, room in enumerate(bins):
+            if all(r >= x - 1e-12 for r, x in zip(room, need)):
+                score = sum(w * x * r for w, x, r in zip(weights, need, room)) if rule == "dot" else -sum(w * (r - x) ** 2 for w, x, r in zip(weights, need, room))
+                fits.append((-round(score, 12), b))
+        if fits:
+            b = min(fits)[1]
+        else:
+            b = len(bins)
+            bins.append([1.0, 1.0, 1.0])
+        out[i] = (b, round((1 - bins[b][0]) * capacity[0]))
+        bins[b] = [r - x for r, x in zip(bins[b], need)]
+    return [out[i] for i in range(len(lengths))]
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(100, 100, 10_000), (100, 3, 10_000), (100, 100, 4900), (100, 4, 6000)])
+def test_best_fit_equals_brute_force(rule, capacity):
+    r = np.random.default_rng(capacity[1] + capacity[2])
+    lengths = r.integers(1, 60, 150)
+    sequence, offset = op6.assign(lengths, *capacity, rule=rule)
+    got, want = list(zip(sequence.tolist(), offset.tolist())), best_fit(lengths.tolist(), capacity, op6.WEIGHTS, rule)
+    assert got == want
+
+
+def test_packing_keeps_every_capacity(spark, docs):
+    got = op6.pack(docs, most_docs=3, most_cost=2.0**21 + 1, length=1448).collect()
+    per = defaultdict(list)
+    for r in got:
+        per[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == op6.pieces_of(docs, length=1448).count()
+    for pieces in per.values():
+        assert len(pieces) <= 3 and sum(n for _, n in pieces) <= 1448 and sum(n * n for _, n in pieces) <= 2**21 + 1
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+
+
+def test_media_digests_are_those_of_the_stored_bytes(spark, docs, rows):
+    import hashlib
+
+    for r in op7.media_columns(docs.where("doc_id < 120")).collect():
+        raw = next((t or "") for d, t, *_ in rows if d == r.doc_id).encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 64)) * 64, b"\0")
+        media = op7.write_stream(payload)
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media).hexdigest() and r.media_bytes == len(media)
+        at = media.index(b"Xing" if b"Xing" in media else b"Info") - 23
+        at, want = at + op7.header(media[at : at + 4])[5], []
+        while media[at : at + 3] != b"TAG":  # frames one after the other, by their headers alone
+            want.append(at)
+            at += op7.header(media[at : at + 4])[5]
+        assert r.frame_offsets == want and r.seconds == len(want) * 1152 / 32000
+    stored = op7.to_media(spark.createDataFrame([(1, b"abc" * 999)], "doc_id long, payload binary")).first()
+    assert op7.read_payload(bytes(stored.media)) == b"abc" * 999 and len(stored.frame_offsets) == len(op7.scan(bytes(stored.media))["frames"])
+
+
+def test_vbri_tables_and_checksums_of_layers_one_and_two():
+    four = (0xFFFB9044).to_bytes(4)  # version 1, layer III without CRC, 128 kbit/s, 44.1 kHz
+    size = op7.header(four)[5]
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 75, 5000, 12, 3, 2, 2, 4) + struct.pack(">HHH", 10, 20, 30)
+    first = (four + bytes(32) + table).ljust(size, b"\0")
+    found = op7.scan(first + 3 * (four + bytes(size - 4)))
+    assert found["table"] == {"kind": "VBRI", "bytes": 5000, "frames": 12, "seek": [20, 40, 60], "frames_per_entry": 4} and len(found["frames"]) == 3
+
+    def slow_crc(bits):
+        crc = 0xFFFF
+        for b in bits:
+            crc = ((crc << 1) ^ (0x8005 if (crc >> 15) ^ b else 0)) & 0xFFFF
+        return crc
+
+    bits_of = lambda data, n: [data[k >> 3] >> (7 - (k & 7)) & 1 for k in range(n)]
+    r = np.random.default_rng(2)
+    # layer, header, covered bits: stereo layer I takes 4 bits for each of 2 x 32 subbands; mono layer II at 32 kbit/s and
+    # 44.1 kHz takes 2 x 4 + 6 x 3 bits, and 2 for every subband in use.
+    for layer, word in ((1, 0xFFFE9000), (2, 0xFFFC10C0)):
+        head = word.to_bytes(4)
+        size = op7.header(head)[5]
+        body = bytes(r.integers(0, 256, size - 6, dtype=np.uint8))
+        if layer == 1:
+            n = 256
+        else:
+            alloc, at = [], 0
+            for width in (4, 4, 3, 3, 3, 3, 3, 3):
+                alloc.append(int("".join(map(str, bits_of(body, 200)[at : at + width])), 2))
+                at += width
+            n = at + 2 * sum(a > 0 for a in alloc)
+        crc = slow_crc(bits_of(head[2:], 16) + bits_of(body, n))
+        good = head + crc.to_bytes(2) + body
+        hurt = good[:6] + bytes([good[6] ^ 128]) + good[7:]
+        assert op7.scan(good * 3)["bad_crc"] == 0 and op7.scan(good + hurt + good)["bad_crc"] == 1
