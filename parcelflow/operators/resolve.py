@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, text
+from parcelflow.operators import graph
 from parcelflow.sources.shared import staged
 
 AREA_STEP = math.log(1.25)
@@ -17,12 +18,13 @@ SLIM = ("listing_id", "kind", "lat", "lon", "location_precision", "location_radi
 def normal_forms(listings: DataFrame) -> DataFrame:
     """What the pair rules need of each listing, worked out once per listing."""
     tokens = text.title_tokens(F.col("title"))
+    given = lambda c: F.col(c) if c in listings.columns else F.lit(None).cast("string")
     return listings.select(
         "listing_id", "kind", "lat", "lon", "location_precision", "location_radius_km", "area_m2", "plot_area_m2", "price", "city",
         tokens.alias("tokens"), text.bigrams(tokens).alias("bigrams"),
-        text.advertiser_key(F.col("advertiser_name"), F.lit(None).cast("string")).alias("advertiser"),
+        text.advertiser_key(F.col("advertiser_name"), given("advertiser_id")).alias("advertiser"),
         text.seller_tokens(F.col("advertiser_name")).alias("seller"),
-        text.identity_keys(F.lit(None).cast("string"), F.col("external_id")).alias("keys"),
+        text.identity_keys(given("internal_id"), F.col("external_id"), given("offer_number")).alias("keys"),
     )
 
 
@@ -51,26 +53,37 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], residual: Column)
 def matchable_pairs(forms: DataFrame) -> DataFrame:
     """Pairs (a_id < b_id) that the rules can still match: four blocked equi-joins over narrow rows.
 
-    Located pairs meet in a grid as wide as the largest match radius and in area buckets of ratio 1.25; pairs with a
+    Located pairs meet in a grid as wide as the larger match radius of both and in area buckets of ratio 1.25; pairs with a
     missing area only match within 150 m; unlocated ones need the same city, area and price; a shared key needs nothing.
     """
     slim = forms.select(*SLIM)
-    widest, north = slim.agg(F.max("location_radius_km"), F.max(F.abs("lat"))).first()
-    reach, narrowing = max(2.0, float(widest or 0.0)), max(0.2, math.cos(math.radians(float(north or 0.0))))
-    located = slim.where(_located())
+    radius = F.greatest(F.lit(2.0), F.coalesce("location_radius_km", F.lit(0.0)))
+    reach = F.greatest(F.lit(0), F.ceil(F.log2(radius / 2))).cast("int")  # a listing of class c matches within 2 * 2**c km
+    located = slim.where(_located()).withColumn("reach", reach)
+    bounds = located.agg(F.collect_set("reach"), F.max(F.abs("lat"))).first()
+    classes, narrowing = sorted(bounds[0]), max(0.2, math.cos(math.radians(float(bounds[1] or 0.0))))
     tolerance = F.when(F.col("a.kind") == "house", 0.2).otherwise(0.03)
     close = _dist() <= F.when((F.col("a.location_precision") == "exact") & (F.col("b.location_precision") == "exact"), 1.0).otherwise(
         F.greatest(F.lit(2.0), F.coalesce(F.col("a.location_radius_km"), F.lit(0.0)), F.coalesce(F.col("b.location_radius_km"), F.lit(0.0))))
     areas = _within(F.col("a.area_m2"), F.col("b.area_m2"), 0.2) & (F.abs(F.col("a.area_m2") - F.col("b.area_m2")) / F.greatest("a.area_m2", "b.area_m2") <= tolerance)
 
-    def gridded(df: DataFrame, km: float) -> DataFrame:
-        step = km / geo.KM_A_DEGREE
+    def gridded(df: DataFrame, km) -> DataFrame:
+        step = km / F.lit(geo.KM_A_DEGREE)
         return df.withColumn("y", F.floor(F.col("lat") / step)).withColumn("x", F.floor(F.col("lon") / (step / narrowing)))
 
     bucket = F.floor(F.log("area_m2") / AREA_STEP)
-    known = gridded(located.where("area_m2 > 0"), reach).withColumn("size", bucket)
-    spread = known.withColumn("y", geo.neighbours(F.col("y"))).withColumn("x", geo.neighbours(F.col("x"))).withColumn("size", geo.neighbours(F.col("size")))
-    by_place = _join(known, spread, ["kind", "y", "x", "size"], close & areas)
+    known = located.where("area_m2 > 0").withColumn("size", bucket)
+    width = F.lit(2.0) * F.pow(F.lit(2.0), F.col("grid"))
+    # A pair meets in the grid of its wider reach: the wider one asks around, all of its reach or less are there.
+    asking = gridded(known.withColumn("grid", F.col("reach")), width)
+    asking = asking.withColumn("y", geo.neighbours(F.col("y"))).withColumn("x", geo.neighbours(F.col("x"))).withColumn("size", geo.neighbours(F.col("size")))
+    grids = F.filter(F.array(*[F.lit(c) for c in classes]).cast("array<int>"), lambda g: g >= F.col("reach"))
+    there = gridded(known.withColumn("grid", F.explode(grids)), width)
+    once = (F.col("b.reach") < F.col("a.reach")) | (F.col("a.listing_id") < F.col("b.listing_id"))
+    meet = once & close & areas & (F.col("a.listing_id") != F.col("b.listing_id"))
+    for k in ("kind", "grid", "y", "x", "size"):
+        meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    by_place = asking.alias("a").join(there.alias("b"), meet).select(F.least("a.listing_id", "b.listing_id").alias("a_id"), F.greatest("a.listing_id", "b.listing_id").alias("b_id"))
     fine = gridded(located, 0.15)
     by_spot = _join(fine, fine.withColumn("y", geo.neighbours(F.col("y"))).withColumn("x", geo.neighbours(F.col("x"))), ["kind", "y", "x"],
                     (F.col("a.area_m2").isNull() | F.col("b.area_m2").isNull()) & (_dist() <= 0.15))
@@ -141,22 +154,13 @@ def decisions(pairs: DataFrame, forms: DataFrame) -> DataFrame:
 def clusters(nodes: DataFrame, edges: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
     """(listing_id, property_id): connected components of matched pairs; the smallest listing_id names a cluster.
 
-    Excluded pairs are taken out of the edges. Labels spread along edges and jump along labels, so rounds grow with the
-    logarithm of a component's width; each round is written to the shared folder.
+    Excluded pairs are taken out of the edges. Only listings with edges take part in the rounds.
     """
     edges = edges.select("a_id", "b_id")
     if exclusions is not None:
         edges = edges.join(exclusions.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
-    both = staged(edges.unionByName(edges.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))))
-    labels = staged(nodes.select("listing_id", F.col("listing_id").alias("property_id")))
-    while True:
-        least = both.join(labels.withColumnRenamed("listing_id", "b_id"), "b_id").groupBy("a_id").agg(F.min("property_id").alias("least"))
-        met = labels.join(least, labels.listing_id == least.a_id, "left").select("listing_id", "property_id", F.least("property_id", F.coalesce("least", "property_id")).alias("next"))
-        hop = met.select(F.col("listing_id").alias("at"), F.col("next").alias("further"))
-        jumped = staged(met.join(hop, met.next == hop["at"]).select("listing_id", F.col("property_id").alias("before"), F.least("next", "further").alias("property_id")))
-        labels = jumped.select("listing_id", "property_id")
-        if jumped.where("before <> property_id").isEmpty():
-            return labels
+    found = graph.components(edges.toDF("a", "b")).withColumnRenamed("node", "listing_id")
+    return nodes.select("listing_id").join(found, "listing_id", "left").select("listing_id", F.coalesce("component", "listing_id").alias("property_id"))
 
 
 def golden(listings: DataFrame) -> DataFrame:
@@ -165,21 +169,23 @@ def golden(listings: DataFrame) -> DataFrame:
     One partially aggregated pass: ordered picks are minima and maxima of structs whose last field is the listing_id.
     """
     recency = F.coalesce(F.col("source_refreshed_at"), F.col("last_seen_at")) if "source_refreshed_at" in listings.columns else F.col("last_seen_at")
-    flags = Window.partitionBy("property_id")
-    rows = listings.withColumn("all_ignored", F.min("ignored").over(flags)).withColumn("in_pool", F.col("all_ignored") | ~F.col("ignored"))
-    rows = rows.withColumn("any_active", F.coalesce(F.max(F.when(F.col("in_pool"), F.col("is_active"))).over(flags), F.lit(False)))
+    flags = listings.groupBy("property_id").agg(
+        F.min("ignored").alias("all_ignored"), F.max("is_active").alias("any"), F.max(F.when(~F.col("ignored"), F.col("is_active"))).alias("any_kept"))
+    flags = flags.select("property_id", "all_ignored", F.coalesce(F.when(F.col("all_ignored"), F.col("any")).otherwise(F.col("any_kept")), F.lit(False)).alias("any_active"))
+    rows = listings.join(flags, "property_id").withColumn("in_pool", F.col("all_ignored") | ~F.col("ignored"))
     rows = rows.withColumn("in_base", F.col("in_pool") & (F.col("is_active") | ~F.col("any_active"))).withColumn("recency", recency)
     newest = [F.col("recency"), -F.col("listing_id")]
     pick = lambda value, cond, *order: F.max_by(value, F.when(F.col("in_base") & cond, F.struct(*order, *newest)))
     located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    district = F.col("district") if "district" in listings.columns else F.lit(None).cast("string").alias("district")
     exact = F.when(F.col("location_precision") == "exact", 1).otherwise(0).alias("exact")
     private = F.when(F.col("is_private"), 1).otherwise(0).alias("private")
-    best = pick(F.struct("kind", "title", "url", "city"), F.lit(True), private)
+    best = pick(F.struct("kind", "title", "url", "city", district), F.lit(True), private)
     at = pick(F.struct("lat", "lon", "location_precision", "location_radius_km"), located, exact)
     in_pool, in_base = F.col("in_pool"), F.col("in_base")
     links = F.collect_list(F.when(in_pool, F.struct(F.when(F.col("is_active"), 0).otherwise(1).alias("idle"), (-F.unix_micros(F.col("recency").cast("timestamp"))).alias("age"), "listing_id", "source", "url", F.col("is_active").alias("active"))))
     out = rows.groupBy("property_id").agg(
-        best.alias("best"), pick(F.col("city"), F.col("city").isNotNull()).alias("any_city"), at.alias("place"),
+        best.alias("best"), pick(F.col("city"), F.col("city").isNotNull()).alias("any_city"), pick(district, district.isNotNull()).alias("any_district"), at.alias("place"),
         pick(F.col("area_m2"), F.col("area_m2").isNotNull()).alias("area_m2"), pick(F.col("plot_area_m2"), F.col("plot_area_m2").isNotNull()).alias("plot_area_m2"),
         F.min(F.when(in_base, F.col("price"))).alias("price"), F.min(F.when(in_pool, F.col("price"))).alias("price_min"), F.max(F.when(in_pool, F.col("price"))).alias("price_max"),
         F.max(F.when(in_base, F.col("is_private"))).alias("is_private"), F.array_sort(F.collect_set(F.when(in_pool, F.col("source")))).alias("sources"), links.alias("links"),
@@ -187,7 +193,7 @@ def golden(listings: DataFrame) -> DataFrame:
         F.max(F.when(in_pool, F.col("is_active"))).alias("is_active"), F.min("ignored").alias("ignored"),
     )
     return out.select(
-        "property_id", "best.kind", "best.title", "best.url", F.coalesce("best.city", "any_city").alias("city"), "place.lat", "place.lon",
+        "property_id", "best.kind", "best.title", "best.url", F.coalesce("best.city", "any_city").alias("city"), F.coalesce("best.district", "any_district").alias("district"), "place.lat", "place.lon",
         F.coalesce("place.location_precision", F.lit("unknown")).alias("location_precision"), "place.location_radius_km", "area_m2", "plot_area_m2", "price", "price_min", "price_max",
         F.when(F.col("area_m2") > 0, geo.round2(F.col("price") / F.col("area_m2"))).alias("price_per_m2"), "is_private", "sources",
         F.transform(F.array_sort("links"), lambda x: F.struct(x.source.alias("source"), x.url.alias("url"), x.active.alias("active"))).alias("links"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, text
 from parcelflow.operators import alerts, blocking, resolve
+from parcelflow.sources.shared import staged
 from parcelflow.sources.fixtures import CUR_SQL, NOW, SEARCHES_SQL, current, observations, saved_searches
 
 QUERIES, ORACLES = {}, {}
@@ -35,8 +36,8 @@ def _tokens_sql(column: str, least: int, drop) -> str:
 
 FORMS_SQL = CUR_SQL + f""",
 f0 AS (SELECT *, {_tokens_sql('title', 3, text.TITLE_STOPWORDS)} AS tokens, {_tokens_sql('advertiser_name', 2, text.SELLER_NOISE)} AS seller FROM cur),
-forms AS (SELECT *, array_to_string(tokens, '') AS joined, lower(trim(advertiser_name)) AS advertiser,
-  CASE WHEN length(external_id) >= 5 THEN 'ref:' || lower(external_id) END AS ref FROM f0),
+forms AS (SELECT *, array_to_string(tokens, '') AS joined, coalesce(lower(trim(advertiser_id)), lower(trim(advertiser_name))) AS advertiser,
+  list_filter(['mg:' || internal_id, CASE WHEN length(external_id) >= 5 THEN 'ref:' || lower(external_id) END, 'ref:' || replace(offer_number, ' ', '')], lambda k: k IS NOT NULL) AS keys FROM f0),
 g AS (SELECT *, CASE WHEN length(joined) >= 2 THEN list_distinct(list_transform(range(1, length(joined)), lambda k: substring(joined, CAST(k AS INT), 2))) ELSE [] END AS bigrams FROM forms)"""
 
 
@@ -56,16 +57,17 @@ _SELLER = """(coalesce(a.advertiser = b.advertiser, FALSE) OR (len(a.seller) > 0
   AND (least(len(a.seller), len(b.seller)) >= 2 OR length(array_to_string(CASE WHEN len(a.seller) <= len(b.seller) THEN a.seller ELSE b.seller END, '')) >= 4 OR len(a.seller) = len(b.seller))))"""
 # Pairs no rule can match are left out first: same shape of conditions as the blocks, as one theta join.
 PAIRS_SQL = FORMS_SQL + f""",
-slim AS (SELECT listing_id, kind, lat, lon, location_precision, location_radius_km, area_m2, price, lower(trim(city)) AS town, ref, CAST(floor(lat/0.02) AS INT) AS y FROM g),
+slim AS (SELECT listing_id, kind, lat, lon, location_precision, location_radius_km, area_m2, price, lower(trim(city)) AS town, keys, CAST(floor(lat/0.02) AS INT) AS y FROM g),
+keys_of AS (SELECT listing_id, kind, unnest(keys) AS ref FROM slim),
 near AS (SELECT a.listing_id AS a_id, b.listing_id AS b_id FROM slim a JOIN (SELECT *, unnest([y-1,y,y+1]) AS yy FROM slim) b ON a.kind=b.kind AND a.y=b.yy AND a.listing_id<b.listing_id
   WHERE abs(a.area_m2-b.area_m2)/greatest(a.area_m2,b.area_m2) <= CASE WHEN a.kind='house' THEN 0.2 ELSE 0.03 END AND abs(a.lon-b.lon) <= 0.05
     AND {_HAV} <= CASE WHEN a.location_precision='exact' AND b.location_precision='exact' THEN 1 ELSE greatest(2, a.location_radius_km, b.location_radius_km) END),
 town AS (SELECT a.listing_id AS a_id, b.listing_id AS b_id FROM slim a JOIN slim b ON a.kind=b.kind AND a.town=b.town AND a.listing_id<b.listing_id
   WHERE (a.lat IS NULL OR b.lat IS NULL) AND abs(a.area_m2-b.area_m2)/greatest(a.area_m2,b.area_m2) <= CASE WHEN a.kind='house' THEN 0.2 ELSE 0.03 END AND {_tol('price', 0.03)}),
-keyed AS (SELECT a.listing_id AS a_id, b.listing_id AS b_id FROM slim a JOIN slim b ON a.kind=b.kind AND a.ref=b.ref AND a.listing_id<b.listing_id),
+keyed AS (SELECT a.listing_id AS a_id, b.listing_id AS b_id FROM keys_of a JOIN keys_of b ON a.kind=b.kind AND a.ref=b.ref AND a.listing_id<b.listing_id),
 pairs AS (SELECT * FROM near UNION SELECT * FROM town UNION SELECT * FROM keyed),
 p1 AS (SELECT a_id, b_id, a.kind='house' AS house, a.lat IS NOT NULL AND b.lat IS NOT NULL AS located, a.location_precision='exact' AND b.location_precision='exact' AS pins,
-    CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN {_HAV} ELSE 0 END AS dist, a.ref=b.ref AS same_ref, {_SELLER} AS seller, {_tol('price', 0.03)} AS price_ok, a.price=b.price AS price_equal,
+    CASE WHEN a.lat IS NOT NULL AND b.lat IS NOT NULL THEN {_HAV} ELSE 0 END AS dist, list_filter(a.keys, lambda k: list_contains(b.keys, k))[1] AS same_ref, {_SELLER} AS seller, {_tol('price', 0.03)} AS price_ok, a.price=b.price AS price_equal,
     CASE WHEN a.kind='house' THEN {_tol('area_m2', 0.05)} ELSE {_tol('area_m2', 0.03)} END AS area_raw, {_tol('area_m2', 0.2)} AS area20, {_tol('area_m2', 0.01)} AS area1,
     CASE WHEN a.kind='house' THEN {_tol('plot_area_m2', 0.05)} END AS plot_ok, coalesce(lower(trim(a.city))=lower(trim(b.city)),FALSE) AS same_city,
     greatest(a.location_radius_km,b.location_radius_km,2) AS lim, {_T} AS t
@@ -74,7 +76,7 @@ p2 AS (SELECT *, coalesce(NOT area_raw,FALSE) AND house AND coalesce(price_ok,FA
 p3 AS (SELECT *, CASE WHEN loose THEN TRUE ELSE area_raw END AS area_ok, coalesce(price_ok,FALSE) AS price,
   CASE WHEN NOT located THEN 'unknown' WHEN exact THEN CASE WHEN dist<=0.15 THEN 'same_exact' WHEN dist<=1 THEN 'near_approx' ELSE 'far' END WHEN dist<=lim THEN 'near_approx' ELSE 'far' END AS geo FROM p2),
 p4 AS (SELECT *, coalesce(area_ok,FALSE) AS area, price AND coalesce(price_equal,FALSE) AND coalesce(area1,FALSE) AS figures FROM p3),
-p5 AS (SELECT *, CASE WHEN coalesce(same_ref,FALSE) THEN CASE WHEN located AND dist>5 THEN 'identity_key_far' ELSE 'identity:ref' END
+p5 AS (SELECT *, CASE WHEN same_ref IS NOT NULL THEN CASE WHEN located AND dist>5 THEN 'identity_key_far' ELSE 'identity:' || split_part(same_ref, ':', 1) END
   WHEN coalesce(NOT area_ok,FALSE) THEN 'area'
   WHEN coalesce(NOT plot_ok,FALSE) AND NOT (loose OR (exact AND dist<=0.15 AND price AND area)) THEN 'plot_area'
   WHEN geo='far' THEN 'far'
@@ -92,8 +94,8 @@ clusters AS (SELECT listing_id, coalesce(m, listing_id) AS property_id FROM cur
 
 
 def _decided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    cur = current(spark, d)
-    forms = resolve.normal_forms(cur)
+    cur = staged(current(spark, d))
+    forms = staged(resolve.normal_forms(cur))
     return cur, resolve.decisions(resolve.matchable_pairs(forms), forms)
 
 
@@ -118,7 +120,9 @@ def title_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH s AS (SELECT s_suppkey, {_tokens_sql("CASE WHEN s_suppkey % 2 = 0 THEN n_name || ' real estate' ELSE n_name || ' Team' || CAST(s_suppkey % 7 AS VARCHAR) END", 2, text.SELLER_NOISE)} AS seller FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey AND len(a.seller) > 0 AND len(b.seller) > 0 AND list_has_all(a.seller, b.seller)""")
+SELECT a.s_suppkey AS a_id, b.s_suppkey AS b_id FROM s a JOIN s b ON a.s_suppkey < b.s_suppkey AND len(a.seller) > 0 AND len(b.seller) > 0
+  AND len(list_intersect(a.seller, b.seller)) = least(len(a.seller), len(b.seller))
+  AND (least(len(a.seller), len(b.seller)) >= 2 OR len(a.seller) = len(b.seller) OR length(CASE WHEN len(a.seller) < len(b.seller) THEN a.seller[1] ELSE b.seller[1] END) >= 4)""")
 def seller_match(spark: SparkSession, d: str) -> DataFrame:
     s, n = spark.read.parquet(f"{d}/supplier.parquet"), spark.read.parquet(f"{d}/nation.parquet")
     team = F.concat(F.lit("Team"), (F.col("s_suppkey") % 7).cast("string"))
@@ -127,10 +131,10 @@ def seller_match(spark: SparkSession, d: str) -> DataFrame:
     return blocking.same_sellers(named, "s_suppkey")
 
 
-@query(f"""WITH {FORMS_SQL} SELECT a.listing_id AS a_id, b.listing_id AS b_id, a.ref AS key FROM g a JOIN g b ON a.ref = b.ref AND a.listing_id < b.listing_id WHERE NOT (a.source = 'olx' AND b.source = 'gratka') AND NOT (a.source = 'gratka' AND b.source = 'olx')""")
+@query(f"""WITH {FORMS_SQL} , k AS (SELECT listing_id, source, unnest(keys) AS ref FROM g) SELECT a.listing_id AS a_id, b.listing_id AS b_id, a.ref AS key FROM k a JOIN k b ON a.ref = b.ref AND a.listing_id < b.listing_id WHERE NOT (a.source = 'olx' AND b.source = 'gratka') AND NOT (a.source = 'gratka' AND b.source = 'olx')""")
 def identity_key_pairs(spark: SparkSession, d: str) -> DataFrame:
-    cur = current(spark, d)
-    forms = resolve.normal_forms(cur).join(cur.select("listing_id", "source"), "listing_id")
+    cur = staged(current(spark, d))
+    forms = staged(resolve.normal_forms(cur).join(cur.select("listing_id", "source"), "listing_id"))
     pairs = blocking.shared_keys(forms)
     sides = forms.where("source in ('olx', 'gratka')").select("listing_id", "source", F.explode("keys").alias("key"))
     olx, gratka = sides.where("source = 'olx'"), sides.where("source = 'gratka'")
@@ -144,11 +148,11 @@ _BOX = "abs(b.lat-a.lat) <= CAST(10 AS DOUBLE)/111.32 AND abs(b.lon-a.lon) <= CA
 @query(f"""WITH {FORMS_SQL}, c AS (SELECT a.listing_id AS probe, b.listing_id AS candidate FROM g a JOIN g b ON a.kind=b.kind AND a.listing_id<>b.listing_id AND b.valid_to >= TIMESTAMP '{NOW}' - INTERVAL 180 DAY
   AND ((a.lat IS NOT NULL AND b.lat IS NOT NULL AND {_BOX}) OR ((a.lat IS NULL OR b.lat IS NULL) AND lower(a.city)=lower(b.city)))
   AND b.area_m2 BETWEEN a.area_m2*CASE WHEN a.kind='house' THEN 0.75 ELSE 0.94 END AND a.area_m2*CASE WHEN a.kind='house' THEN 1.25 ELSE 1.06 END
-  UNION SELECT a.listing_id, b.listing_id FROM g a JOIN g b ON a.kind=b.kind AND a.listing_id<>b.listing_id AND a.ref=b.ref AND b.valid_to >= TIMESTAMP '{NOW}' - INTERVAL 180 DAY)
+  UNION SELECT a.listing_id, b.listing_id FROM g a JOIN g b ON a.kind=b.kind AND a.listing_id<>b.listing_id AND list_has_any(a.keys, b.keys) AND b.valid_to >= TIMESTAMP '{NOW}' - INTERVAL 180 DAY)
 SELECT probe, count(*) AS candidates, min(candidate) AS first_candidate, max(candidate) AS last_candidate FROM c GROUP BY probe""")
 def candidate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    cur = current(spark, d)
-    forms = resolve.normal_forms(cur).join(cur.select("listing_id", "valid_to"), "listing_id")
+    cur = staged(current(spark, d))
+    forms = staged(resolve.normal_forms(cur).join(cur.select("listing_id", "valid_to"), "listing_id"))
     usable = forms.where(F.col("valid_to") >= F.lit(NOW).cast("timestamp_ntz") - F.expr("interval 180 days"))
     found = blocking.candidates(forms, usable)
     return found.groupBy("probe").agg(F.count("*").alias("candidates"), F.min("candidate").alias("first_candidate"), F.max("candidate").alias("last_candidate"))
@@ -159,11 +163,20 @@ def pair_decisions(spark: SparkSession, d: str) -> DataFrame:
     return _decided(spark, d)[1].where("matched").select("a_id", "b_id", "reason", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {PAIRS_SQL} SELECT d.reason, count(*) AS pairs FROM decided d JOIN cur a ON a_id=a.listing_id JOIN cur b ON b_id=b.listing_id
-WHERE NOT matched AND a.source<>b.source AND a.lat IS NOT NULL AND b.lat IS NOT NULL AND {_HAV} <= 2 AND {_tol('price', 0.1)} AND {_tol('area_m2', 0.1)} GROUP BY d.reason""")
+_SUSPECTS_SQL = f"""act AS (SELECT *, CAST(floor(lat / 0.02) AS INT) AS y FROM cur WHERE lat IS NOT NULL),
+pairs AS (SELECT a.listing_id AS a_id, b.listing_id AS b_id FROM act a JOIN (SELECT *, unnest([y - 1, y, y + 1]) AS yy FROM act) b ON a.kind = b.kind AND a.y = b.yy AND a.source <> b.source AND a.listing_id < b.listing_id
+  AND a.valid_to >= TIMESTAMP '1997-01-01' AND b.valid_to >= TIMESTAMP '1997-01-01' AND a.listing_id // 10 <> b.listing_id // 10
+  AND abs(a.lat - b.lat) <= 0.02 AND abs(a.lon - b.lon) <= 0.05 AND {_HAV} <= 2 AND abs(a.price - b.price) <= CAST(0.1 AS DOUBLE) * greatest(a.price, b.price) AND abs(a.area_m2 - b.area_m2) <= CAST(0.1 AS DOUBLE) * greatest(a.area_m2, b.area_m2)),"""
+
+
+# The listings' properties are those of an earlier run, here one a part; active listings only.
+@query("WITH " + PAIRS_SQL[: PAIRS_SQL.index("slim AS (")] + _SUSPECTS_SQL + PAIRS_SQL[PAIRS_SQL.index("p1 AS (") :] + " SELECT reason, count(*) AS pairs FROM decided GROUP BY reason")
 def rejected_reasons(spark: SparkSession, d: str) -> DataFrame:
-    cur, decided = _decided(spark, d)
-    return blocking.suspects(decided.where("not matched"), cur).groupBy("reason").agg(F.count("*").alias("pairs")).orderBy(F.desc("pairs"), "reason")
+    cur = staged(current(spark, d))
+    forms = staged(resolve.normal_forms(cur))
+    active = cur.where(F.col("valid_to") >= F.lit("1997-01-01").cast("timestamp_ntz")).withColumn("property_id", F.floor(F.col("listing_id") / 10))
+    decided = resolve.decisions(blocking.suspects(active).select("a_id", "b_id"), forms)
+    return decided.groupBy("reason").agg(F.count("*").alias("pairs")).orderBy(F.desc("pairs"), "reason")
 
 
 @query(CLUSTERS_SQL + " SELECT listing_id, property_id FROM clusters")
@@ -204,6 +217,7 @@ golden AS (SELECT property_id, count(*) AS listing_count, bool_and(ignored) AS i
   first(title ORDER BY CASE WHEN is_private THEN 0 ELSE 1 END, last_seen_at DESC, listing_id) FILTER (WHERE in_base) AS title,
   first(url ORDER BY CASE WHEN is_private THEN 0 ELSE 1 END, last_seen_at DESC, listing_id) FILTER (WHERE in_base) AS url,
   first(city ORDER BY CASE WHEN is_private THEN 0 ELSE 1 END, last_seen_at DESC, listing_id) FILTER (WHERE in_base) AS city,
+  coalesce(first(district ORDER BY CASE WHEN is_private THEN 0 ELSE 1 END, last_seen_at DESC, listing_id) FILTER (WHERE in_base), first(district ORDER BY last_seen_at DESC, listing_id) FILTER (WHERE in_base AND district IS NOT NULL)) AS district,
   first(lat ORDER BY CASE WHEN location_precision='exact' THEN 0 ELSE 1 END, last_seen_at DESC, listing_id) FILTER (WHERE in_base AND lat IS NOT NULL) AS lat,
   first(lon ORDER BY CASE WHEN location_precision='exact' THEN 0 ELSE 1 END, last_seen_at DESC, listing_id) FILTER (WHERE in_base AND lat IS NOT NULL) AS lon,
   first(area_m2 ORDER BY last_seen_at DESC, listing_id) FILTER (WHERE in_base) AS area_m2,
@@ -220,7 +234,7 @@ def _golden(spark: SparkSession, d: str) -> DataFrame:
 def golden_properties(spark: SparkSession, d: str) -> DataFrame:
     out = _golden(spark, d).withColumn("sources", F.array_join("sources", "+"))
     out = out.withColumn("links", F.array_join(F.transform("links", lambda x: F.concat_ws(":", x.source, x.active.cast("string"))), ","))
-    return out.select("property_id", "listing_count", "ignored", "is_active", "first_seen_at", "last_seen_at", "price", "price_min", "price_max", "is_private", "sources", "kind", "title", "url", "city", "lat", "lon", "area_m2", "links", "price_per_m2")
+    return out.select("property_id", "listing_count", "ignored", "is_active", "first_seen_at", "last_seen_at", "price", "price_min", "price_max", "is_private", "sources", "kind", "title", "url", "city", "district", "lat", "lon", "area_m2", "links", "price_per_m2")
 
 
 _ALERTS = GOLDEN_SQL + f""", {SEARCHES_SQL},

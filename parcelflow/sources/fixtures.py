@@ -45,6 +45,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(s % 3 == 0, True).when(s % 3 == 1, False).alias("is_private"),
         F.when(p % 50 == 7, F.concat(F.lit("REF-"), p.cast("string"))).alias("external_id"),
         (F.col("l_shipdate").cast("timestamp_ntz") + F.expr("interval 30 days")).alias("valid_to"),
+        F.when(p % 4 != 0, F.concat(F.lit("D"), (p % 9).cast("string"))).alias("district"),
+        F.when(s % 4 == 1, F.concat(F.lit(" ID-"), (s % 50).cast("string"))).alias("advertiser_id"),
+        F.when(p % 40 == 3, p.cast("string")).alias("internal_id"),
+        F.when(p % 60 == 21, F.concat(F.lit("of "), (p % 1000 + 5000).cast("string"))).alias("offer_number"),
     )
 
 
@@ -59,7 +63,9 @@ OBS_SQL = """obs AS (
     CASE WHEN l_partkey%10<>0 THEN CAST(19.86 AS DOUBLE)+(l_partkey%37)*CAST(0.011 AS DOUBLE)+(l_suppkey%3)*CAST(0.0005 AS DOUBLE) END AS lon,
     CASE WHEN l_suppkey%2=0 THEN 'exact' ELSE 'approx' END AS location_precision, CAST(CASE WHEN l_suppkey%2=0 THEN 0 ELSE 1 END AS DOUBLE) AS location_radius_km,
     n_name AS city, s_name AS advertiser_name, CASE l_suppkey%3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_private,
-    CASE WHEN l_partkey%50=7 THEN 'REF-' || CAST(l_partkey AS VARCHAR) END AS external_id, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 30 DAY AS valid_to
+    CASE WHEN l_partkey%50=7 THEN 'REF-' || CAST(l_partkey AS VARCHAR) END AS external_id, CAST(l_shipdate AS TIMESTAMP) + INTERVAL 30 DAY AS valid_to,
+    CASE WHEN l_partkey%4<>0 THEN 'D' || CAST(l_partkey%9 AS VARCHAR) END AS district, CASE WHEN l_suppkey%4=1 THEN ' ID-' || CAST(l_suppkey%50 AS VARCHAR) END AS advertiser_id,
+    CASE WHEN l_partkey%40=3 THEN CAST(l_partkey AS VARCHAR) END AS internal_id, CASE WHEN l_partkey%60=21 THEN 'of ' || CAST(l_partkey%1000+5000 AS VARCHAR) END AS offer_number
   FROM lineitem JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey JOIN nation ON s_nationkey=n_nationkey)"""
 CUR_SQL = OBS_SQL + """,
 cur AS (
