@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EARTH_KM, KM_A_DEGREE, M_A_DEGREE = 6371.0, 111.32, 111320.0
+EARTH_KM, KM_A_DEGREE, M_A_DEGREE = 6371.0, 111.32, 111320.0  # fixed values, as is the least cosine of 0.2 below
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -62,11 +62,37 @@ def round2(x: Column) -> Column:
     return F.floor(x * 100 + 0.5) / 100
 
 
-def covering_radius_km(area: tuple[float, float, float, float]) -> Column:
-    """Whole kilometres of the circle around the centre that covers the rectangle."""
-    south, west, north, east = area
-    lat, lon = round((south + north) / 2, 5), round((west + east) / 2, 5)
-    return F.greatest(F.lit(1), F.ceil(haversine_km(F.lit(lat), F.lit(lon), F.lit(north), F.lit(east)))).cast("int")
+def round5(x: Column) -> Column:
+    return F.floor(x * 100_000 + 0.5) / 100_000
+
+
+def centre(south: Column, west: Column, north: Column, east: Column) -> tuple[Column, Column]:
+    """The rectangle's middle, to five decimals."""
+    return round5((south + north) / 2), round5((west + east) / 2)
+
+
+def covering_radius_km(south: Column, west: Column, north: Column, east: Column) -> Column:
+    """Whole kilometres of the circle around the centre that covers the rectangle, one at least."""
+    lat, lon = centre(south, west, north, east)
+    return F.greatest(F.lit(1), F.ceil(haversine_km(lat, lon, north, east))).cast("int")
+
+
+def size_km(south: Column, west: Column, north: Column, east: Column) -> tuple[Column, Column]:
+    """Width and height through the centre."""
+    lat, lon = centre(south, west, north, east)
+    return haversine_km(lat, west, lat, east), haversine_km(south, lon, north, lon)
+
+
+def around(lat: Column, lon: Column, km: Column) -> tuple[Column, Column, Column, Column]:
+    """The square of ``km`` to every side of a point, to five decimals."""
+    d_lat, d_lon = degrees_of(km, lat)
+    return round5(lat - d_lat), round5(lon - d_lon), round5(lat + d_lat), round5(lon + d_lon)
+
+
+def expand(south: Column, west: Column, north: Column, east: Column, km: Column) -> tuple[Column, Column, Column, Column]:
+    """The rectangle with a margin of ``km``."""
+    d_lat, d_lon = degrees_of(km, centre(south, west, north, east)[0])
+    return south - d_lat, west - d_lon, north + d_lat, east + d_lon
 
 
 def snap_up(km: Column, allowed: list[int]) -> Column:

@@ -169,3 +169,43 @@ def escape_html(text: Column) -> Column:
 
 def https_url(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^https?://[^\s]+$"), F.lit(False))
+
+
+# Regions by the first two digits of a unit's code.
+REGIONS = {
+    "02": "dolnoslaskie", "04": "kujawsko-pomorskie", "06": "lubelskie", "08": "lubuskie", "10": "lodzkie", "12": "malopolskie", "14": "mazowieckie", "16": "opolskie",
+    "18": "podkarpackie", "20": "podlaskie", "22": "pomorskie", "24": "slaskie", "26": "swietokrzyskie", "28": "warminsko-mazurskie", "30": "wielkopolskie", "32": "zachodniopomorskie",
+}
+
+
+def region(code: Column) -> Column:
+    """Region of a unit's code; that of the home area for codes of none."""
+    regions = F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair])
+    return F.coalesce(F.try_element_at(regions, F.substring(code, 1, 2)), F.lit(REGIONS["12"]))
+
+
+def location_path(code: Column, county: Column, name: Column, town: Column) -> Column:
+    """region/county/unit; a town that is its own county stands twice."""
+    own = town & (slug(name) == slug(county))
+    return F.concat_ws("/", region(code), F.when(own, slug(name)).otherwise(slug(county)), slug(name))
+
+
+def kind_of_label(label: Column, fallback: Column) -> Column:
+    return F.when(label.rlike("(?i)^dom"), "house").when(label.rlike("(?i)^dzia"), "plot").otherwise(fallback)
+
+
+def query_parameter(url: Column, name: str) -> Column:
+    """Value of a URL's query parameter; null if it has none."""
+    return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
+
+
+def area_text(area: Column, kind: Column) -> Column:
+    """Large plots in hectares with two decimals and a comma, else whole square metres."""
+    hectares = F.concat(F.replace(F.format_number(area / 10000, 2), F.lit("."), F.lit(",")), F.lit(" ha"))
+    metres = F.concat(F.replace(F.format_number(area, 0), F.lit(","), F.lit(" ")), F.lit(" m²"))
+    return F.when((kind == "plot") & (area >= 10000), hectares).otherwise(metres)
+
+
+def shortened(text: Column, length: int = 90) -> Column:
+    """At most ``length`` characters; a longer text ends in an ellipsis three characters earlier."""
+    return F.when(F.length(text) > length, F.concat(F.substring(text, 1, length - 3), F.lit("…"))).otherwise(text)

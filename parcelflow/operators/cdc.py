@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geo
 
 KEY = ["source", "source_id"]
-COALESCED = ["area_m2", "plot_area_m2", "city", "is_private", "external_id", "advertiser_name", "valid_to"]
+COALESCED = ["area_m2", "plot_area_m2", "city", "district", "is_private", "external_id", "internal_id", "offer_number", "advertiser_name", "advertiser_id", "location_precision", "location_radius_km", "valid_to"]
 
 
 def first_per_key(rows: DataFrame, order: list[str], key: list[str] = KEY) -> DataFrame:
@@ -62,7 +62,7 @@ def upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
 
 def sweep(rows: DataFrame, sweeps: DataFrame) -> DataFrame:
     """Deactivate what a full walk of its (source, kind) has not seen; a strict comparison with the walk's start."""
-    out = rows.join(F.broadcast(sweeps), ["source", "kind"], "left")  # one row a source and kind
+    out = rows.join(sweeps, ["source", "kind"], "left")
     return out.withColumn("is_active", F.col("is_active") & ~F.coalesce(F.col("last_seen_at") < F.col("started"), F.lit(False)))
 
 
@@ -93,13 +93,33 @@ def set_ignored(rows: DataFrame, cond: Column, value: bool) -> DataFrame:
 
 
 def latest_flags(events: DataFrame) -> DataFrame:
-    """hidden, favorite and hidden_at of each property by its latest event of each kind."""
+    """Flags of each property by its latest event of each kind, since when they stand, and its latest note."""
     order = F.struct("ts", "event_id")
-    last = lambda kind: F.coalesce(F.max_by("on", F.when(F.col("action") == kind, order)), F.lit(False))
-    return events.groupBy("property_id").agg(last("hide").alias("hidden"), last("favorite").alias("favorite"), F.max(F.when(F.col("action") == "hide", F.col("ts"))).alias("hidden_at"))
+    last = lambda kind, value="on": F.max_by(value, F.when(F.col("action") == kind, order))
+    at = lambda kind: F.when(last(kind), F.max(F.when(F.col("action") == kind, F.col("ts"))))
+    note = [last("note", "note").alias("note")] if "note" in events.columns else []
+    return events.groupBy("property_id").agg(
+        F.coalesce(last("hide"), F.lit(False)).alias("hidden"), at("hide").alias("hidden_at"), F.coalesce(last("favorite"), F.lit(False)).alias("favorite"), at("favorite").alias("favorite_at"), *note)
 
 
 def waits_for_details(rows: DataFrame, with_details: list[str]) -> tuple[DataFrame, DataFrame]:
     """(assign now, wait): rows without coordinates or property, of sources that have ad pages, wait."""
     wait = F.col("lat").isNull() & F.col("property_id").isNull() & F.col("source").isin(with_details)
     return rows.where(~wait), rows.where(wait)
+
+
+def overlay(stored: Column, given: Column) -> Column:
+    """Keys of both attribute maps; where both have one, the given value."""
+    kept = F.map_filter(stored, lambda k, _: ~F.coalesce(F.map_contains_key(given, k), F.lit(False)))
+    return F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), F.coalesce(given, F.create_map().cast("map<string,string>")))
+
+
+def distinct_links(links: Column) -> Column:
+    """The first link of every URL, in order."""
+    urls = F.transform(links, lambda x: x.url)
+    return F.filter(links, lambda x, k: F.array_position(urls, x.url) == k + 1)
+
+
+def touched(changed: DataFrame) -> DataFrame:
+    """Distinct properties of changed rows; rows without one touch none."""
+    return changed.select("property_id").where("property_id is not null").distinct()

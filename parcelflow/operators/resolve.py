@@ -228,3 +228,46 @@ def apply_overrides(computed: DataFrame, overrides: DataFrame) -> DataFrame:
     last = overrides.groupBy("listing_id").agg(F.max_by(F.struct("action", "property_id"), F.struct("at", "action")).alias("o"))
     pinned = last.select("listing_id", F.when(F.col("o.action") == "split", F.col("listing_id")).otherwise(F.col("o.property_id")).alias("pinned"))
     return computed.join(pinned, "listing_id", "left").select("listing_id", F.coalesce("pinned", "property_id").alias("property_id"), F.col("pinned").isNotNull().alias("is_pinned"))
+
+
+def reassign(listings: DataFrame, matched: DataFrame) -> DataFrame:
+    """(listing_id, before, property_id): stored assignments looked at anew, all passes at once.
+
+    Matched listings come together, as repeated passes would bring them: a component takes the smallest property of its
+    pinned listings, or of all if none is pinned. Pinned listings, and those without place and city, stay where they are.
+    """
+    still = F.col("pinned") | (F.col("lat").isNull() & F.col("city").isNull())
+    movable = listings.where(~still).select("listing_id")
+    pinned = listings.where("pinned").select("listing_id")
+    takes_part = movable.unionAll(pinned)
+    edges = matched.select("a_id", "b_id").join(takes_part.toDF("a_id"), "a_id", "left_semi").join(takes_part.toDF("b_id"), "b_id", "left_semi")
+    found = clusters(takes_part, edges).withColumnRenamed("property_id", "component")
+    held = listings.select("listing_id", "property_id", "pinned").join(found, "listing_id", "left")
+    names = held.where("component is not null").groupBy("component").agg(F.coalesce(F.min(F.when(F.col("pinned"), F.col("property_id"))), F.min("property_id"), F.min("listing_id")).alias("name"))
+    joined = held.join(names, "component", "left")
+    return joined.select("listing_id", F.col("property_id").alias("before"), F.when(F.col("pinned") | F.col("name").isNull(), F.col("property_id")).otherwise(F.col("name")).alias("property_id"))
+
+
+def without_listings(properties: DataFrame, listings: DataFrame) -> DataFrame:
+    """Properties that no listing stands for any more."""
+    return properties.join(listings.select("property_id"), "property_id", "left_anti")
+
+
+def merge_flags(properties: DataFrame, merges: DataFrame) -> DataFrame:
+    """Properties after manual merges (target, source): flags of both, the target's note and time first; sources go.
+
+    Several sources of one target count in order of their ids.
+    """
+    sides = merges.select(F.col("target").alias("into"), F.col("source").alias("property_id"), F.lit(1).alias("later")).unionByName(
+        merges.select(F.col("target").alias("into"), F.col("target").alias("property_id"), F.lit(0).alias("later")).distinct())
+    rows = properties.join(sides, "property_id", "left").withColumn("into", F.coalesce("into", "property_id"))
+    order = F.struct("later", "property_id")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c)
+    return rows.groupBy(F.col("into").alias("property_id")).agg(F.max("hidden").alias("hidden"), F.max("favorite").alias("favorite"), first("favorite_at"), first("note"))
+
+
+def split_exclusions(listings: DataFrame, splits: DataFrame) -> DataFrame:
+    """(a_id, b_id): a listing split off is kept apart from every sibling it had; each pair once."""
+    left = splits.select(F.col("listing_id").alias("split_id")).distinct().join(listings.select(F.col("listing_id").alias("split_id"), "property_id"), "split_id")
+    both = left.join(listings.select("listing_id", "property_id"), "property_id").where("listing_id <> split_id")
+    return both.select(F.least("split_id", "listing_id").alias("a_id"), F.greatest("split_id", "listing_id").alias("b_id")).distinct()

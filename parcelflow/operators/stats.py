@@ -47,7 +47,7 @@ def adaptive_histogram(prices: DataFrame, edges: list[int], most: int, narrowest
 
 def latest_totals(reports: DataFrame, places: DataFrame) -> DataFrame:
     """Sum over configured places of the latest total reported per (source, kind, place)."""
-    last = reports.join(F.broadcast(places), "place", "left_semi").groupBy("source", "kind", "place").agg(F.max_by("total", "at").alias("total"))  # places of the settings
+    last = reports.join(places, "place", "left_semi").groupBy("source", "kind", "place").agg(F.max_by("total", "at").alias("total"))  # places of the settings
     return last.groupBy("source", "kind").agg(F.sum("total").alias("reported"))
 
 

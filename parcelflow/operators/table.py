@@ -62,10 +62,12 @@ def predicate(f: Filters, centre: tuple[float, float], now: str, sources_column:
     return out
 
 
-def matches(q: str) -> Column:
-    """Literal substring of title or city in any case, or the exact source_id."""
-    low = F.lit(q.lower())
-    return F.coalesce(F.contains(F.lower("title"), low), F.lit(False)) | F.coalesce(F.contains(F.lower("city"), low), F.lit(False)) | (F.col("source_id") == q)
+def matches(q: str, columns: tuple[str, ...] = ("title", "city", "district")) -> Column:
+    """Literal substring of title, city or district in any case, or the exact source_id."""
+    out = F.col("source_id") == q
+    for column in columns:
+        out = out | F.coalesce(F.contains(F.lower(column), F.lit(q.lower())), F.lit(False))
+    return out
 
 
 def newest(rows: DataFrame, n: int) -> DataFrame:
@@ -78,6 +80,26 @@ def page(rows: DataFrame, key: str, descending: bool, offset: int, limit: int) -
     return rows.orderBy(order, F.desc("listing_id")).offset(offset).limit(limit)
 
 
+#: Orders of the list: value, whether it falls; all put missing values last, then the newest.
+VIEWS = {"price_up": ("price", False), "price_down": ("price", True), "area_down": ("area_m2", True), "price_per_m2_up": ("price_per_m2", False), "distance_up": ("km", False), "newest": ("first_seen_at", True)}
+
+
+def view(rows: DataFrame, order: str, n: int) -> DataFrame:
+    key, falling = VIEWS[order]
+    first = F.col(key).desc_nulls_last() if falling else F.col(key).asc_nulls_last()
+    return rows.orderBy(first, F.desc("first_seen_at"), F.desc("listing_id")).limit(n)
+
+
+def active_first(rows: DataFrame, n: int) -> DataFrame:
+    """Active listings first, then the last seen."""
+    return rows.orderBy(F.desc("is_active"), F.desc("last_seen_at"), F.desc("listing_id")).limit(n)
+
+
+def latest(rows: DataFrame, n: int, *first: str) -> DataFrame:
+    """The latest runs by id, or the next jobs by ``first`` and id."""
+    return rows.orderBy(*(F.col(c) for c in first), F.col("event_id") if first else F.desc("event_id")).limit(n)
+
+
 def backlog(rows: DataFrame, n: int, attempts: int = 3) -> DataFrame:
     """Active listings without coordinates that may still be looked up, newest first."""
     return newest(rows.where(F.col("lat").isNull() & F.col("is_active") & F.col("enriched_at").isNull() & (F.col("attempts") < attempts)), n)

@@ -172,9 +172,10 @@ def prune_outside(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT user_id % 997 AS property_id, ts, event_id, CASE event_id % 3 WHEN 0 THEN 'hide' WHEN 1 THEN 'favorite' ELSE 'note' END AS action, event_id % 2 = 0 AS on_ FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY property_id, action ORDER BY ts DESC, event_id DESC) AS rn FROM e)
-SELECT property_id, coalesce(bool_or(on_) FILTER (WHERE action='hide'), FALSE) AS hidden, coalesce(bool_or(on_) FILTER (WHERE action='favorite'), FALSE) AS favorite, max(ts) FILTER (WHERE action='hide') AS hidden_at
+SELECT property_id, coalesce(bool_or(on_) FILTER (WHERE action='hide'), FALSE) AS hidden, max(ts) FILTER (WHERE action='hide' AND on_) AS hidden_at, coalesce(bool_or(on_) FILTER (WHERE action='favorite'), FALSE) AS favorite,
+  max(ts) FILTER (WHERE action='favorite' AND on_) AS favorite_at, max('n' || CAST(event_id AS VARCHAR)) FILTER (WHERE action='note') AS note
 FROM r WHERE rn = 1 GROUP BY property_id""")
 def user_flags(spark: SparkSession, d: str) -> DataFrame:
     action = F.when(F.col("event_id") % 3 == 0, "hide").when(F.col("event_id") % 3 == 1, "favorite").otherwise("note")
-    events = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 997).alias("property_id"), "ts", "event_id", action.alias("action"), (F.col("event_id") % 2 == 0).alias("on"))
+    events = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 997).alias("property_id"), "ts", "event_id", action.alias("action"), (F.col("event_id") % 2 == 0).alias("on"), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("note"))
     return cdc.latest_flags(events)
