@@ -56,9 +56,9 @@ def run_ingest(spark: SparkSession, sf_dir: str, batches: int = 3) -> DataFrame:
     return steps.groupBy("source", "source_id").agg(F.max("observed_at").alias("last_seen_at"), last.alias("price"), F.count_if("is_change").alias("history_rows"))
 
 
-def rates(events: DataFrame, late: str = "10 minutes", width: str = "10 minutes") -> DataFrame:
-    """Requests per window and type, closed by a watermark."""
-    return events.withWatermark("at", late).groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("requests"), F.count_if(F.col("value") > 50).alias("large"))
+def rates(events: DataFrame, late: str = "10 minutes", width: str = "10 minutes", slide: str = "1 minute") -> DataFrame:
+    """Requests of the trailing ``width`` and type, every ``slide``, closed by a watermark."""
+    return events.withWatermark("at", late).groupBy(F.window("at", width, slide), "event_type").agg(F.count("*").alias("requests"), F.count_if(F.col("value") > 50).alias("large"))
 
 
 def run_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
