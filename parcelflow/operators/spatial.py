@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo
+from parcelflow.sources.shared import staged
 
 ON_M, NEAR_M = 150, 500
 
@@ -52,24 +53,52 @@ def _crosses(lat: Column, lon: Column) -> Column:
     return ((F.col("a_lat") > lat) != (F.col("b_lat") > lat)) & (lon < (F.col("b_lon") - F.col("a_lon")) * (lat - F.col("a_lat")) / F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0.0)) + F.col("a_lon"))
 
 
+CELL = 0.1  # degrees
+
+
 def containing_units(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(listing_id, terc) of every ring that contains the point: points meet only units whose box covers them."""
+    """(listing_id, terc) of every ring that contains the point: points meet the rings whose boxes cover their cell."""
     boxes = edges.groupBy("terc", "ring").agg(F.min("a_lat").alias("s"), F.max("a_lat").alias("n"), F.min("a_lon").alias("w"), F.max("a_lon").alias("e"),
                                               F.collect_list(F.struct("a_lat", "a_lon", "b_lat", "b_lon")).alias("edges"))
-    located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon")
-    met = located.join(boxes, F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
+    boxes = boxes.withColumn("y", cells("s", "n")).withColumn("x", cells("w", "e"))
+    located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon", F.floor(F.col("lat") / CELL).alias("y"), F.floor(F.col("lon") / CELL).alias("x"))
+    met = located.join(boxes, ["y", "x"]).where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
     odd = F.size(F.filter("edges", lambda x: ((x.a_lat > F.col("lat")) != (x.b_lat > F.col("lat"))) & (F.col("lon") < (x.b_lon - x.a_lon) * (F.col("lat") - x.a_lat) / F.nullif(x.b_lat - x.a_lat, F.lit(0.0)) + x.a_lon))) % 2 == 1
     return met.where(odd).select("listing_id", "terc")
 
 
+def nearest_centres(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(listing_id, terc) of the nearest centre (terc, c_lat, c_lon); ties, to the millimetre, by terc.
+
+    Points and centres meet in grid cells. A round settles the points whose nearest centre lies within a cell's width;
+    the rest meet in cells four times as wide.
+    """
+    left, done, step = staged(points), None, 4 * CELL
+    while True:
+        last = step >= 360
+        cell = lambda c, name: F.floor(F.col(c) / step).alias(name)  # noqa: B023, E731
+        near = centres.select("terc", "c_lat", "c_lon", cell("c_lat", "y"), cell("c_lon", "x")).withColumn("y", geo.neighbours(F.col("y"))).withColumn("x", geo.neighbours(F.col("x")))
+        met = left.select("listing_id", "lat", "lon", cell("lat", "y"), cell("lon", "x")).join(near, ["y", "x"])
+        km = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
+        best = met.groupBy("listing_id").agg(F.min(F.struct(F.floor(km * 1_000_000 + 0.5).alias("d"), "terc")).alias("n"), F.first("lat").alias("lat"))
+        reach = F.lit(step * geo.KM_A_DEGREE * 0.99) * F.cos(F.radians(F.least(F.abs("lat") + step, F.lit(89.0))))
+        found = staged(best.where(F.lit(last) | (F.col("n.d") / 1_000_000 <= reach)).select("listing_id", "n.terc"))
+        done = found if done is None else done.unionAll(found)
+        if last:
+            return done
+        left = staged(left.join(found, "listing_id", "left_anti"))
+        if left.isEmpty():
+            return done
+        step *= 4
+
+
 def unit_of_point(points: DataFrame, edges: DataFrame) -> DataFrame:
     """The first unit that contains a point, else the one with the nearest centroid."""
-    inside = containing_units(points, edges).groupBy("listing_id").agg(F.min("terc").alias("inside"))
-    located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon")
-    centres = edges.select(F.struct("terc", "c_lat", "c_lon").alias("c")).distinct().agg(F.collect_list("c").alias("centres"))  # one row: the units' centroids
-    km = lambda c: geo.haversine_km(F.col("lat"), F.col("lon"), c.c_lat, c.c_lon)
-    near = located.crossJoin(centres).select("listing_id", F.array_min(F.transform("centres", lambda c: F.struct(F.floor(km(c) * 1000000 + 0.5).alias("d"), c.terc.alias("terc")))).alias("n"))
-    return near.join(inside, "listing_id", "left").select("listing_id", F.coalesce("inside", "n.terc").alias("terc"), F.col("inside").isNotNull().alias("contained"))
+    located = staged(points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon"))
+    inside = staged(containing_units(located, edges).groupBy("listing_id").agg(F.min("terc").alias("terc")))
+    near = nearest_centres(located.join(inside, "listing_id", "left_anti"), edges.select("terc", "c_lat", "c_lon").distinct())
+    return inside.withColumn("contained", F.lit(True)).unionByName(near.withColumn("contained", F.lit(False)))
 
 
 def units_meeting(edges: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:

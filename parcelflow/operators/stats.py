@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,11 +57,20 @@ def coverage(own: DataFrame, reported: DataFrame) -> DataFrame:
     return rows.withColumn("percent", F.when(F.col("reported") > 0, F.least(F.lit(100), F.floor(F.col("own") * 100.0 / F.col("reported") + 0.5))))
 
 
+def _micros() -> Column:
+    return F.unix_micros(F.col("ts").cast("timestamp"))
+
+
 def trailing_rate(events: DataFrame, limit: int, minutes: int = 10) -> DataFrame:
-    """Requests of the last ``minutes`` per source, the far end excluded; when over the limit, the time to retry."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = Window.partitionBy("source").orderBy("at").rangeBetween(-(minutes * 60_000_000 - 1), 0)
-    rows = events.withColumn("at", at).withColumn("recent", F.count("*").over(span)).withColumn("oldest", F.min("ts").over(span))
+    """Requests of the last ``minutes`` per source, the far end excluded; when over the limit, the time to retry.
+
+    A source's log is cut into slices as long as the window; an event is also shown to the slice after its own, so that
+    no group is longer than two slices.
+    """
+    width = minutes * 60_000_000
+    sliced = events.withColumn("at", _micros()).withColumn("shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("slice", F.floor(F.col("at") / width) + F.col("shift"))
+    span = Window.partitionBy("source", "slice").orderBy("at").rangeBetween(-(width - 1), 0)
+    rows = sliced.withColumn("recent", F.count("*").over(span)).withColumn("oldest", F.min("ts").over(span)).where("shift = 0")
     over = F.col("recent") > limit
     return rows.select("event_id", "source", "recent", over.alias("over_limit"), F.when(over, F.col("oldest") + F.expr(f"interval {minutes} minutes")).alias("retry_at"))
 
@@ -74,18 +83,36 @@ def _streaks(rows: DataFrame, by: list[str], order: list[str], breaks) -> DataFr
     return rows.withColumn("streak", place - F.when(F.col("island") > 0, 1).otherwise(0))
 
 
+HOUR = 3_600_000_000
+
+
 def failure_streaks(events: DataFrame) -> DataFrame:
-    """Consecutive failures per source and the pause they ask for: 45 minutes doubled each time, six hours at most."""
-    rows = _streaks(events, ["source"], ["ts", "event_id"], ~F.col("failed")).where("failed")
-    pause = F.least(F.lit(360), (F.lit(45) * F.pow(F.lit(2.0), F.col("streak") - 1)).cast("long"))
-    return rows.select("event_id", "source", F.col("streak").cast("long").alias("streak"), pause.alias("backoff_minutes"))
+    """Consecutive failures per source and the pause they ask for: 45 minutes doubled each time, six hours at most.
+
+    Streaks are counted within an hour's slice; the failures that a slice ends with are carried into the next ones by a
+    window over the slices alone.
+    """
+    rows = _streaks(events.withColumn("slice", F.floor(_micros() / HOUR)), ["source", "slice"], ["ts", "event_id"], ~F.col("failed"))
+    ends = rows.groupBy("source", "slice").agg(F.max("island").alias("breaks"), F.max_by("streak", F.struct("ts", "event_id")).alias("tail"))
+    order = Window.partitionBy("source").orderBy("slice")
+    ends = ends.withColumn("run", F.sum((F.col("breaks") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = F.sum("tail").over(Window.partitionBy("source", "run").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0))
+    carried = ends.withColumn("so_far", so_far).select("source", "slice", F.coalesce(F.lag("so_far").over(order), F.lit(0)).alias("carried"))
+    rows = rows.where("failed").join(carried, ["source", "slice"])
+    streak = F.col("streak") + F.when(F.col("island") == 0, F.col("carried")).otherwise(0)
+    pause = F.least(F.lit(360), (F.lit(45) * F.pow(F.lit(2.0), F.least(streak, F.lit(10)) - 1)).cast("long"))
+    return rows.select("event_id", "source", streak.cast("long").alias("streak"), pause.alias("backoff_minutes"))
 
 
 def gaps(events: DataFrame, least_us: int) -> DataFrame:
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(Window.partitionBy("source").orderBy("ts", "event_id"))
-    rows = events.select("source", gap.alias("gap"))
-    return rows.groupBy("source").agg(F.count("gap").alias("gaps"), F.min("gap").alias("least_us"), F.count_if(F.col("gap") < least_us).alias("too_soon"))
+    """Pauses between a source's events: within slices of an hour, and from slice to slice."""
+    rows = events.select("source", "event_id", _micros().alias("at")).withColumn("slice", F.floor(F.col("at") / HOUR))
+    gap = F.col("at") - F.lag("at").over(Window.partitionBy("source", "slice").orderBy("at", "event_id"))
+    sums = [F.count("gap").alias("gaps"), F.min("gap").alias("least_us"), F.count_if(F.col("gap") < least_us).alias("too_soon")]
+    slices = rows.withColumn("gap", gap).groupBy("source", "slice").agg(*sums, F.min("at").alias("first"), F.max("at").alias("last"))
+    between = slices.select("source", (F.col("first") - F.lag("last").over(Window.partitionBy("source").orderBy("slice"))).alias("gap"))
+    parts = slices.select("source", "gaps", "least_us", "too_soon").unionByName(between.groupBy("source").agg(*sums))
+    return parts.groupBy("source").agg(F.sum("gaps").alias("gaps"), F.min("least_us").alias("least_us"), F.sum("too_soon").alias("too_soon"))
 
 
 def stop_pages(pages: DataFrame, walk: list[str], empty: int = 2, most: int = 5) -> DataFrame:
@@ -95,11 +122,14 @@ def stop_pages(pages: DataFrame, walk: list[str], empty: int = 2, most: int = 5)
     return ends.select(*walk, F.least(F.coalesce("empty_at", "last"), F.lit(most), "last").cast("long").alias("stop_page"))
 
 
+COUNTERS = ("requests", "pages", "new_listings", "updated_listings", "new_properties", "deactivated", "enriched", "outside_area")
+
+
 def run_statistics(jobs: DataFrame, statuses: list[str], errors: int = 50) -> DataFrame:
-    """Jobs by status, summed counter and the last errors of each run, in job order."""
+    """Jobs by status, the eight counters summed, and the last errors of each run, in job order."""
     last = F.slice(F.sort_array(F.collect_list(F.when(F.col("event_type") == "error", F.col("event_id"))), asc=False), 1, errors)
-    grouped = jobs.groupBy("run").agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses], F.sum(F.floor("value")).alias("total"), last.alias("e"))
-    return grouped.select("run", *statuses, "total", F.array_join(F.transform(F.reverse("e"), lambda x: x.cast("string")), ",").alias("errors"))
+    grouped = jobs.groupBy("run").agg(*[F.count_if(F.col("status") == s).alias(s) for s in statuses], *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in COUNTERS], last.alias("e"))
+    return grouped.select("run", *statuses, *COUNTERS, F.array_join(F.transform(F.reverse("e"), lambda x: x.cast("string")), ",").alias("errors"))
 
 
 def run_outcomes(jobs: DataFrame, open_allowed: int = 0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelflow.functions import geo, text
@@ -270,16 +270,15 @@ def digest_chunks(spark: SparkSession, d: str) -> DataFrame:
     return alerts.chunks(_new(spark, d)).select("spec_id", "chunk", "summary", "properties", "ids")
 
 
-@query(CLUSTERS_SQL + """, o AS (SELECT * FROM (SELECT event_id, ts, event_id % 5 = 0 AS split, (SELECT count(*) FROM cur) AS n FROM events) ),
-ranked AS (SELECT listing_id, row_number() OVER (ORDER BY listing_id) - 1 AS k FROM cur),
+@query(CLUSTERS_SQL + """, o AS (SELECT * FROM (SELECT event_id, ts, event_id % 5 = 0 AS split, (SELECT count(*) FROM part) AS n FROM events) ),
+ranked AS (SELECT min(listing_id) AS listing_id, CAST(source_id AS BIGINT) - 1 AS k FROM cur GROUP BY source_id),
 ov AS (SELECT r.listing_id, split, t.listing_id AS target, ts, event_id FROM o JOIN ranked r ON r.k = (event_id * 7) % n JOIN ranked t ON t.k = (event_id * 13) % n),
 pin AS (SELECT listing_id, CASE WHEN split THEN listing_id ELSE target END AS pinned FROM ov QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT listing_id, coalesce(pinned, property_id) AS property_id, pinned IS NOT NULL AS is_pinned FROM clusters LEFT JOIN pin USING (listing_id)""")
 def manual_overrides(spark: SparkSession, d: str) -> DataFrame:
     cur, clusters = _clusters(spark, d)
-    ids = cur.select("listing_id").orderBy("listing_id")
-    ranked = ids.withColumn("k", F.row_number().over(Window.orderBy("listing_id")) - 1)  # a fixture: positions name listings
-    n = ranked.count()
+    ranked = staged(cur.groupBy((F.col("source_id").cast("long") - 1).alias("k")).agg(F.min("listing_id").alias("listing_id")))  # a fixture: parts name listings
+    n = spark.read.parquet(f"{d}/part.parquet").count()
     events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", ((F.col("event_id") * 7) % n).alias("k"), ((F.col("event_id") * 13) % n).alias("t"))
     made = events.join(ranked, "k").drop("k").join(ranked.withColumnsRenamed({"listing_id": "property_id", "k": "t"}), "t")
     overrides = made.select("listing_id", F.when(F.col("event_id") % 5 == 0, "split").otherwise("merge").alias("action"), "property_id", F.struct("ts", "event_id").alias("at"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.operators import stats
-from parcelflow.sources.fixtures import CUR_SQL, SOURCES, current
+from parcelflow.operators import spatial, stats
+from parcelflow.plans.space_queries import _DIST
+from parcelflow.sources.fixtures import CUR_SQL, SEGMENTS_SQL, SOURCES, current, segments
+from parcelflow.sources.shared import staged
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,10 +49,12 @@ def count_by_source_kind(spark: SparkSession, d: str) -> DataFrame:
     return active.groupBy("source").pivot("kind", ["plot", "house"]).count().na.fill(0, ["plot", "house"]).withColumn("everything", F.col("plot") + F.col("house"))
 
 
-@query(f"WITH {CUR_SQL} SELECT count(*) FILTER (WHERE kind='plot') AS plots, count(*) FILTER (WHERE kind='house') AS houses, count(*) FILTER (WHERE first_seen_at > TIMESTAMP '1995-01-01') AS new, count(*) FILTER (WHERE lat IS NULL) AS unlocated, count(*) FILTER (WHERE is_private IS NULL) AS unknown_owner FROM cur")
+@query(f"WITH {CUR_SQL}, {SEGMENTS_SQL}{_DIST} SELECT count(*) FILTER (WHERE kind='plot') AS plots, count(*) FILTER (WHERE kind='house') AS houses, count(*) FILTER (WHERE first_seen_at > TIMESTAMP '1995-01-01') AS new, count(*) FILTER (WHERE lat IS NULL) AS unlocated, count(*) FILTER (WHERE is_private IS NULL) AS unknown_owner, count(*) FILTER (WHERE listing_id IN (SELECT listing_id FROM near WHERE variant = 'A' AND metres <= 500)) AS near_corridor FROM cur")
 def facets(spark: SparkSession, d: str) -> DataFrame:
-    return current(spark, d).agg(
-        F.count_if(F.col("kind") == "plot").alias("plots"), F.count_if(F.col("kind") == "house").alias("houses"), F.count_if(F.col("first_seen_at") > F.lit("1995-01-01").cast("timestamp_ntz")).alias("new"),
+    cur = staged(current(spark, d))
+    near = spatial.near_corridor(spatial.nearest_lines(cur, segments(spark)), ["A"], spatial.NEAR_M).select("listing_id", F.lit(True).alias("near"))
+    return cur.join(near, "listing_id", "left").agg(
+        F.count_if(F.coalesce("near", F.lit(False))).alias("near_corridor"), F.count_if(F.col("kind") == "plot").alias("plots"), F.count_if(F.col("kind") == "house").alias("houses"), F.count_if(F.col("first_seen_at") > F.lit("1995-01-01").cast("timestamp_ntz")).alias("new"),
         F.count_if(F.col("lat").isNull()).alias("unlocated"), F.count_if(F.col("is_private").isNull()).alias("unknown_owner"))
 
 
@@ -119,10 +123,11 @@ def _jobs(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select(F.date_format("ts", "yyyy-MM-dd").alias("run"), "event_id", "event_type", "value", status.alias("status"), "ts")
 
 
-@query(f"""WITH {_RUNS} SELECT run, {", ".join(f"count(*) FILTER (WHERE status='{s}') AS {s}" for s in _STATUSES)}, CAST(sum(floor(value)) AS BIGINT) AS total,
+@query(f"""WITH {_RUNS} SELECT run, {", ".join(f"count(*) FILTER (WHERE status='{s}') AS {s}" for s in _STATUSES)}, {", ".join(f"CAST(coalesce(sum(floor(value)) FILTER (WHERE event_id % 8 = {k}), 0) AS BIGINT) AS {c}" for k, c in enumerate(stats.COUNTERS))},
 coalesce(array_to_string(list_reverse(list_slice(list_reverse(list(event_id ORDER BY event_id) FILTER (WHERE event_type='error')), 1, 50)), ','), '') AS errors FROM r GROUP BY run""")
 def run_stats(spark: SparkSession, d: str) -> DataFrame:
-    return stats.run_statistics(_jobs(spark, d), _STATUSES)
+    jobs = _jobs(spark, d)
+    return stats.run_statistics(jobs.withColumns({c: F.when(F.col("event_id") % 8 == k, F.floor("value")) for k, c in enumerate(stats.COUNTERS)}), _STATUSES)
 
 
 @query(f"WITH {_RUNS} SELECT run, CASE WHEN count(*) FILTER (WHERE status IN ('queued','running')) > 2 THEN 'open' WHEN count(*) FILTER (WHERE status='failed') > 0 THEN 'partial' ELSE 'done' END AS outcome FROM r GROUP BY run")
@@ -143,3 +148,13 @@ def status_summary(spark: SparkSession, d: str) -> DataFrame:
     by_property = cur.groupBy("source_id").agg(F.bool_and(F.col("lat").isNull()).alias("hidden"), F.count("*").alias("n"))
     own = by_property.agg(F.sum("n").alias("listings"), F.count("*").alias("properties"), F.count_if("hidden").alias("hidden"))
     return own.crossJoin(_jobs(spark, d).agg(F.count_if(F.col("status") == "queued").alias("queued")))  # one row each
+
+
+@query(f"""WITH {CUR_SQL}, h AS (SELECT *, bool_and(lat IS NULL) OVER (PARTITION BY source_id) AS hidden FROM cur)
+SELECT source, count(*) AS listings, count(DISTINCT source_id) AS properties, count(*) FILTER (WHERE hidden) AS hidden, max(last_seen_at) AS last_seen_at FROM h GROUP BY source""")
+def status_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """The status summary's part for each source."""
+    cur = current(spark, d)
+    hidden = cur.groupBy("source_id").agg(F.bool_and(F.col("lat").isNull()).alias("hidden"))
+    rows = cur.join(hidden, "source_id")
+    return rows.groupBy("source").agg(F.count("*").alias("listings"), F.countDistinct("source_id").alias("properties"), F.count_if("hidden").alias("hidden"), F.max("last_seen_at").alias("last_seen_at"))
