@@ -13,7 +13,7 @@ from parcelflow.llm.common import documents, staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that have no language: null texts and texts without a letter."""
+    """Drop documents that have no language, null texts and texts without a letter; a null ``lang`` gets the predicted one."""
     return op10_string_kernel_language.keep_known(docs)
 
 
@@ -23,7 +23,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose SimHash fingerprints are linked keep the row with the smallest doc_id."""
+    """Of texts whose SimHash fingerprints are linked keep one row, that of the smallest doc_id; rows are known by id and text."""
     return op5_simhash_trie.keep_one(docs)
 
 

@@ -122,7 +122,7 @@ def stop_pages(pages: DataFrame, walk: list[str], empty: int = 2, most: int = 5)
     return ends.select(*walk, F.least(F.coalesce("empty_at", "last"), F.lit(most), "last").cast("long").alias("stop_page"))
 
 
-COUNTERS = ("requests", "pages", "new_listings", "updated_listings", "new_properties", "deactivated", "enriched", "outside_area")
+COUNTERS = ("requests", "pages", "new_listings", "updated_listings", "new_properties", "deactivated", "enriched", "outside_area")  # fixed values
 
 
 def run_statistics(jobs: DataFrame, statuses: list[str], errors: int = 50) -> DataFrame:
