@@ -148,7 +148,8 @@ def keep_known(docs: DataFrame, model: KernelModel | None = None) -> DataFrame:
         return pd.Series(out, dtype=str)
 
     found = unused(docs, "found")
-    known = docs.withColumn(found, F.pandas_udf(language, "string")(F.col("text"))).where(F.col(found) != "und")
+    predicted = F.pandas_udf(language, "string").asNondeterministic()  # worked out once: not copied into the filter below
+    known = docs.withColumn(found, predicted(F.col("text"))).where(F.col(found) != "und")
     return known.withColumn("lang", F.coalesce("lang", found)).select(*docs.columns)
 
 
