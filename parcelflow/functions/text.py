@@ -41,9 +41,11 @@ def title_tokens(title: Column) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
+    """Distinct pairs of neighbouring characters of the joined words, each as one number: words hold ASCII only."""
     joined = F.array_join(tokens, "")
-    pairs = F.transform(F.sequence(F.lit(1), F.length(joined) - 1), lambda k: F.substring(joined, k, F.lit(2)))
-    return F.when(F.length(joined) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    code = lambda k: F.ascii(F.substring(joined, k, F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(joined) - 1), lambda k: code(k) * 128 + code(k + 1))
+    return F.when(F.length(joined) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<int>"))
 
 
 def dice(a: Column, b: Column) -> Column:
