@@ -92,17 +92,17 @@ def slug(text: Column) -> Column:
 
 
 def lenient_number(text: Column) -> Column:
-    return F.replace(F.regexp_replace(text, r"[\s ]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(F.regexp_replace(text, r"[\s  ]", ""), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def number_in_text(text: Column) -> Column:
     """First number of a label such as '1 900 zł'."""
-    return lenient_number(F.regexp_extract(F.regexp_replace(text, r"[\s ]", ""), r"\d+(?:[.,]\d+)?", 0))
+    return lenient_number(F.regexp_extract(F.regexp_replace(text, r"[\s  ]", ""), r"\d+(?:[.,]\d+)?", 0))
 
 
 def area_label(label: Column) -> Column:
     """Square metres of a label; hectares count 10 000, ares 100."""
-    tight = F.lower(F.regexp_replace(label, r"[\s ]", ""))
+    tight = F.lower(F.regexp_replace(label, r"[\s  ]", ""))
     number = F.replace(F.regexp_extract(tight, r"^([\d.,]+)(m²|m2|ha|ar|a)?", 1), F.lit(","), F.lit(".")).try_cast("double")
     unit = F.regexp_extract(tight, r"^([\d.,]+)(m²|m2|ha|ar|a)?", 2)
     return number * F.when(unit == "ha", 10000.0).when(unit.isin("ar", "a"), 100.0).otherwise(1.0)
@@ -122,6 +122,32 @@ def strip_html(html: Column, length: int = 500) -> Column:
     return F.when(F.length(out) > 0, out)
 
 
+# Named character references and what they stand for.
+REFERENCES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "sup2": "²", "sup3": "³", "deg": "°", "ndash": "–", "mdash": "—", "hellip": "…", "zwnj": "", "zwj": ""}
+
+
+def decoded(text: Column) -> Column:
+    """Character references resolved, unknown names left as they are; narrow and fixed spaces become plain ones."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"), F.lit(0)))
+    code = lambda r: F.when(F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, r"&#[xX](\w+);", 1), 16, 10)).otherwise(F.regexp_extract(r, r"&#(\d+);", 1)).try_cast("int")
+    char = lambda r: F.when(code(r) <= 0x10FFFF, F.decode(F.unhex(F.lpad(F.hex(code(r)), 8, "0")), "UTF-32")).otherwise("")
+    out = F.aggregate(found, text, lambda t, r: F.replace(t, r, char(r)))
+    for name, value in [*((k, v) for k, v in REFERENCES.items() if k != "amp"), ("amp", "&")]:
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(value))
+    return F.regexp_replace(out, "[\u00a0\u2007\u2009\u202f]", " ")
+
+
+def digits(text: Column) -> Column:
+    """The number that a text's digits make, spaces and words between them left out; a comma is the decimal mark."""
+    kept = F.regexp_replace(decoded(text), r"[^\d,.]", "")
+    return F.regexp_replace(kept, "^([^,]*),", "$1.").try_cast("double")
+
+
+def local_day(day: Column, zone: str = "Europe/Warsaw") -> Column:
+    """UTC time at which a local day begins."""
+    return F.to_utc_timestamp(day.cast("timestamp"), zone)
+
+
 def age_days(text: Column) -> Column:
     """Days of a relative age in Polish: days, weeks of 7, months of 30."""
     low = plain(text)

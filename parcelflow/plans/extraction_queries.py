@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import text
 from parcelflow.operators import stats
-from parcelflow.sources import extract, landing, sinks
+from parcelflow.sources import adapters, extract, landing, portals, sinks
 from parcelflow.sources.fixtures import CUR_SQL, SOURCES, current
 from parcelflow.sources.shared import scratch, staged
 
@@ -50,38 +50,101 @@ def extract_ads(spark: SparkSession, d: str) -> DataFrame:
     return ads.select("source_id", "lat", "lon", "location_precision", "is_gone", F.array_join(pairs, ",").alias("attributes"))
 
 
-@query(f"WITH {CUR_SQL} SELECT source, kind, {_ID} AS source_id, title, {_LD} AS price, area_m2, city FROM cur WHERE listing_id % 9 <> 0 AND listing_id % 11 <> 0")
+_AT = "CASE WHEN lat IS NULL THEN 'unknown' WHEN location_radius_km = 0 THEN 'exact' ELSE 'approx' END AS location_precision, CASE WHEN lat IS NOT NULL THEN location_radius_km END AS location_radius_km"
+_ORIGIN = "CASE source WHEN 'gratka' THEN 'https://gratka.pl' WHEN 'morizon' THEN 'https://www.morizon.pl' WHEN 'domiporta' THEN 'https://www.domiporta.pl' WHEN 'adresowo' THEN 'https://adresowo.pl' END"
+_CENTS = lambda x: f"floor(({x}) * 100 + CAST(0.5 AS DOUBLE)) / 100"
+_WARSAW = lambda x: f"((({x}) AT TIME ZONE 'Europe/Warsaw') AT TIME ZONE 'UTC')"
+
+
+def _text(ts: str, df: DataFrame) -> DataFrame:
+    """Times as text, so that both engines compare them alike."""
+    return df.withColumn(ts, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {CUR_SQL}, t AS (SELECT *, listing_id % 5 <> 0 AS listed, listing_id % 17 <> 0 AS linked FROM cur WHERE listing_id % 9 <> 0 AND listing_id % 11 <> 0),
+u AS (SELECT *, CASE WHEN listed THEN area_m2 + 1 ELSE area_m2 END AS area, CASE WHEN price > 0 THEN price END AS amount FROM t)
+SELECT source, kind, CASE WHEN linked THEN {_ID} END AS source_id, CASE WHEN linked THEN 'https://x.pl/oferta/' || {_ID} || '.html' END AS url, title || ' }};{{" & ]' AS title, amount AS price, area AS area_m2, CASE WHEN kind = 'house' THEN plot_area_m2 END AS plot_area_m2,
+  CASE WHEN listed AND linked THEN CAST(100 AS DOUBLE) ELSE {_CENTS("amount / area_m2")} END AS price_per_m2, CASE WHEN kind = 'house' THEN CAST(listing_id % 6 AS INT) END AS rooms, CASE WHEN kind = 'plot' THEN 'budowlana' END AS plot_type,
+  lat, lon, {_AT}, city, district, is_private, 'no:' || trim(advertiser_id) AS advertiser_id, CASE WHEN listed AND linked THEN 'Opis' END AS description_excerpt,
+  strftime({_WARSAW("make_timestamp(year(observed_at), 3, day(observed_at), 0, 0, 0)")}, '%Y-%m-%d %H:%M:%S') AS source_created_at FROM u WHERE linked
+UNION ALL SELECT source, kind, NULL, NULL, title || ' }};{{" & ]', amount, area_m2, CASE WHEN kind = 'house' THEN plot_area_m2 END, {_CENTS("amount / area_m2")}, CASE WHEN kind = 'house' THEN CAST(listing_id % 6 AS INT) END, CASE WHEN kind = 'plot' THEN 'budowlana' END,
+  lat, lon, {_AT}, city, district, is_private, 'no:' || trim(advertiser_id), NULL, strftime({_WARSAW("make_timestamp(year(observed_at), 3, day(observed_at), 0, 0, 0)")}, '%Y-%m-%d %H:%M:%S') FROM u WHERE NOT linked""")
 def extract_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return extract.tiles(_landed(spark, d, landing.tile_maps)).select("source", "kind", "source_id", "title", "price", "area_m2", "city")
+    """Tiles of a script's object whose strings hold brackets; offers at their side by the id of their link."""
+    rows = portals.tiles(_landed(spark, d, landing.tile_maps))
+    return _text("source_created_at", rows.select(
+        "source", "kind", "source_id", "url", "title", "price", "area_m2", "plot_area_m2", "price_per_m2", "rooms", "plot_type", "lat", "lon", "location_precision", "location_radius_km", "city", "district", "is_private", "advertiser_id", "description_excerpt", "source_created_at"))
 
 
-@query(f"""WITH {CUR_SQL} SELECT source, kind, 'f' || {_ID} AS source_id, price, area_m2, CAST(listing_id % 6 AS INT) AS rooms, city, 'D' || CAST(listing_id % 9 AS VARCHAR) AS district, advertiser_name,
-  CASE WHEN is_private = FALSE THEN FALSE END AS is_private, 'mg:' || {_ID} AS keys FROM cur""")
+@query(f"""WITH {CUR_SQL}, n AS (SELECT *, listing_id % 19 <> 0 AS linked, 1 AS copy FROM cur UNION ALL SELECT * REPLACE (1 AS price), FALSE, 2 FROM cur WHERE listing_id % 4 = 0 AND listing_id % 19 = 0)
+SELECT source, kind, CASE WHEN linked THEN 'f' || {_ID} END AS source_id, CASE WHEN linked THEN {_ORIGIN} || '/nieruchomosci/ob/' || {_ID} END AS url, title,
+  CASE WHEN price > 0 THEN price END AS price, area_m2, {_CENTS("price / area_m2")} AS price_per_m2, CASE WHEN kind = 'house' THEN CAST(listing_id % 6 AS INT) END AS rooms, city, 'D' || CAST(listing_id % 9 AS VARCHAR) AS district, advertiser_name, is_private,
+  CASE WHEN is_private IS NOT NULL THEN 'mg-agency:' || CAST(listing_id % 1000 AS VARCHAR) END AS advertiser_id, 'mg:' || {_ID} AS keys, listing_id % 8 = 0 AS promoted,
+  strftime({_WARSAW("date_trunc('day', observed_at)")}, '%Y-%m-%d %H:%M:%S') AS source_created_at, strftime({_WARSAW("CASE WHEN listing_id % 3 = 0 THEN last_seen_at ELSE date_trunc('day', observed_at) END")}, '%Y-%m-%d %H:%M:%S') AS source_refreshed_at FROM n""")
 def extract_nodes(spark: SparkSession, d: str) -> DataFrame:
-    rows = extract.nodes(_landed(spark, d, landing.node_lists))
+    """Nodes under a key that ends in the request's path; the first of each id stays, nodes without a link are errors."""
+    rows = portals.nodes(_landed(spark, d, landing.node_lists))
     keys = text.identity_keys(F.col("attributes")["internalId"], F.col("attributes")["externalId"], F.col("attributes")["offerNumber"])
-    return rows.select("source", "kind", "source_id", "price", "area_m2", "rooms", "city", "district", "advertiser_name", "is_private", F.array_join(keys, ",").alias("keys"))
+    rows = rows.select(
+        "source", "kind", "source_id", "url", "title", "price", "area_m2", "price_per_m2", "rooms", "city", "district", "advertiser_name", "is_private", "advertiser_id", F.array_join(keys, ",").alias("keys"),
+        (F.col("attributes")["promoted"] == "true").alias("promoted"), "source_created_at", "source_refreshed_at")
+    return _text("source_created_at", _text("source_refreshed_at", rows))
 
 
-@query(f"""WITH {CUR_SQL} SELECT listing_id, 'area=' || CAST(CAST(area_m2 AS BIGINT) % 20 AS VARCHAR) || ',city=' || city || ',kind=' || kind || ',owner=' || coalesce(CAST(is_private AS VARCHAR), '') AS details,
-  CASE WHEN CAST(area_m2 AS BIGINT) % 20 + listing_id % 13 < 10 THEN CAST((CAST(area_m2 AS BIGINT) % 20 + listing_id % 13) * 10000 AS DOUBLE) ELSE CAST(CAST(area_m2 AS BIGINT) % 20 + listing_id % 13 AS DOUBLE) END AS plot FROM cur""")
+_GONE = "listing_id % 11 = 0 OR listing_id % 14 = 0"
+
+
+@query(f"""WITH {CUR_SQL}, a AS (SELECT *, listing_id % 14 <> 0 AS held, CAST(CASE WHEN listing_id % 3 = 0 THEN 1500 ELSE CAST(area_m2 AS BIGINT) END AS DOUBLE) AS plot FROM cur)
+SELECT source, kind, CASE WHEN held THEN 'f' || {_ID} END AS source_id, {_GONE} AS is_gone, CASE WHEN held THEN lat END AS lat, CASE WHEN held THEN lon END AS lon, CASE WHEN held AND lat IS NOT NULL THEN 'approx' ELSE 'unknown' END AS location_precision,
+  CASE WHEN held AND lat IS NOT NULL THEN CASE WHEN listing_id % 5 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(1.5 AS DOUBLE) END END AS location_radius_km, CASE WHEN held THEN plot END AS plot_area_m2, CASE WHEN held THEN 'budowlana' END AS plot_type,
+  CASE WHEN held THEN strftime({_WARSAW("date_trunc('day', observed_at)")}, '%Y-%m-%d %H:%M:%S') END AS added_at, CASE WHEN held THEN 'Opis ad & x' END AS description_excerpt,
+  CASE WHEN held THEN 'Data dodania=' || strftime(observed_at, '%d.%m.%Y') || ',Media=' || city || ',Pow. działki=' || CASE WHEN listing_id % 3 = 0 THEN '0,15' ELSE CAST(CAST(area_m2 AS BIGINT) AS VARCHAR) END || ' m²,Typ działki=Budowlana' ELSE '' END AS details FROM a""")
 def detail_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Three label lists of an ad as one map, later lists first, and a plot given in hectares."""
-    row = lambda label, value: F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"))
-    small = F.col("area_m2").cast("long") % 20
-    lists = [F.array(row("kind", F.lit("old")), row("area", small)), F.array(row("kind", F.col("kind")), row("city", F.lit("old"))), F.array(row("city", F.col("city")), row("owner", F.coalesce(F.col("is_private").cast("string"), F.lit(""))))]
-    pairs = F.transform(F.array_sort(F.map_entries(extract.label_map(*lists))), lambda x: F.concat_ws("=", x.key, x.value))
-    return current(spark, d).select("listing_id", F.array_join(pairs, ",").alias("details"), extract.plot_area((small + F.col("listing_id") % 13).cast("double")).alias("plot"))
+    """Ad bodies of the node portals: three label lists as one map, the later ones first, and plots typed in hectares."""
+    ads = portals.node_ads(_landed(spark, d, landing.node_bodies))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda x: F.concat_ws("=", x.key, x.value)), ",")
+    return _text("added_at", ads.select("source", "kind", "source_id", "is_gone", "lat", "lon", "location_precision", "location_radius_km", "plot_area_m2", "plot_type", "added_at", "description_excerpt", F.coalesce(pairs, F.lit("")).alias("details")))
 
 
-@query(f"WITH {CUR_SQL} SELECT source, kind, {_ID} AS source_id, title, {_LD} AS price, area_m2, CAST(listing_id % 6 AS INT) AS rooms FROM cur WHERE listing_id % 13 <> 0")
+@query(f"""WITH {CUR_SQL}, c AS (SELECT *, listing_id % 2 = 0 AND price IS NOT NULL AS listed FROM cur WHERE listing_id % 13 <> 0)
+SELECT source, kind, {_ID} AS source_id, CASE WHEN listed THEN 'https://www.domiporta.pl/x/' || {_ID} ELSE {_ORIGIN} || '/nieruchomosci/x/' || {_ID} END AS url, title,
+  CASE WHEN listed THEN price - price // 10 ELSE price END AS price, area_m2, CASE WHEN kind = 'house' THEN plot_area_m2 END AS plot_area_m2, CAST(listing_id % 6 AS INT) AS rooms, CASE WHEN listed THEN city END AS city,
+  CASE WHEN listed THEN coalesce(is_private, FALSE) END AS is_private, CASE WHEN listed THEN 'domiporta:' || lower(advertiser_name) END AS advertiser_id FROM c""")
 def extract_cards(spark: SparkSession, d: str) -> DataFrame:
-    return extract.cards_with_json_ld(_landed(spark, d, landing.cards)).select("source", "kind", "source_id", "title", "price", "area_m2", "rooms")
+    """Cards of a page joined with its list in JSON-LD."""
+    rows = portals.listed_cards(_landed(spark, d, landing.cards))
+    return rows.select("source", "kind", "source_id", "url", "title", "price", "area_m2", "plot_area_m2", "rooms", "city", "is_private", "advertiser_id")
 
 
-@query(f"WITH {CUR_SQL} SELECT source, kind, {_ID} AS source_id, title, price, area_m2, CAST(listing_id % 6 AS INT) AS rooms, CASE WHEN is_private THEN TRUE END AS is_private FROM cur")
+@query(f"""WITH {CUR_SQL} SELECT source, kind, {_ID} AS source_id, {_ORIGIN} || '/o/x-' || {_ID} AS url, title, price, area_m2, {_CENTS("price / area_m2")} AS price_per_m2,
+  CASE WHEN kind = 'house' THEN CAST(listing_id % 6 AS INT) END AS rooms, city, is_private, {_ID} AS code FROM cur""")
 def extract_labelled_cards(spark: SparkSession, d: str) -> DataFrame:
-    return extract.cards_by_label(_landed(spark, d, landing.cards)).select("source", "kind", "source_id", "title", "price", "area_m2", "rooms", "is_private")
+    """Cards of the results' list whose bold values are told apart by their units."""
+    rows = portals.labelled_cards(_landed(spark, d, landing.offer_cards)).withColumn("code", F.col("attributes")["publicCode"])
+    return rows.select("source", "kind", "source_id", "url", "title", "price", "area_m2", "price_per_m2", "rooms", "city", "is_private", "code")
+
+
+@query(f"""WITH {CUR_SQL}, a AS (SELECT *, listing_id % 11 <> 0 AS held FROM cur)
+SELECT source, kind, CASE WHEN held THEN {_ID} END AS source_id, NOT held AS is_gone, CASE WHEN held THEN lat END AS lat, CASE WHEN held THEN lon END AS lon, CASE WHEN held THEN area_m2 END AS area_m2,
+  CASE WHEN held THEN CASE WHEN listing_id % 2 = 0 THEN 'rolna' ELSE 'budowlana' END END AS plot_type, CASE WHEN held THEN is_private END AS is_private,
+  CASE WHEN held THEN 'Media=prąd & gaz,Rodzaj działki=' || CASE WHEN listing_id % 2 = 0 THEN 'Rolna' ELSE 'Budowlana' END || CASE WHEN is_private THEN ',advertiserType=prywatny' WHEN NOT is_private THEN ',advertiserType=agencja' ELSE '' END ELSE '' END AS details FROM a""")
+def extract_card_ads(spark: SparkSession, d: str) -> DataFrame:
+    """Ad pages of the card portal: place from JSON-LD or meta tags, features from the page's list."""
+    ads = portals.listed_card_ads(_landed(spark, d, landing.card_ads))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda x: F.concat_ws("=", x.key, x.value)), ",")
+    return ads.select("source", "kind", "source_id", "is_gone", "lat", "lon", "area_m2", "plot_type", "is_private", pairs.alias("details"))
+
+
+@query(f"""WITH {CUR_SQL}, a AS (SELECT *, listing_id % 11 <> 0 AS held FROM cur)
+SELECT source, kind, CASE WHEN held THEN {_ID} END AS source_id, NOT held AS is_gone, CASE WHEN held THEN lat END AS lat, CASE WHEN held THEN lon END AS lon,
+  CASE WHEN NOT held OR lat IS NULL THEN 'unknown' WHEN location_radius_km = 0 THEN 'exact' ELSE 'approx' END AS location_precision, CASE WHEN held AND lat IS NOT NULL THEN location_radius_km END AS location_radius_km,
+  CASE WHEN held AND kind = 'house' THEN plot_area_m2 END AS plot_area_m2, CASE WHEN held THEN 'budowlana' END AS plot_type, CASE WHEN held THEN 'małopolskie' END AS region, held AND listing_id % 4 = 0 AS price_negotiable, CASE WHEN held THEN is_private END AS is_private,
+  CASE WHEN held AND is_private THEN 1 WHEN held AND NOT is_private THEN CAST(listing_id % 5 + 2 AS INT) END AS added_days_ago, CASE WHEN held THEN 'Numer=' || {_ID} || ',Rodzaj działki=Budowlana,gmina=G' ELSE '' END AS details FROM a""")
+def extract_labelled_ads(spark: SparkSession, d: str) -> DataFrame:
+    """Ad pages of the labelled portal: the script's place and circle, list items of a label and a value."""
+    ads = portals.labelled_card_ads(_landed(spark, d, landing.offer_card_ads))
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("details")), lambda x: F.concat_ws("=", x.key, x.value)), ",")
+    return ads.select("source", "kind", "source_id", "is_gone", "lat", "lon", "location_precision", "location_radius_km", "plot_area_m2", "plot_type", "region", "price_negotiable", "is_private", "added_days_ago", pairs.alias("details"))
 
 
 @query(f"WITH {CUR_SQL} SELECT source, kind, count(DISTINCT CAST(source_id AS BIGINT) // 50) AS nodes, count(*) FILTER (WHERE listing_id % 2 = 0 AND price IS NOT NULL) AS offers FROM cur GROUP BY 1, 2")
@@ -92,18 +155,25 @@ def json_ld_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("source", "kind").agg(F.count("*").alias("nodes"), F.sum(listed).alias("offers"))
 
 
-@query(f"""WITH {CUR_SQL}, n AS (SELECT * FROM cur WHERE NOT (source = 'nieruchomosci_online' AND (listing_id % 9 = 0 OR listing_id % 11 = 0)) AND NOT (source = 'domiporta' AND listing_id % 13 = 0))
-SELECT source, count(*) AS items, CAST(0 AS BIGINT) AS errors, CAST(sum(area_m2) AS BIGINT) AS area FROM n GROUP BY source""")
+_KEPT = "NOT (source = 'nieruchomosci_online' AND (listing_id % 9 = 0 OR listing_id % 11 = 0)) AND NOT (source = 'domiporta' AND listing_id % 13 = 0)"
+_UNREAD = "(source = 'nieruchomosci_online' AND listing_id % 17 = 0) OR (source IN ('gratka', 'morizon') AND listing_id % 19 = 0)"
+
+
+@query(f"""WITH {CUR_SQL}, n AS (SELECT *, {_UNREAD} AS bad FROM cur WHERE {_KEPT} UNION ALL SELECT *, TRUE FROM cur WHERE source IN ('gratka', 'morizon') AND listing_id % 76 = 0)
+SELECT source, count(*) AS items, count(*) FILTER (WHERE bad) AS errors, CAST(sum(area_m2 + CASE WHEN source = 'nieruchomosci_online' AND listing_id % 5 <> 0 AND NOT bad THEN 1 ELSE 0 END) AS BIGINT) AS area FROM n GROUP BY source""")
 def normalised_listings(spark: SparkSession, d: str) -> DataFrame:
     """All sources' bodies, each in its own form, through the adapter registry into one schema."""
-    cur = current(spark, d)
-    pages = None
+    rows = staged(adapters.normalise(staged(_all_pages(spark, d))))
+    area = rows.groupBy("source").agg(F.sum("area_m2").cast("long").alias("area"))
+    return stats.parse_quality(rows).join(area, "source")
+
+
+def _all_pages(spark: SparkSession, d: str) -> DataFrame:
+    cur, pages = current(spark, d), None
     for source, form in landing.LANDED.items():
         landed = form(cur.where(F.col("source") == source))
         pages = landed if pages is None else pages.unionByName(landed)
-    rows = staged(extract.normalise(staged(pages)))
-    area = rows.groupBy("source").agg(F.sum("area_m2").cast("long").alias("area"))
-    return stats.parse_quality(rows).join(area, "source")
+    return pages
 
 
 _SHAPES = """p AS (SELECT s_nationkey AS n, s_suppkey, CAST(50 AS DOUBLE) + (s_suppkey % 17) * CAST(0.01 AS DOUBLE) AS lat, CAST(20 AS DOUBLE) + (s_suppkey % 23) * CAST(0.01 AS DOUBLE) AS lon FROM supplier)"""
