@@ -8,7 +8,13 @@ from pyspark.sql import functions as F
 from parcelflow.functions import geo
 
 KEY = ["source", "source_id"]
-COALESCED = ["area_m2", "plot_area_m2", "city", "district", "is_private", "external_id", "internal_id", "offer_number", "advertiser_name", "advertiser_id", "location_precision", "location_radius_km", "valid_to"]
+#: Fields of a stored listing: taken as they come, kept where the new one is missing, and taken with a pair of coordinates.
+OVERWRITTEN = ["title", "price", "price_negotiable", "price_per_m2"]
+COALESCED = [
+    "area_m2", "plot_area_m2", "rooms", "plot_type", "city", "district", "region", "is_private", "external_id", "internal_id", "offer_number", "advertiser_name", "advertiser_id", "description_excerpt",
+    "source_refreshed_at", "valid_to",
+]
+PLACED = ["lat", "lon", "location_precision", "location_radius_km"]
 
 
 def first_per_key(rows: DataFrame, order: list[str], key: list[str] = KEY) -> DataFrame:
@@ -39,24 +45,37 @@ def _differs(a: Column, b: Column) -> Column:
 def upsert(current: DataFrame, batch: DataFrame) -> DataFrame:
     """The batch's new stored rows with inserted, changed, price_changed, previous_price and needs_assignment.
 
-    ``batch`` has one row a key. Missing values keep what is stored; title and price are overwritten; coordinates only as
-    a pair; kind never changes.
+    ``batch`` has one row a key. A listing changes if its price or title differs, it was inactive, it states another area,
+    place or advertiser id, or it was refreshed since; only then are its stored fields replaced: title and price as they
+    come, missing values keep what is stored, a place with its precision and radius only as a pair of coordinates. Kind and
+    creation time never change. A listing needs a property if it is new, changed other than by a refresh, or has none.
     """
     n, o = batch.alias("n"), current.alias("o")
     joined = n.join(o, [F.col(f"n.{k}") == F.col(f"o.{k}") for k in KEY], "left")
+    in_old, in_new = set(current.columns), set(batch.columns)
+    was = lambda c: F.col(f"o.{c}") if c in in_old else F.lit(None)
+    now = lambda c: F.col(f"n.{c}") if c in in_new else F.lit(None)
     new, paired = F.col("o.listing_id").isNull(), F.col("n.lat").isNotNull() & F.col("n.lon").isNotNull()
     price = _differs(F.col("n.price"), F.col("o.price"))
+    stated = lambda c: now(c).isNotNull() & _differs(now(c), was(c))
     moved = paired & (_differs(F.col("n.lat"), F.col("o.lat")) | _differs(F.col("n.lon"), F.col("o.lon")))
-    stated = F.col("n.area_m2").isNotNull() & _differs(F.col("n.area_m2"), F.col("o.area_m2"))
-    idle = ~F.coalesce(F.col("o.is_active"), F.lit(True)) if "is_active" in current.columns else F.lit(False)
-    relevant = price | idle | _differs(F.col("n.title"), F.col("o.title")) | stated | moved | _differs(F.col("n.advertiser_name"), F.col("o.advertiser_name"))
-    refreshed = F.coalesce(F.col("n.source_refreshed_at") > F.col("o.source_refreshed_at"), F.lit(False)) if "source_refreshed_at" in batch.columns else F.lit(False)
-    kept = [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in COALESCED if c in batch.columns]
+    idle = ~F.coalesce(F.col("o.is_active"), F.lit(True)) if "is_active" in in_old else F.lit(False)
+    relevant = price | idle | _differs(F.col("n.title"), F.col("o.title")) | stated("area_m2") | moved | stated("advertiser_id")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    refreshed = F.coalesce(now("source_refreshed_at").cast("timestamp_ntz"), epoch) > F.coalesce(was("source_refreshed_at").cast("timestamp_ntz"), epoch)
+    changed = relevant | refreshed
+    take = lambda c, cond, value: F.when(new, now(c)).when(changed & cond, value).otherwise(was(c)).alias(c)
+    fields = [take(c, F.lit(True), now(c)) for c in OVERWRITTEN if c in in_new] + [take(c, paired, now(c)) for c in PLACED if c in in_new]
+    fields += [take(c, F.lit(True), F.coalesce(now(c), was(c))) for c in COALESCED if c in in_new]
+    if "source_created_at" in in_new:
+        fields.append(F.when(new, now("source_created_at")).otherwise(was("source_created_at")).alias("source_created_at"))
+    if "attributes" in in_new:
+        fields.append(take("attributes", F.lit(True), overlay(was("attributes"), now("attributes")) if "attributes" in in_old else now("attributes")))
+    homeless = F.col("o.property_id").isNull() if "property_id" in in_old else F.lit(False)
     return joined.select(
-        F.coalesce("o.listing_id", "n.listing_id").alias("listing_id"), *[F.col(f"n.{k}").alias(k) for k in KEY], F.coalesce("o.kind", "n.kind").alias("kind"),
-        "n.title", "n.price", F.when(paired, F.col("n.lat")).otherwise(F.col("o.lat")).alias("lat"), F.when(paired, F.col("n.lon")).otherwise(F.col("o.lon")).alias("lon"), *kept,
-        F.col("n.observed_at").alias("last_seen_at"), F.lit(True).alias("is_active"), new.alias("inserted"), (~new & (relevant | refreshed)).alias("changed"), (~new & price).alias("price_changed"),
-        F.col("o.price").alias("previous_price"), (new | relevant).alias("needs_assignment"),
+        F.coalesce("o.listing_id", "n.listing_id").alias("listing_id"), *[F.col(f"n.{k}").alias(k) for k in KEY], F.coalesce("o.kind", "n.kind").alias("kind"), *fields,
+        F.col("n.observed_at").alias("last_seen_at"), F.lit(True).alias("is_active"), F.lit(None).cast("timestamp_ntz").alias("deactivated_at"), new.alias("inserted"), (new | changed).alias("changed"),
+        (~new & price).alias("price_changed"), F.col("o.price").alias("previous_price"), (new | relevant | homeless).alias("needs_assignment"),
     )
 
 
@@ -70,21 +89,39 @@ def expire(rows: DataFrame, now: str) -> DataFrame:
     return rows.withColumn("is_active", F.col("is_active") & ~F.coalesce(F.col("valid_to") < F.lit(now).cast("timestamp_ntz"), F.lit(False)))
 
 
-def enrich(stored: DataFrame, patch: DataFrame) -> DataFrame:
-    """Apply ad details where present, coordinates as a pair, and count the attempt."""
-    joined = stored.join(patch, KEY)
-    paired = F.col("p_lat").isNotNull() & F.col("p_lon").isNotNull()
-    return joined.withColumns({
-        "lat": F.when(paired, F.col("p_lat")).otherwise(F.col("lat")), "lon": F.when(paired, F.col("p_lon")).otherwise(F.col("lon")),
-        "area_m2": F.coalesce("p_area", "area_m2"), "attempts": F.col("attempts") + 1,
-    })
+#: What an ad may add to its listing.
+DETAILS = [*PLACED, "area_m2", "plot_area_m2", "plot_type", "city", "attributes"]
+
+
+def enrich(stored: DataFrame, patch: DataFrame, now: str) -> DataFrame:
+    """Stored listings with the details of their ads (source, source_id, status, some of ``DETAILS``), and the attempt counted.
+
+    Given values replace stored ones, a place with its precision and radius as a pair of coordinates only; attributes are
+    laid over the stored ones. ``status`` is ok, gone or skip: gone ads are deactivated, all but skipped ones are enriched.
+    The place that the ad itself gives stays beside as given_lat, given_lon and given_radius_km.
+    """
+    s, p = stored.alias("s"), patch.alias("p")
+    joined = s.join(p, [F.col(f"s.{k}") == F.col(f"p.{k}") for k in KEY])
+    given = lambda c: F.col(f"p.{c}") if c in patch.columns else F.lit(None)
+    paired = given("lat").isNotNull() & given("lon").isNotNull()
+    gone, at = F.col("p.status") == "gone", F.lit(now).cast("timestamp_ntz")
+    own = {c: F.col(f"s.{c}") for c in stored.columns}
+    own |= {c: F.when(paired, F.coalesce(given(c), own[c])).otherwise(own[c]) for c in PLACED if c in own and c in patch.columns}
+    own |= {c: F.coalesce(given(c), own[c]) for c in DETAILS if c in own and c in patch.columns and c not in (*PLACED, "attributes")}
+    if "attributes" in own and "attributes" in patch.columns:
+        own["attributes"] = overlay(own["attributes"], given("attributes"))
+    own |= {"attempts": F.col("s.attempts") + 1, "enriched_at": F.when(F.col("p.status") != "skip", at).otherwise(own.get("enriched_at", F.lit(None)).cast("timestamp_ntz"))}
+    own |= {"is_active": own.get("is_active", F.lit(True)) & ~gone, "deactivated_at": F.when(gone, at).otherwise(own.get("deactivated_at", F.lit(None)).cast("timestamp_ntz"))}
+    place = {"given_lat": given("lat").cast("double"), "given_lon": given("lon").cast("double"), "given_radius_km": given("location_radius_km").cast("double"), "status": F.col("p.status")}
+    return joined.select(*[v.alias(c) for c, v in {**own, **place}.items()])
 
 
 def route(enriched: DataFrame, area: tuple[float, float, float, float], attempts: int = 3) -> DataFrame:
-    """outcome: deactivate gone ads, delete located ones outside the area, assign located or exhausted ones, else wait."""
-    outside = ~geo.in_box(F.col("lat"), F.col("lon"), *area)
-    return enriched.withColumn("outcome", F.when(F.col("gone"), "deactivate").when(F.col("lat").isNotNull() & outside, "delete")
-                               .when(F.col("lat").isNotNull() | (F.col("attempts") >= attempts), "assign").otherwise("wait"))
+    """outcome: delete what its ad places outside the area (with its radius, 1 km at least, as slack), deactivate gone ads,
+    assign read and exhausted ones, else wait."""
+    inside = geo.in_area(F.col("given_lat"), F.col("given_lon"), F.col("given_radius_km"), area)
+    outcome = F.when(F.col("given_lat").isNotNull() & F.col("given_lon").isNotNull() & ~inside, "delete").when(F.col("status") == "gone", "deactivate").when((F.col("status") == "ok") | (F.col("attempts") >= attempts), "assign").otherwise("wait")
+    return enriched.withColumn("outcome", outcome)
 
 
 def set_ignored(rows: DataFrame, cond: Column, value: bool) -> DataFrame:

@@ -55,17 +55,42 @@ def _old_new(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-@query(f"""WITH {_SPLIT_SQL}
-SELECT n.listing_id, o.listing_id IS NULL AS inserted,
-  CASE WHEN o.listing_id IS NULL THEN FALSE ELSE (n.price IS DISTINCT FROM o.price OR n.title IS DISTINCT FROM o.title OR (n.area_m2 IS NOT NULL AND n.area_m2 IS DISTINCT FROM o.area_m2)
-    OR (n.lat IS NOT NULL AND n.lon IS NOT NULL AND (n.lat IS DISTINCT FROM o.lat OR n.lon IS DISTINCT FROM o.lon)) OR n.advertiser_name IS DISTINCT FROM o.advertiser_name) END AS changed,
-  CASE WHEN o.listing_id IS NULL THEN FALSE ELSE n.price IS DISTINCT FROM o.price END AS price_changed, o.price AS previous_price, n.price AS price,
-  n.title AS title, CASE WHEN n.lat IS NOT NULL AND n.lon IS NOT NULL THEN n.lat ELSE o.lat END AS lat, CASE WHEN n.lat IS NOT NULL AND n.lon IS NOT NULL THEN n.lon ELSE o.lon END AS lon,
-  coalesce(n.city, o.city) AS city, coalesce(o.kind, n.kind) AS kind, coalesce(n.is_private, o.is_private) AS is_private
-FROM new n LEFT JOIN old o USING (source, source_id)""")
+# Stored rows: some without a property, some inactive; new ones: some without a place, an area, a name or an id, some refreshed.
+_NEWS_SQL = _SPLIT_SQL + """,
+o AS (SELECT * REPLACE (CASE WHEN obs_id % 7 = 0 THEN NULL ELSE area_m2 END AS area_m2), CASE WHEN listing_id % 7 <> 3 THEN listing_id END AS property_id, listing_id % 13 <> 0 AS is_active, CASE WHEN obs_id % 4 <> 0 THEN observed_at END AS source_refreshed_at, CAST(listing_id % 5 AS INT) AS rooms, FALSE AS price_negotiable FROM old),
+n AS (SELECT * REPLACE (CASE WHEN obs_id % 3 = 0 THEN NULL ELSE lat END AS lat, CASE WHEN obs_id % 3 = 0 THEN 'unknown' ELSE location_precision END AS location_precision, CASE WHEN obs_id % 3 = 0 THEN NULL ELSE location_radius_km END AS location_radius_km,
+  CASE WHEN obs_id % 5 = 0 THEN NULL ELSE area_m2 END AS area_m2, CASE WHEN obs_id % 2 = 0 THEN NULL ELSE advertiser_name END AS advertiser_name, CASE WHEN obs_id % 11 = 0 THEN NULL ELSE city END AS city,
+  CASE WHEN listing_id % 4 = 1 THEN (SELECT any_value(q.price) FROM old q WHERE q.source = new.source AND q.source_id = new.source_id) ELSE price END AS price,
+  CASE WHEN listing_id % 8 = 1 THEN (SELECT any_value(q.title) FROM old q WHERE q.source = new.source AND q.source_id = new.source_id) ELSE title END AS title),
+  CASE WHEN obs_id % 6 = 0 THEN observed_at END AS source_refreshed_at, CAST(CASE WHEN obs_id % 2 = 0 THEN listing_id % 3 END AS INT) AS rooms, obs_id % 2 = 0 AS price_negotiable FROM new)"""
+_DIFF = "(n.price IS DISTINCT FROM o.price OR NOT coalesce(o.is_active, TRUE) OR n.title IS DISTINCT FROM o.title OR (n.area_m2 IS NOT NULL AND n.area_m2 IS DISTINCT FROM o.area_m2) OR (n.lat IS NOT NULL AND n.lon IS NOT NULL AND (n.lat IS DISTINCT FROM o.lat OR n.lon IS DISTINCT FROM o.lon)) OR (n.advertiser_id IS NOT NULL AND n.advertiser_id IS DISTINCT FROM o.advertiser_id))"
+_LATER = "coalesce(n.source_refreshed_at > coalesce(o.source_refreshed_at, TIMESTAMP '1970-01-01'), FALSE)"
+_pick = lambda c: f"CASE WHEN inserted THEN n_{c} WHEN changed THEN coalesce(n_{c}, o_{c}) ELSE o_{c} END AS {c}"
+_put = lambda c: f"CASE WHEN changed THEN n_{c} ELSE o_{c} END AS {c}"
+_place = lambda c: f"CASE WHEN inserted OR (changed AND n_lat IS NOT NULL AND n_lon IS NOT NULL) THEN n_{c} ELSE o_{c} END AS {c}"
+_KEPT = ("area_m2", "rooms", "city", "is_private", "advertiser_name", "advertiser_id", "source_refreshed_at")
+_SIDES = ", ".join(f"n.{c} AS n_{c}, o.{c} AS o_{c}" for c in (*_KEPT, "title", "price", "price_negotiable", "lat", "lon", "location_precision", "location_radius_km"))
+
+
+@query(f"""WITH {_NEWS_SQL}, j AS (SELECT coalesce(o.listing_id, n.listing_id) AS listing_id, o.listing_id IS NULL AS inserted, o.listing_id IS NULL OR {_DIFF} OR {_LATER} AS changed, o.listing_id IS NULL OR {_DIFF} OR o.property_id IS NULL AS needs_assignment,
+  o.listing_id IS NOT NULL AND n.price IS DISTINCT FROM o.price AS price_changed, coalesce(o.kind, n.kind) AS kind, {_SIDES} FROM n LEFT JOIN o USING (source, source_id))
+SELECT listing_id, inserted, changed, price_changed, needs_assignment, o_price AS previous_price, kind, {_put("title")}, {_put("price")}, {_put("price_negotiable")}, {", ".join(map(_place, ("lat", "lon", "location_precision", "location_radius_km")))},
+  {", ".join(map(_pick, _KEPT))} FROM j""")
 def upsert_classified(spark: SparkSession, d: str) -> DataFrame:
+    """Flags and stored fields of listings seen again, with and without what a list page may leave out."""
     old, new = _old_new(spark, d)
-    return cdc.upsert(old, new).select("listing_id", "inserted", "changed", "price_changed", "previous_price", "price", "title", "lat", "lon", "city", "kind", "is_private")
+    none = lambda c, k: F.when(F.col("obs_id") % k != 0, F.col(c))
+    same = old.select("source", "source_id", F.col("price").alias("old_price"), F.col("title").alias("old_title"))
+    old = old.withColumns({
+        "property_id": F.when(F.col("listing_id") % 7 != 3, F.col("listing_id")), "is_active": F.col("listing_id") % 13 != 0, "source_refreshed_at": none("observed_at", 4), "rooms": (F.col("listing_id") % 5).cast("int"),
+        "price_negotiable": F.lit(False), "area_m2": none("area_m2", 7)})
+    new = new.join(same, ["source", "source_id"], "left").withColumns({
+        "lat": none("lat", 3), "location_precision": F.coalesce(none("location_precision", 3), F.lit("unknown")), "location_radius_km": none("location_radius_km", 3), "area_m2": none("area_m2", 5),
+        "advertiser_name": none("advertiser_name", 2), "city": none("city", 11), "price": F.when(F.col("listing_id") % 4 == 1, F.col("old_price")).otherwise(F.col("price")),
+        "title": F.when(F.col("listing_id") % 8 == 1, F.col("old_title")).otherwise(F.col("title")), "source_refreshed_at": F.when(F.col("obs_id") % 6 == 0, F.col("observed_at")),
+        "rooms": F.when(F.col("obs_id") % 2 == 0, F.col("listing_id") % 3).cast("int"), "price_negotiable": F.col("obs_id") % 2 == 0})
+    return cdc.upsert(old, new).select(
+        "listing_id", "inserted", "changed", "price_changed", "needs_assignment", "previous_price", "kind", "title", "price", "price_negotiable", *cdc.PLACED, "area_m2", "rooms", "city", "is_private", "advertiser_name", "advertiser_id", "source_refreshed_at")
 
 
 @query(f"""WITH {CUR_SQL}, s AS (SELECT source, kind, max(last_seen_at) - INTERVAL 90 DAY AS started FROM cur GROUP BY source, kind)
@@ -144,15 +169,41 @@ def enrichment_backlog(spark: SparkSession, d: str) -> DataFrame:
     return table.backlog(rows.withColumn("enriched_at", F.lit(None).cast("timestamp_ntz")), 200).select("listing_id", "attempts", "first_seen_at")
 
 
-@query(f"""WITH {_SPLIT_SQL}, p AS (SELECT o.listing_id, o.lat, o.lon, o.area_m2, o.source_id, n.lat AS p_lat, n.lon AS p_lon, n.area_m2 AS p_area, o.listing_id % 5 AS attempts, n.listing_id % 11 = 0 AS gone
-  FROM old o JOIN new n USING (source, source_id)),
-q AS (SELECT listing_id, attempts + 1 AS attempts, CASE WHEN p_lat IS NOT NULL AND p_lon IS NOT NULL THEN p_lat ELSE lat END AS lat, CASE WHEN p_lat IS NOT NULL AND p_lon IS NOT NULL THEN p_lon ELSE lon END AS lon, coalesce(p_area, area_m2) AS area_m2, gone FROM p)
-SELECT listing_id, attempts, lat, lon, area_m2, CASE WHEN gone THEN 'deactivate' WHEN lat IS NOT NULL AND NOT (lat BETWEEN {_S} AND {_N} AND lon BETWEEN {_W} AND {_E}) THEN 'delete' WHEN lat IS NOT NULL OR attempts >= 3 THEN 'assign' ELSE 'wait' END AS outcome FROM q""")
-def enrichment_outcome(spark: SparkSession, d: str) -> DataFrame:
+def enrichment_sql(area: tuple[float, float, float, float]) -> str:
+    """Stored rows without a place where the id is divisible by 3, and details of their ads: gone, read, skipped, far."""
+    south, west, north, east = area
+    margin = "greatest(CAST(1 AS DOUBLE), coalesce(p_radius, 0))"
+    wide = f"({margin}/(CAST(111.32 AS DOUBLE)*greatest(CAST(0.2 AS DOUBLE), cos(radians(CAST({round((south + north) / 2, 5)} AS DOUBLE))))))"
+    inside = f"(p_lat >= {south}-{margin}/111.32 AND p_lat <= {north}+{margin}/111.32 AND p_lon >= {west}-{wide} AND p_lon <= {east}+{wide})"
+    given = "p_lat IS NOT NULL AND p_lon IS NOT NULL"
+    return f"""{_SPLIT_SQL},
+s AS (SELECT * REPLACE (CASE WHEN listing_id % 3 = 0 THEN NULL ELSE lat END AS lat), CAST(listing_id % 5 AS INT) AS attempts, CASE WHEN kind = 'plot' AND listing_id % 2 = 0 THEN 'rolna' END AS plot_type FROM old),
+p AS (SELECT source, source_id, CASE WHEN listing_id % 11 = 0 THEN 'gone' WHEN obs_id % 4 = 0 THEN 'skip' ELSE 'ok' END AS status, CASE WHEN obs_id % 7 <> 0 THEN lat + CASE WHEN obs_id % 5 = 0 THEN CAST(0.3 AS DOUBLE) ELSE 0 END END AS p_lat, lon AS p_lon, location_precision AS p_precision, location_radius_km AS p_radius,
+  CASE WHEN kind = 'house' THEN plot_area_m2 + 1 END AS p_plot, CASE WHEN kind = 'plot' AND obs_id % 3 <> 0 THEN 'budowlana' END AS p_type, CASE WHEN obs_id % 6 <> 0 THEN city END AS p_city FROM new),
+q AS (SELECT s.listing_id, s.source, attempts + 1 AS attempts, CASE WHEN {given} THEN p_lat ELSE lat END AS lat, CASE WHEN {given} THEN p_lon ELSE lon END AS lon, CASE WHEN {given} THEN coalesce(p_precision, location_precision) ELSE location_precision END AS location_precision,
+  CASE WHEN {given} THEN coalesce(p_radius, location_radius_km) ELSE location_radius_km END AS location_radius_km, coalesce(p_plot, plot_area_m2) AS plot_area_m2, coalesce(p_type, plot_type) AS plot_type, coalesce(p_city, city) AS city, status <> 'gone' AS is_active,
+  CASE WHEN {given} AND NOT {inside} THEN 'delete' WHEN status = 'gone' THEN 'deactivate' WHEN status = 'ok' OR attempts + 1 >= 3 THEN 'assign' ELSE 'wait' END AS outcome FROM s JOIN p USING (source, source_id))"""
+
+
+def enrichment_input(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     old, new = _old_new(spark, d)
-    patch = new.select("source", "source_id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.col("area_m2").alias("p_area"), (F.col("listing_id") % 11 == 0).alias("gone"))
-    stored = old.withColumn("attempts", F.col("listing_id") % 5)
-    return cdc.route(cdc.enrich(stored, patch), AREA).select("listing_id", "attempts", "lat", "lon", "area_m2", "outcome")
+    stored = old.withColumns({
+        "lat": F.when(F.col("listing_id") % 3 != 0, F.col("lat")), "attempts": (F.col("listing_id") % 5).cast("int"), "plot_type": F.when((F.col("kind") == "plot") & (F.col("listing_id") % 2 == 0), "rolna")})
+    plot, k = F.col("kind") == "plot", F.col("obs_id")
+    patch = new.select(
+        "source", "source_id", F.when(F.col("listing_id") % 11 == 0, "gone").when(k % 4 == 0, "skip").otherwise("ok").alias("status"), F.when(k % 7 != 0, F.col("lat") + F.when(k % 5 == 0, 0.3).otherwise(0.0)).alias("lat"), "lon",
+        "location_precision", "location_radius_km", F.when(~plot, F.col("plot_area_m2") + 1).alias("plot_area_m2"), F.when(plot & (k % 3 != 0), "budowlana").alias("plot_type"), F.when(k % 6 != 0, F.col("city")).alias("city"))
+    return stored, patch
+
+
+ENRICHED = ["listing_id", "attempts", "lat", "lon", "location_precision", "location_radius_km", "plot_area_m2", "plot_type", "city", "is_active", "outcome"]
+
+
+@query(f"WITH {enrichment_sql(AREA)} SELECT {', '.join(ENRICHED)} FROM q")
+def enrichment_outcome(spark: SparkSession, d: str) -> DataFrame:
+    """Ad details applied to their listings, and what becomes of each."""
+    stored, patch = enrichment_input(spark, d)
+    return cdc.route(cdc.enrich(stored, patch, NOW), AREA).select(*ENRICHED)
 
 
 @query(f"""WITH {CUR_SQL}, m AS (SELECT *, listing_id % 4 = 0 AS was FROM cur) SELECT listing_id, TRUE AS ignored, source_id AS property_id FROM m WHERE NOT was AND price > 180000 AND kind = 'house'""")

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,14 +81,54 @@ def test_text_forms(spark):
     assert one(text.strip_html(F.lit("a<br/>b &amp; <b>c</b>"))) == "a b & c" and one(text.slug(F.lit("Stare Pole, łąka"))) == "stare-pole-laka"
 
 
+STORED = (
+    "listing_id long, source string, source_id string, observed_at timestamp_ntz, kind string, title string, price long, area_m2 double, lat double, lon double, location_precision string, location_radius_km double, city string, "
+    "advertiser_name string, advertiser_id string, is_private boolean, rooms int, price_negotiable boolean, attributes map<string,string>, property_id long, is_active boolean, source_refreshed_at timestamp_ntz"
+)
+ROW = (1, "s", "1", None, "plot", "t", 100000, 10.0, 50.0, 20.0, "exact", 0.0, "c", "x", "id", None, 3, False, {"a": "1", "b": "2"}, 9, True, None)
+
+
+def _stored(spark, **k):
+    return spark.createDataFrame([tuple((dict(zip([f.split()[0] for f in STORED.split(", ")], ROW, strict=True)) | k).values())], STORED)
+
+
 def test_upsert_flags(spark):
-    schema = "listing_id long, source string, source_id string, observed_at timestamp_ntz, kind string, title string, price long, area_m2 double, lat double, lon double, city string, advertiser_name string, is_private boolean"
-    row = (1, "s", "1", None, "plot", "t", 100000, 10.0, 49.0, 20.0, "c", "x", None)
-    old = spark.createDataFrame([row], schema)
-    new = lambda **k: spark.createDataFrame([tuple((dict(zip([f.split()[0] for f in schema.split(", ")], row, strict=True)) | k).values())], schema)
-    flags = lambda **k: tuple(cdc.upsert(old, new(**k)).select("inserted", "changed", "price_changed", "previous_price").first())
+    old = _stored(spark)
+    got = lambda old=old, **k: cdc.upsert(old, _stored(spark, **k)).first()
+    flags = lambda **k: (lambda r: (r.inserted, r.changed, r.price_changed, r.previous_price))(got(**k))
     assert flags() == (False, False, False, 100000) and flags(price=90000) == (False, True, True, 100000) and flags(lat=49.5) == (False, True, False, 100000)
-    assert flags(lat=None) == (False, False, False, 100000) and flags(source_id="2") == (True, False, False, None) and flags(price=None)[2] is True
+    assert flags(lat=None) == (False, False, False, 100000) and flags(source_id="2") == (True, True, False, None) and flags(price=None)[2] is True
+    assert not flags(advertiser_id=None)[1] and not flags(advertiser_name=None)[1] and not flags(advertiser_name="y")[1] and flags(advertiser_id="other")[1]
+
+
+def test_upsert_keeps_an_exact_pin_and_what_a_list_leaves_out(spark):
+    less = dict.fromkeys(("lat", "lon", "location_radius_km", "area_m2", "city", "advertiser_name", "advertiser_id", "rooms"), None) | {"location_precision": "unknown", "price": 5, "price_negotiable": True, "attributes": {"b": "3", "c": "4"}}
+    r = cdc.upsert(_stored(spark), _stored(spark, **less)).first()
+    assert (r.lat, r.lon, r.location_precision, r.location_radius_km, r.area_m2, r.city, r.advertiser_id, r.rooms, r.price, r.price_negotiable) == (50.0, 20.0, "exact", 0.0, 10.0, "c", "id", 3, 5, True)
+    assert r.attributes == {"a": "1", "b": "3", "c": "4"} and r.needs_assignment
+    same = cdc.upsert(_stored(spark), _stored(spark, city="other", rooms=7)).first()
+    assert (same.changed, same.city, same.rooms, same.needs_assignment) == (False, "c", 3, False)
+    bumped = cdc.upsert(_stored(spark), _stored(spark, city="other", source_refreshed_at=datetime(2020, 1, 1))).first()
+    assert (bumped.changed, bumped.city, bumped.needs_assignment) == (True, "other", False)
+    assert cdc.upsert(_stored(spark, property_id=None), _stored(spark)).first().needs_assignment and cdc.upsert(_stored(spark, is_active=False), _stored(spark)).first().needs_assignment
+
+
+def test_ads_are_judged_by_their_own_place_first(spark):
+    area = (49.9, 19.95, 50.05, 20.15)
+
+    def outcome(attempts=0, **patch):
+        row = {"source": "s", "source_id": "1", "status": "ok", "lat": None, "lon": None, "location_precision": None, "location_radius_km": None, "city": None, "attributes": None} | patch
+        p = spark.createDataFrame([tuple(row.values())], "source string, source_id string, status string, lat double, lon double, location_precision string, location_radius_km double, city string, attributes map<string,string>")
+        return cdc.route(cdc.enrich(_stored(spark, lat=51.5).withColumn("attempts", F.lit(attempts)), p, "2020-01-01"), area).first()
+
+    assert outcome(lat=50.055, lon=20.0).outcome == "assign"  # 0.6 km beyond the edge, within 1 km of slack
+    assert outcome(lat=50.08, lon=20.0).outcome == "delete" and outcome(lat=50.08, lon=20.0, location_radius_km=4.0).outcome == "assign"
+    assert outcome(lat=51.0, lon=20.0, status="gone").outcome == "delete" and outcome(status="gone").outcome == "deactivate"
+    assert outcome().outcome == "assign" and outcome(status="skip").outcome == "wait" and outcome(status="skip", attempts=2).outcome == "assign"  # the stored place, far off, isn't judged
+    r = outcome(lat=50.0, lon=20.1, location_precision="approx", location_radius_km=0.5, city="new", attributes={"b": "x"})
+    assert (r.lat, r.lon, r.location_precision, r.location_radius_km, r.city, r.attributes, r.attempts, r.is_active, r.price) == (50.0, 20.1, "approx", 0.5, "new", {"a": "1", "b": "x"}, 1, True, 100000)
+    gone = outcome(status="gone", lat=50.0)
+    assert (gone.is_active, gone.lat, gone.location_precision) == (False, 51.5, "exact") and gone.deactivated_at is not None and gone.enriched_at is not None and outcome(status="skip").enriched_at is None
 
 
 def test_pages_limits_and_nulls_last(spark):
