@@ -151,18 +151,35 @@ def decisions(pairs: DataFrame, forms: DataFrame) -> DataFrame:
     )
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, exclusions: DataFrame | None = None) -> DataFrame:
+def clusters(nodes: DataFrame, edges: DataFrame, exclusions: DataFrame | None = None, most: int = graph.EDGES_A_TASK) -> DataFrame:
     """(listing_id, property_id): connected components of matched pairs; the smallest listing_id names a cluster.
 
-    Excluded pairs are taken out of the edges. Only listings with edges take part in the rounds.
+    ``exclusions`` (a_id, b_id) hold for whole clusters: no cluster has both listings of a pair. Pairs join in the order of
+    their scores (then ids), and one that would bring an excluded pair together is refused. Only components that hold an
+    excluded pair are looked at that way, those of up to ``most`` pairs in one task each, larger ones in rounds.
     """
-    edges = edges.select("a_id", "b_id")
+    found = graph.components(edges.select("a_id", "b_id").toDF("a", "b")).withColumnRenamed("node", "listing_id")
     if exclusions is not None:
-        edges = edges.join(exclusions.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
-    found = graph.components(edges.toDF("a", "b")).withColumnRenamed("node", "listing_id")
+        apart = exclusions.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+        found = _kept_apart(staged(found), edges, apart, most)
     return nodes.select("listing_id").join(found, "listing_id", "left").select("listing_id", F.coalesce("component", "listing_id").alias("property_id"))
 
 
+def _kept_apart(found: DataFrame, edges: DataFrame, apart: DataFrame, most: int) -> DataFrame:
+    """``found`` (listing_id, component) with the components that hold an excluded pair made anew."""
+    own = lambda side: F.coalesce(F.col(f"{side}.component"), F.col({"x": "a", "y": "b"}[side]))
+    of = lambda df: df.join(found.alias("x"), F.col("a") == F.col("x.listing_id"), "left").join(found.alias("y"), F.col("b") == F.col("y.listing_id"), "left")
+    held = staged(of(apart).where(own("x") == own("y")).select("a", "b", own("x").alias("component")))
+    torn = staged(held.select("component").distinct())
+    if torn.isEmpty():
+        return found
+    score = F.col("score").cast("double") if "score" in edges.columns else F.lit(0.0)
+    links = edges.select(F.least("a_id", "b_id").cast("long").alias("a"), F.greatest("a_id", "b_id").cast("long").alias("b"), score.alias("score"))
+    links = of(links).withColumn("group", own("x")).join(torn.withColumnRenamed("component", "group"), "group", "left_semi").select("a", "b", "score", "group")
+    labels = graph.merge_apart(staged(links), held.select("a", "b", F.col("component").alias("group")), most)
+    return found.join(torn, "component", "left_anti").select("listing_id", "component").unionByName(labels.select(F.col("node").alias("listing_id"), "component"))
+
+
 def golden(listings: DataFrame) -> DataFrame:
     """One canonical record per property_id of ``listings`` (with property_id, is_active, ignored, url).
 
@@ -230,22 +247,70 @@ def apply_overrides(computed: DataFrame, overrides: DataFrame) -> DataFrame:
     return computed.join(pinned, "listing_id", "left").select("listing_id", F.coalesce("pinned", "property_id").alias("property_id"), F.col("pinned").isNotNull().alias("is_pinned"))
 
 
-def reassign(listings: DataFrame, matched: DataFrame) -> DataFrame:
-    """(listing_id, before, property_id): stored assignments looked at anew, all passes at once.
+def reassign(listings: DataFrame, matched: DataFrame, exclusions: DataFrame | None = None, passes: int = 2, order: Column | None = None) -> DataFrame:
+    """(listing_id, before, property_id): stored assignments looked at anew by votes, pass after pass until nothing moves.
 
-    Matched listings come together, as repeated passes would bring them: a component takes the smallest property of its
-    pinned listings, or of all if none is pinned. Pinned listings, and those without place and city, stay where they are.
+    One after the other, each listing goes to the property that most of its matches are in at that moment, then the one of
+    the best score, then the smallest; excluded pairs don't count. Pinned listings with a property, and listings without
+    place and city, stay. A listing without a vote opens a property if it has none. Listings with one but no vote come last
+    in a pass: they leave it for one of their own, but for the last one of a property that has no other listing left.
+    New properties are numbered above all others by listing. ``order`` is the listings' order, by id or, by default, by a
+    hash of it, ties by id: a listing waits for its earlier matches only, so all that wait for none move at once, and a
+    hash keeps such chains short (in the order of a logarithm of the listings).
     """
-    still = F.col("pinned") | (F.col("lat").isNull() & F.col("city").isNull())
-    movable = listings.where(~still).select("listing_id")
-    pinned = listings.where("pinned").select("listing_id")
-    takes_part = movable.unionAll(pinned)
-    edges = matched.select("a_id", "b_id").join(takes_part.toDF("a_id"), "a_id", "left_semi").join(takes_part.toDF("b_id"), "b_id", "left_semi")
-    found = clusters(takes_part, edges).withColumnRenamed("property_id", "component")
-    held = listings.select("listing_id", "property_id", "pinned").join(found, "listing_id", "left")
-    names = held.where("component is not null").groupBy("component").agg(F.coalesce(F.min(F.when(F.col("pinned"), F.col("property_id"))), F.min("property_id"), F.min("listing_id")).alias("name"))
-    joined = held.join(names, "component", "left")
-    return joined.select("listing_id", F.col("property_id").alias("before"), F.when(F.col("pinned") | F.col("name").isNull(), F.col("property_id")).otherwise(F.col("name")).alias("property_id"))
+    place = order if order is not None else F.md5(F.col("listing_id").cast("string").cast("binary"))
+    still = (F.coalesce(F.col("pinned"), F.lit(False)) & F.col("property_id").isNotNull()) | (F.col("lat").isNull() & F.col("city").isNull())
+    rows = staged(listings.select("listing_id", F.col("property_id").cast("long").alias("property_id"), still.alias("still"), F.struct(place.alias("place"), "listing_id").alias("place")))
+    base = max(rows.agg(F.coalesce(F.max("property_id"), F.lit(0))).first()[0], 0) + 1
+    pairs = matched.select("a_id", "b_id", "score")
+    if exclusions is not None:
+        pairs = pairs.join(exclusions.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")), ["a_id", "b_id"], "left_anti")
+    both = pairs.select(F.col("a_id").alias("me"), F.col("b_id").alias("other"), "score").unionAll(pairs.select("b_id", "a_id", "score"))
+    side = lambda name: rows.select(F.col("listing_id").alias(name), F.col("still").alias(f"{name}_still"), F.col("place").alias(f"{name}_place"))
+    arcs = both.join(side("me").where("not me_still"), "me").join(side("other"), "other")
+    arcs = staged(arcs.select("me", "other", "score", (~F.col("other_still") & (F.col("other_place") < F.col("me_place"))).alias("waits")))
+    levels = _levels(arcs)
+    last = levels.agg(F.max("level")).first()[0] or 0
+    voters = staged(arcs.join(levels, "me").select("me", "other", "score", "level"))
+    held, own = rows.select("listing_id", "property_id", "still", "place"), F.lit(base) + F.col("listing_id")
+    for _ in range(passes):
+        before, voted = held, None
+        for level in range(last + 1):
+            now = held.where("property_id is not null").select(F.col("listing_id").alias("other"), F.col("property_id").alias("to"))
+            votes = voters.where(F.col("level") == level).join(now, "other").groupBy("me", "to").agg(F.count("*").alias("n"), F.max("score").alias("best"))
+            won = staged(votes.groupBy("me").agg(F.max_by("to", F.struct("n", "best", -F.col("to"))).alias("to")).withColumnRenamed("me", "listing_id"))
+            voted = won if voted is None else voted.unionAll(won)
+            due = voters.where(F.col("level") == level).select(F.col("me").alias("listing_id")).distinct().withColumn("due", F.lit(True))
+            fresh = F.when(F.col("due") & F.col("property_id").isNull(), own).otherwise(F.col("property_id"))
+            held = staged(held.join(won, "listing_id", "left").join(due, "listing_id", "left").select("listing_id", F.coalesce("to", fresh).alias("property_id"), "still", "place"))
+        held = staged(_alone(held, voted, own))
+        if held.alias("a").join(before.alias("b"), "listing_id").where(~F.col("a.property_id").eqNullSafe(F.col("b.property_id"))).isEmpty():
+            break
+    return rows.select("listing_id", F.col("property_id").alias("before")).join(held.select("listing_id", "property_id"), "listing_id")
+
+
+def _levels(arcs: DataFrame) -> DataFrame:
+    """(me, level): 0 for a listing that waits for no other, else one above the highest that it waits for."""
+    left, done, level = staged(arcs.select("me").distinct()), None, 0
+    waits = staged(arcs.where("waits").select("me", "other"))
+    while not left.isEmpty():
+        held = waits.select("me").distinct()
+        ready = staged(left.join(held, "me", "left_anti").withColumn("level", F.lit(level)))
+        done = ready if done is None else done.unionAll(ready)
+        left = staged(left.join(held, "me", "left_semi"))
+        waits = staged(waits.join(ready.select(F.col("me").alias("other")), "other", "left_anti"))
+        level += 1
+    return done if done is not None else arcs.select("me", F.lit(0).alias("level")).limit(0)
+
+
+def _alone(held: DataFrame, voted: DataFrame | None, own: Column) -> DataFrame:
+    """``held`` after its listings without a vote have left their properties, or opened one."""
+    has_vote = voted.select("listing_id").withColumn("vote", F.lit(True)) if voted is not None else held.select("listing_id", F.lit(True).alias("vote")).limit(0)
+    rows = held.join(has_vote, "listing_id", "left").withColumn("lone", ~F.col("still") & F.col("vote").isNull())
+    of = rows.where("property_id is not null").groupBy("property_id").agg(F.min("lone").alias("only"), F.max(F.when(F.col("lone"), F.col("place"))).alias("keeps"))
+    joined = rows.join(of, "property_id", "left")
+    stays = ~F.col("lone") | (F.col("only") & (F.col("place") == F.col("keeps")))
+    return joined.select("listing_id", F.when(F.col("property_id").isNotNull() & stays | F.col("still"), F.col("property_id")).otherwise(own).alias("property_id"), "still", "place")
 
 
 def without_listings(properties: DataFrame, listings: DataFrame) -> DataFrame:

@@ -169,12 +169,11 @@ def label_forms(spark: SparkSession, d: str) -> DataFrame:
         text.money(F.col("price")).alias("money"), text.shortened(F.col("title"), 20).alias("short"), text.area_text(F.col("area_m2") * 20, F.col("kind")).alias("area"), text.escape_html(F.concat(F.lit("<"), "kind", F.lit(">"))).alias("escaped"))
 
 
-@query("""WITH e AS (SELECT event_id, hour(ts + CASE WHEN ts >= TIMESTAMP '2024-03-31 01:00:00' AND ts < TIMESTAMP '2024-10-27 01:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END) AS h FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-12-31')
+@query("""WITH e AS (SELECT event_id, hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Warsaw') AS h FROM events)
 SELECT event_id, h >= 7 AND h < 22 AS by_day, h >= 22 OR h < 6 AS by_night, TRUE AS always FROM e""")
 def active_hours(spark: SparkSession, d: str) -> DataFrame:
     """Whether an event lies in the active hours of its zone, by day, past midnight, and with equal ends."""
-    ts = F.col("ts").cast("timestamp")
-    events = spark.read.parquet(f"{d}/events.parquet").where("ts >= timestamp_ntz'2024-01-01' and ts < timestamp_ntz'2024-12-31'")
+    ts, events = F.col("ts").cast("timestamp"), spark.read.parquet(f"{d}/events.parquet")
     return events.select("event_id", text.active_hour(ts, 7, 22).alias("by_day"), text.active_hour(ts, 22, 6).alias("by_night"), text.active_hour(ts, 5, 5).alias("always"))
 
 
@@ -230,26 +229,40 @@ def wait_for_details(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("source").agg(F.count_if("now").alias("assigned"), F.count_if(~F.col("now")).alias("waiting"))
 
 
-_REASSIGN = CLUSTERS_SQL.replace("e AS MATERIALIZED (SELECT a_id AS x, b_id AS y FROM decided WHERE matched UNION SELECT b_id, a_id FROM decided WHERE matched)", """part AS (SELECT listing_id, listing_id // 10 AS before, listing_id % 13 = 0 AS pinned, lat IS NULL AND city IS NULL AS lost FROM cur),
-m AS (SELECT a_id, b_id FROM decided JOIN part p ON a_id = p.listing_id JOIN part q ON b_id = q.listing_id WHERE matched AND (p.pinned OR NOT p.lost) AND (q.pinned OR NOT q.lost)),
-e AS MATERIALIZED (SELECT a_id AS x, b_id AS y FROM m UNION SELECT b_id, a_id FROM m)""") + """,
-named AS (SELECT p.*, c.property_id AS comp FROM part p JOIN clusters c USING (listing_id)),
-name AS (SELECT comp, coalesce(min(before) FILTER (WHERE pinned), min(before)) AS name FROM named GROUP BY comp),
-moved AS (SELECT listing_id, before, CASE WHEN pinned THEN before ELSE name END AS property_id FROM named JOIN name USING (comp))"""
+_PASSES = 2
+_REASSIGN = "WITH RECURSIVE " + PAIRS_SQL + f""",
+part AS MATERIALIZED (SELECT listing_id, CASE listing_id % 5 WHEN 0 THEN listing_id // 70 WHEN 1 THEN NULL ELSE listing_id // 10 END AS before, (listing_id % 13 = 0 AND listing_id % 5 <> 1) OR (lat IS NULL AND city IS NULL) AS still, md5(CAST(listing_id AS VARCHAR)) AS place FROM cur),
+base AS (SELECT max(before) + 1 AS b FROM part),
+m AS (SELECT a_id, b_id, round(score, 9) AS score FROM decided WHERE matched AND (a_id + b_id) % 9 <> 0),
+arcs AS MATERIALIZED (SELECT x.me, x.other, x.score, NOT o.still AND o.place < p.place AS waits FROM (SELECT a_id AS me, b_id AS other, score FROM m UNION ALL SELECT b_id, a_id, score FROM m) x JOIN part p ON p.listing_id = x.me AND NOT p.still JOIN part o ON o.listing_id = x.other),
+lv(me, level) AS (SELECT DISTINCT me, 0 FROM arcs UNION SELECT a.me, l.level + 1 FROM arcs a JOIN lv l ON a.other = l.me WHERE a.waits),
+levels AS MATERIALIZED (SELECT me, max(level) AS level FROM lv GROUP BY me), top AS MATERIALIZED (SELECT max(level) + 2 AS n FROM levels),
+st(step, listing_id, property_id, voted) AS (SELECT 0, listing_id, before, FALSE FROM part UNION ALL
+  SELECT s.step + 1, s.listing_id, CASE WHEN p.still THEN s.property_id WHEN s.step % top.n < top.n - 1 THEN coalesce(w.target, CASE WHEN l.level = s.step % top.n AND s.property_id IS NULL THEN base.b + s.listing_id ELSE s.property_id END)
+    WHEN s.property_id IS NOT NULL AND (s.voted OR (g.alone AND p.place = g.keeps)) THEN s.property_id ELSE base.b + s.listing_id END,
+    CASE WHEN s.step % top.n < top.n - 1 THEN s.voted OR w.target IS NOT NULL ELSE FALSE END
+  FROM st s JOIN part p USING (listing_id) CROSS JOIN top CROSS JOIN base LEFT JOIN levels l ON l.me = s.listing_id
+  LEFT JOIN (SELECT me, arg_max(target, (n, best, -target)) AS target FROM (SELECT a.me, o.property_id AS target, count(*) AS n, max(a.score) AS best FROM arcs a JOIN levels v ON v.me = a.me JOIN st o ON o.listing_id = a.other CROSS JOIN top t
+    WHERE v.level = o.step % t.n AND o.property_id IS NOT NULL GROUP BY 1, 2) GROUP BY me) w ON w.me = s.listing_id
+  LEFT JOIN (SELECT o.property_id, bool_and(NOT q.still AND NOT o.voted) AS alone, max(CASE WHEN NOT q.still AND NOT o.voted THEN q.place END) AS keeps FROM st o JOIN part q USING (listing_id) WHERE o.property_id IS NOT NULL GROUP BY 1) g ON g.property_id = s.property_id
+  WHERE s.step < {_PASSES} * top.n),
+moved AS (SELECT listing_id, before, property_id FROM st JOIN part USING (listing_id) WHERE step = (SELECT max(step) FROM st))"""
 
 
 @query(_REASSIGN + " SELECT listing_id, before, property_id FROM moved")
 def reassigned(spark: SparkSession, d: str) -> DataFrame:
-    """Stored assignments, one property a part, looked at anew; every thirteenth listing is pinned."""
+    """Stored assignments, some wrong and some missing, looked at anew by votes; every thirteenth listing is pinned and some pairs are excluded."""
     cur, decided = _decided(spark, d)
-    stored = cur.withColumn("property_id", F.floor(F.col("listing_id") / 10)).withColumn("pinned", F.col("listing_id") % 13 == 0)
-    return resolve.reassign(stored, decided.where("matched"))
+    k = F.col("listing_id")
+    stored = cur.withColumns({"property_id": F.when(k % 5 == 0, F.floor(k / 70)).when(k % 5 != 1, F.floor(k / 10)), "pinned": k % 13 == 0})
+    matched = staged(decided.where("matched").select("a_id", "b_id", F.round("score", 9).alias("score")))
+    return resolve.reassign(stored, matched, matched.where((F.col("a_id") + F.col("b_id")) % 9 == 0), passes=_PASSES)
 
 
-@query(_REASSIGN + " SELECT DISTINCT before AS property_id FROM moved WHERE before NOT IN (SELECT property_id FROM moved)")
+@query(_REASSIGN + " SELECT DISTINCT before AS property_id FROM moved WHERE before NOT IN (SELECT property_id FROM moved WHERE property_id IS NOT NULL)")
 def emptied_properties(spark: SparkSession, d: str) -> DataFrame:
     moved = staged(reassigned(spark, d))
-    return resolve.without_listings(moved.select(F.col("before").alias("property_id")).distinct(), moved)
+    return resolve.without_listings(moved.where("before is not null").select(F.col("before").alias("property_id")).distinct(), moved)
 
 
 def _golden_sql(listings: str) -> str:

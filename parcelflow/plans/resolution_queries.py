@@ -184,6 +184,28 @@ def property_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d)[1]
 
 
+_APART_SQL = CLUSTERS_SQL + """,
+ex AS MATERIALIZED (SELECT a_id AS a, b_id AS b FROM decided WHERE matched AND (a_id + b_id) % 4 = 1),
+torn AS (SELECT DISTINCT property_id FROM ex JOIN clusters ON listing_id = a),
+k AS MATERIALIZED (SELECT a_id, b_id, row_number() OVER (ORDER BY round(score, 9) DESC, a_id, b_id) AS rn FROM decided JOIN clusters ON listing_id = a_id JOIN torn USING (property_id) WHERE matched),
+grown(step, listing_id, label, going) AS (SELECT 0, listing_id, listing_id, TRUE FROM clusters JOIN torn USING (property_id) UNION ALL
+  SELECT * FROM (WITH f AS (SELECT least(x.label, y.label) AS lo, greatest(x.label, y.label) AS hi, min(rn) AS rn FROM k JOIN grown x ON x.listing_id = a_id JOIN grown y ON y.listing_id = b_id
+      LEFT JOIN (SELECT DISTINCT least(u.label, v.label) AS p, greatest(u.label, v.label) AS q FROM ex JOIN grown u ON u.listing_id = a JOIN grown v ON v.listing_id = b) n ON p = least(x.label, y.label) AND q = greatest(x.label, y.label)
+      WHERE x.label <> y.label AND p IS NULL GROUP BY 1, 2),
+    t AS (SELECT part, min(rn) AS rn FROM (SELECT lo AS part, rn FROM f UNION ALL SELECT hi, rn FROM f) GROUP BY part),
+    j AS (SELECT f.lo, f.hi FROM f JOIN t p ON p.part = f.lo AND p.rn = f.rn JOIN t q ON q.part = f.hi AND q.rn = f.rn)
+    SELECT g.step + 1, g.listing_id, coalesce(j.lo, g.label), (SELECT count(*) FROM j) > 0 FROM grown g LEFT JOIN j ON j.hi = g.label WHERE g.going)),
+apart AS (SELECT listing_id, label FROM grown WHERE step = (SELECT max(step) FROM grown))"""
+
+
+@query(_APART_SQL + " SELECT listing_id, coalesce(label, property_id) AS property_id FROM clusters LEFT JOIN apart USING (listing_id)")
+def clusters_kept_apart(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters under exclusions: every fourth matched pair or so was split by hand and stays apart, through third listings too."""
+    cur, decided = _decided(spark, d)
+    matched = staged(decided.where("matched").select("a_id", "b_id", F.round("score", 9).alias("score")))
+    return resolve.clusters(cur, matched, matched.where((F.col("a_id") + F.col("b_id")) % 4 == 1))
+
+
 @query("WITH " + PAIRS_SQL + """, m AS (SELECT CASE WHEN a_id % 3 = 0 THEN a_id ELSE b_id END AS listing_id, CASE WHEN a_id % 3 = 0 THEN b_id ELSE a_id END AS candidate_id, reason, score FROM decided WHERE matched AND (a_id % 3 = 0) <> (b_id % 3 = 0)),
 v AS (SELECT listing_id, candidate_id // 10 AS property_id, count(*) AS votes, max(round(score, 9)) AS best, arg_max(reason, (round(score, 9), -candidate_id)) AS reason FROM m GROUP BY ALL),
 w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY votes DESC, best DESC, property_id) = 1)

@@ -96,11 +96,92 @@ def test_suspects_equal_brute_force(spark):
     assert {(x.a_id, x.b_id) for x in blocking.suspects(df).collect()} == want and len(want) > 20
 
 
-def test_reassignment_keeps_pinned_and_lost_listings(spark):
-    rows = [(1, 10, False, 1.0, "c"), (2, 20, False, 1.0, "c"), (3, 30, True, 1.0, "c"), (4, 40, False, None, None), (5, 50, False, None, "c"), (6, 60, False, 1.0, "c")]
+def slow_clusters(n, edges, apart):
+    part = {k: {k} for k in range(n)}
+    for a, b, score in sorted(edges, key=lambda e: (-e[2], e[0], e[1])):
+        x, y = part[a], part[b]
+        if x is not y and not any((min(i, j), max(i, j)) in apart for i in x for j in y):
+            x |= y
+            for k in y:
+                part[k] = x
+    return {k: min(v) for k, v in part.items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_clusters_respect_exclusions(spark, seed):
+    r = random.Random(seed)
+    n = 60
+    edges = sorted({(*sorted(r.sample(range(k // 15 * 15, k // 15 * 15 + 15), 2)), r.choice([1.0, 2.0, 2.5])) for k in r.choices(range(n), k=90)})
+    edges = list({e[:2]: e for e in edges}.values())
+    apart = {tuple(sorted(r.sample(range(k // 15 * 15, k // 15 * 15 + 15), 2))) for k in r.choices(range(n), k=12)}
+    nodes = spark.range(n).withColumnRenamed("id", "listing_id")
+    flipped = [(b, a) if r.random() < 0.5 else (a, b) for a, b in apart] + [(1000, 1001)]
+    got = resolve.clusters(nodes, spark.createDataFrame(edges, "a_id long, b_id long, score double"), spark.createDataFrame(flipped, "a_id long, b_id long"), most=(10**6, 20)[seed])
+    found = {x.listing_id: x.property_id for x in got.collect()}
+    assert found == slow_clusters(n, edges, apart) and not any(found[a] == found[b] for a, b in apart)
+
+
+def test_an_excluded_pair_stays_apart_through_a_third(spark):
+    nodes, edges = spark.createDataFrame([(1,), (2,), (3,), (7,), (8,)], "listing_id long"), spark.createDataFrame([(1, 2, 2.0), (2, 3, 3.0), (7, 8, 1.0)], "a_id long, b_id long, score double")
+    own = lambda x: {r.listing_id: r.property_id for r in resolve.clusters(nodes, edges, spark.createDataFrame(x, "a_id long, b_id long")).collect()}
+    assert own([(3, 1)]) == {1: 1, 2: 2, 3: 2, 7: 7, 8: 7} and own([(1, 7)]) == own([]) == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} and own([(8, 7)])[8] == 8
+
+
+def slow_reassign(rows, matched, apart, passes, key):
+    still = {i: (pin and p is not None) or (lat is None and city is None) for i, p, pin, lat, city in rows}
+    held = {i: p for i, p, *_ in rows}
+    base = max([p for p in held.values() if p is not None] + [0]) + 1
+    near = {i: [] for i in held}
+    for a, b, score in matched:
+        if (a, b) not in apart:
+            near[a].append((b, score))
+            near[b].append((a, score))
+    turn = sorted((i for i in held if not still[i]), key=key)
+    for _ in range(passes):
+        before, lone = dict(held), []
+        for i in turn:
+            votes = {}
+            for j, score in near[i]:
+                if held[j] is not None:
+                    n, best = votes.get(held[j], (0, -1))
+                    votes[held[j]] = (n + 1, max(best, score))
+            if votes:
+                held[i] = max(votes, key=lambda p: (*votes[p], -p))
+            elif held[i] is None and near[i]:
+                held[i] = base + i
+                lone.append(i)
+            else:
+                lone.append(i)
+        for i in lone:
+            if held[i] is None or any(held[j] == held[i] for j in held if j != i):
+                held[i] = base + i
+        if held == before:
+            break
+    return held
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reassignment_by_votes_equals_one_after_the_other(spark, seed):
+    import hashlib
+
+    r = random.Random(seed)
+    n = 40
+    rows = [(i, r.choice([None, *range(12)]), r.random() < 0.15, r.choice([None, 1.0, 1.0, 1.0]), r.choice([None, "c"])) for i in range(n)]
+    matched = list({e[:2]: e for e in ((*sorted(r.sample(range(n), 2)), r.choice([1.0, 1.5, 2.0])) for _ in range(44))}.values())
+    apart = {e[:2] for e in r.sample(matched, 8)}
     df = spark.createDataFrame(rows, "listing_id long, property_id long, pinned boolean, lat double, city string")
-    matched = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 6)], "a_id long, b_id long")
-    assert {r.listing_id: r.property_id for r in resolve.reassign(df, matched).collect()} == {1: 30, 2: 30, 3: 30, 4: 40, 5: 50, 6: 50}
+    pairs, out = spark.createDataFrame(matched, "a_id long, b_id long, score double"), spark.createDataFrame([(b, a) for a, b in apart], "a_id long, b_id long")
+    by_hash = seed % 2 == 0
+    got = resolve.reassign(df, pairs, out, passes=1 + seed % 3, order=None if by_hash else F.col("listing_id"))
+    key = (lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i)) if by_hash else (lambda i: i)
+    assert {x.listing_id: x.property_id for x in got.collect()} == slow_reassign(rows, matched, apart, 1 + seed % 3, key)
+
+
+def test_reassignment_without_pairs_or_listings(spark):
+    df = spark.createDataFrame([(1, 5, False, 1.0, "c"), (2, 5, False, 1.0, "c"), (3, None, True, 1.0, "c"), (4, None, False, None, None)], "listing_id long, property_id long, pinned boolean, lat double, city string")
+    none = spark.createDataFrame([], "a_id long, b_id long, score double")
+    got = {x.listing_id: x.property_id for x in resolve.reassign(df, none, order=F.col("listing_id")).collect()}
+    assert got == {1: 7, 2: 5, 3: 9, 4: None} and resolve.reassign(df.limit(0), none).count() == 0
 
 
 def test_merges_or_flags_and_splits_exclude_siblings(spark):
