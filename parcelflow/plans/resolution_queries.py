@@ -184,10 +184,10 @@ def property_clusters(spark: SparkSession, d: str) -> DataFrame:
     return _clusters(spark, d)[1]
 
 
-_APART_SQL = CLUSTERS_SQL + """,
-ex AS MATERIALIZED (SELECT a_id AS a, b_id AS b FROM decided WHERE matched AND (a_id + b_id) % 4 = 1),
+_APART_SQL = CLUSTERS_SQL.replace("FROM decided WHERE matched", "FROM decided WHERE matched AND round(score, 9) >= 2.4") + """,
+ex AS MATERIALIZED (SELECT a_id AS a, b_id AS b FROM decided WHERE matched AND round(score, 9) >= 2.4 AND (a_id + b_id) % 4 = 1),
 torn AS (SELECT DISTINCT property_id FROM ex JOIN clusters ON listing_id = a),
-k AS MATERIALIZED (SELECT a_id, b_id, row_number() OVER (ORDER BY round(score, 9) DESC, a_id, b_id) AS rn FROM decided JOIN clusters ON listing_id = a_id JOIN torn USING (property_id) WHERE matched),
+k AS MATERIALIZED (SELECT a_id, b_id, row_number() OVER (ORDER BY round(score, 9) DESC, a_id, b_id) AS rn FROM decided JOIN clusters ON listing_id = a_id JOIN torn USING (property_id) WHERE matched AND round(score, 9) >= 2.4),
 grown(step, listing_id, label, going) AS (SELECT 0, listing_id, listing_id, TRUE FROM clusters JOIN torn USING (property_id) UNION ALL
   SELECT * FROM (WITH f AS (SELECT least(x.label, y.label) AS lo, greatest(x.label, y.label) AS hi, min(rn) AS rn FROM k JOIN grown x ON x.listing_id = a_id JOIN grown y ON y.listing_id = b_id
       LEFT JOIN (SELECT DISTINCT least(u.label, v.label) AS p, greatest(u.label, v.label) AS q FROM ex JOIN grown u ON u.listing_id = a JOIN grown v ON v.listing_id = b) n ON p = least(x.label, y.label) AND q = greatest(x.label, y.label)
@@ -200,9 +200,9 @@ apart AS (SELECT listing_id, label FROM grown WHERE step = (SELECT max(step) FRO
 
 @query(_APART_SQL + " SELECT listing_id, coalesce(label, property_id) AS property_id FROM clusters LEFT JOIN apart USING (listing_id)")
 def clusters_kept_apart(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters under exclusions: every fourth matched pair or so was split by hand and stays apart, through third listings too."""
+    """Clusters of the surest matches under exclusions: every fourth pair or so was split by hand and stays apart, through third listings too."""
     cur, decided = _decided(spark, d)
-    matched = staged(decided.where("matched").select("a_id", "b_id", F.round("score", 9).alias("score")))
+    matched = staged(decided.where("matched").select("a_id", "b_id", F.round("score", 9).alias("score")).where("score >= 2.4"))
     return resolve.clusters(cur, matched, matched.where((F.col("a_id") + F.col("b_id")) % 4 == 1))
 
 
