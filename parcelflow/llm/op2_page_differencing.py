@@ -10,10 +10,10 @@ What decides, in this order:
   elements and roles, a header outside an article, and sections of reader comments are deleted;
 * lines within ``article`` or ``main`` are kept, also those that partners share;
 * any other line is deleted if one partner shares it, or two where there are more than two partners;
-* a place most of whose lines recur on ``RECURS`` pages or more, of its host or of several hosts, is a template, and its
-  other lines are deleted too (a rotating advert, the menu's entry of the page itself); templates hold short
-  lines only, and what is left of them isn't longer;
-* a place that its host shows less than ``PLACE_LINES`` times is an advert if a class or id says so in so many words.
+* a place where alignments found shared lines, on ``SHARING`` pages and one in ``RARE`` of its host or of several hosts at
+  least, is a template, and its other lines are deleted too (a rotating advert, the menu's entry of the page itself), if
+  what was shared is short and the rest isn't longer. Only aligned lines count, not how often a line occurs, and no class
+  or id names an advert: without partners nothing outside the elements above is deleted.
 
 Pages travel as hashes of lines until partners are found. Range splits are explicit keys, and the ``NEIGHBOURS`` pages on
 either side of each are sent to both ranges, so results don't depend on the number of tasks and a host is spread.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import parts, spread_join, staged
 
 NEIGHBOURS, COPY_WORDS = 4, 20
-PLACE_LINES, PLACE_HOSTS, RECURS, SHARE, SHORT = 8, 3, 3, 0.5, 20
+SHARING, RARE, PLACE_HOSTS, SHORT = 2, 200, 3, 20
 REPRESENTATIVES_A_TASK, ROWS_OF_BITS = 50_000, 1 << 26
 
 # Fixed values of HTML: inline, void and raw-text elements, elements that end an open paragraph or item, page furniture.
@@ -53,27 +53,26 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td
 _FURNITURE = frozenset("nav footer aside form button menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _READERS = frozenset("comment comments comment-list commentlist comments-area comment-form respond replies disqus_thread".split())
-_ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsored".split())
 
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
 _ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+([\"']|[^\s>\"'][^\s>]*+)?)?)")
 _CLOSE = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in _RAW}
 _DIGITS = re.compile(r"\d+")
-MAIN, SKIP, ADVERT = 1, 2, 4
+MAIN, SKIP = 1, 2
 PARSED = "page_id long, url string, host string, digest binary, lines array<string>, marks array<int>, places array<long>"
 PAGES = "host string, path string, digest binary, hashes binary, places binary, words binary, marks binary"
 DEALT = "pid int, own boolean, " + PAGES
-SOLVED = "host string, digest binary, partners int, shared array<boolean>, places array<long>, kind int, place long, line long, words long, times long"
+SOLVED = "host string, digest binary, partners int, shared array<boolean>, places array<long>, kind int, place long, line long, words long, times long, hits long"
 
 
 class _Open:
     """An open block element."""
 
-    __slots__ = ("tag", "place", "main", "skip", "skips", "outer", "readers", "article_at", "closed", "advert")
+    __slots__ = ("tag", "place", "main", "skip", "skips", "outer", "readers", "article_at", "closed")
 
     def __init__(self, tag: str, place: int, main: bool, skip: _Open | None, skips: int):
         self.tag, self.place, self.main, self.skip, self.skips = tag, place, main, skip, skips
-        self.outer, self.readers, self.article_at, self.closed, self.advert = None, False, None, False, False
+        self.outer, self.readers, self.article_at, self.closed = None, False, None, False
 
 
 def _attributes(page: str, at: int) -> tuple[int, dict[str, str]]:
@@ -98,7 +97,7 @@ def _attributes(page: str, at: int) -> tuple[int, dict[str, str]]:
 
 
 def blocks(page: str) -> tuple[list[str], bytes, list[int]]:
-    """Text lines of a page in order, their MAIN, SKIP and ADVERT marks and their places. One pass over the page."""
+    """Text lines of a page in order, their MAIN and SKIP marks and their places. One pass over the page."""
     root = _Open("", 0, False, None, 0)
     stack, opened, text, found, at, head = [root], Counter(), [], [], 0, False
 
@@ -166,7 +165,7 @@ def blocks(page: str) -> tuple[list[str], bytes, list[int]]:
         label = _DIGITS.sub("0", f"{attributes.get('class', '')}#{attributes.get('id', '')}") if attributes else ""
         here = _Open(tag, xxhash.xxh64_intdigest(f"{up.place}/{tag}.{label}") >> 1, up.main, up.skip, up.skips)
         names = {*attributes.get("class", "").lower().split(), attributes.get("id", "").lower()} if attributes else frozenset()
-        here.readers, here.advert = bool(names & _READERS) and tag != "main", up.advert or bool(names & _ADVERTS)
+        here.readers = bool(names & _READERS) and tag != "main"
         if tag in ("article", "main") and not here.readers:
             here.main, skip = True, up.skip
             while skip is not None and skip.article_at is None:
@@ -176,7 +175,7 @@ def blocks(page: str) -> tuple[list[str], bytes, list[int]]:
         stack.append(here)
         opened[tag] += 1
     flush()
-    marks = bytes(MAIN * x.main | SKIP * _skipped(x.skip, k) | ADVERT * x.advert for k, (_, x) in enumerate(found))
+    marks = bytes(MAIN * x.main | SKIP * _skipped(x.skip, k) for k, (_, x) in enumerate(found))
     return [line for line, _ in found], marks, [x.place for _, x in found]
 
 
@@ -359,27 +358,32 @@ def furniture(count: np.ndarray, partners: int) -> tuple[np.ndarray, int]:
 
 
 def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = ["host", "digest", "partners", "shared", "places", "kind", "place", "line", "words", "times"]
-    out, seen, before, waiting = [], Counter(), deque(maxlen=NEIGHBOURS), deque()
+    names = ["host", "digest", "partners", "shared", "places", "kind", "place", "line", "words", "times", "hits"]
+    out, seen, hits, before, waiting = [], Counter(), Counter(), deque(maxlen=NEIGHBOURS), deque()
 
     def solve() -> None:
         page = waiting.popleft()
         if page.own:
-            gone = furniture(*votes(page, [*before, *list(waiting)[:NEIGHBOURS]] if page.host else []))
+            count, partners = votes(page, [*before, *list(waiting)[:NEIGHBOURS]] if page.host else [])
+            gone = furniture(count, partners)
             free = page.marks & (MAIN | SKIP) == 0
             places = page.places[free]
-            out.append((page.host, page.digest, gone[1], gone[0], np.unique(places), 0, None, None, None, None))
+            out.append((page.host, page.digest, gone[1], gone[0], np.unique(places), 0, None, None, None, None, None))
             lines = {(place, line): words for place, line, words in zip(places.tolist(), np.array(page.hashes, np.int64)[free].tolist(), page.words[free].tolist(), strict=True)}
             seen.update((page.host, *k, words) for k, words in lines.items())
+            aligned = free & (count > 0)
+            met = set(zip(page.places[aligned].tolist(), np.array(page.hashes, np.int64)[aligned].tolist(), strict=True))
+            hits.update((page.host, *k, lines[k]) for k in met)
         before.append(page)
 
     def drain(least: int) -> pd.DataFrame | None:
         if len(out) + len(seen) <= least:
             return None
-        rows = out + [(host, None, None, None, None, 1, place, line, words, n) for (host, place, line, words), n in seen.items()]
+        rows = out + [(host, None, None, None, None, 1, place, line, words, n, hits[host, place, line, words]) for (host, place, line, words), n in seen.items()]
         out.clear()
         seen.clear()
-        longs = ("partners", "place", "line", "words", "times")  # nulls beside 64-bit numbers: never by way of floats
+        hits.clear()
+        longs = ("partners", "place", "line", "words", "times", "hits")  # nulls beside 64-bit numbers: never by way of floats
         return pd.DataFrame({k: pd.array(c, dtype="Int64") if k in longs else pd.Series(c, dtype=object) for k, c in zip(names, zip(*rows, strict=True), strict=True)})
 
     for row in chain((r for pdf in frames for r in pdf.itertuples(index=False)), [None]):
@@ -396,28 +400,24 @@ def _solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def templates(solved: DataFrame) -> DataFrame:
-    """(key, is_template) of places with enough lines to tell, on a host or, where they are templates, everywhere."""
-
-    def judged(lines: DataFrame, *by: str) -> DataFrame:
-        each = lines.groupBy(*by, "line").agg(F.sum("times").alias("times"), F.count("*").alias("hosts"), F.first("words").alias("words"))
-        often = F.col("times") >= RECURS
-        sums = each.groupBy(*by).agg(
-            F.sum("times").alias("lines"), F.sum(F.col("times") * F.col("words")).alias("words"),
-            F.sum(F.when(often, F.col("times")).otherwise(0)).alias("recurring"), F.sum(F.when(often, F.col("times") * F.col("words")).otherwise(0)).alias("own_words"))
-        short = F.col("own_words") <= SHORT * F.col("recurring")
-        alike = (F.col("words") - F.col("own_words")) * F.col("recurring") <= (1.5 * F.col("own_words") + F.col("recurring")) * (F.col("lines") - F.col("recurring"))
-        template = (F.col("recurring") >= SHARE * F.col("lines")) & short & alike
-        return sums.where(F.col("lines") >= PLACE_LINES).withColumn("is_template", template)
-
-    lines = solved.where("kind = 1").groupBy("host", "place", "line").agg(F.sum("times").alias("times"), F.max("words").alias("words"))
-    hosts = judged(lines, "host", "place").select(F.xxhash64("host", "place").alias("key"), "is_template")
-    wide = lines.groupBy("place").agg(F.countDistinct("host").alias("n")).where(F.col("n") >= PLACE_HOSTS)
-    every = judged(lines.join(wide, "place", "left_semi"), "place").where("is_template")
-    return hosts.unionAll(every.select(F.xxhash64(F.lit(None).cast("string"), "place").alias("key"), "is_template"))
+    """Keys of the places that aligned lines show to be templates, on a host or, where they are, on several hosts."""
+
+    def judged(sums: DataFrame, *by: str) -> DataFrame:
+        sums = sums.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("lines", "hits", "words", "hit_words")])
+        short = F.col("hit_words") <= SHORT * F.col("hits")
+        alike = (F.col("words") - F.col("hit_words")) * F.col("hits") <= (2.5 * F.col("hit_words") + F.col("hits")) * (F.col("lines") - F.col("hits"))
+        return sums.where((F.col("hits") >= SHARING) & (F.col("hits") * RARE >= F.col("lines")) & short & alike)
+
+    sums = solved.where("kind = 1").groupBy("host", "place").agg(
+        F.sum("times").alias("lines"), F.sum("hits").alias("hits"), F.sum(F.col("times") * F.col("words")).alias("words"), F.sum(F.col("hits") * F.col("words")).alias("hit_words"))
+    hosts = judged(sums, "host", "place").select(F.xxhash64("host", "place").alias("key"))
+    wide = sums.groupBy("place").agg(F.count("*").alias("n")).where(F.col("n") >= PLACE_HOSTS)
+    every = judged(sums.join(wide, "place", "left_semi"), "place")
+    return hosts.unionAll(every.select(F.xxhash64(F.lit(None).cast("string"), "place").alias("key")))
 
 
 def decisions(pages: DataFrame, tasks: int | None = None) -> DataFrame:
-    """(host, digest, partners, shared, templates, known) of every representative; places known have lines enough."""
+    """(host, digest, partners, shared, templates) of every representative."""
     spark = pages.sparkSession
     reps = staged(representatives(keys_of(pages.select("page_id", "url", "html"))))
     tasks = tasks or max(parts(spark), -(-reps.count() // REPRESENTATIVES_A_TASK))
@@ -427,8 +427,8 @@ def decisions(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     pages = solved.where("kind = 0").select("host", "digest", "partners", "shared", "places")
     asked = pages.select("host", "digest", F.explode("places").alias("place"))
     asked = asked.withColumn("key", F.explode(F.array(F.xxhash64("host", "place"), F.xxhash64(F.lit(None).cast("string"), "place"))))
-    held = spread_join(asked, found, "key", "digest", salts=128).where("is_template is not null").groupBy("host", "digest").agg(
-        F.collect_set(F.when(F.col("is_template"), F.col("place"))).alias("templates"), F.collect_set("place").alias("known"))
+    found = found.withColumn("is_template", F.lit(True))
+    held = spread_join(asked, found, "key", "digest", salts=128).where("is_template").groupBy("host", "digest").agg(F.collect_set("place").alias("templates"))
     return pages.drop("places").join(held, ["host", "digest"], "left")
 
 
@@ -450,10 +450,8 @@ def main_text(pages: DataFrame, tasks: int | None = None) -> DataFrame:
     shared = lambda k: F.coalesce(F.element_at("shared", k + 1), F.lit(False))
     template = lambda k: F.coalesce(F.array_contains("templates", F.element_at("places", k + 1)), F.lit(False))
     free = F.when(F.size("lines") > 0, F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda k: mark(k).bitwiseAND(MAIN | SKIP) == 0)).otherwise(F.array().cast("array<int>"))
-    known = lambda k: F.coalesce(F.array_contains("known", F.element_at("places", k + 1)), F.lit(False))
-    advert = lambda k: (mark(k).bitwiseAND(ADVERT) > 0) & ~known(k)
     article = lambda k: mark(k).bitwiseAND(MAIN) > 0
-    kept = F.filter("lines", lambda _, k: (mark(k).bitwiseAND(SKIP) == 0) & ~advert(k) & (article(k) | ~(shared(k) | template(k))))
+    kept = F.filter("lines", lambda _, k: (mark(k).bitwiseAND(SKIP) == 0) & (article(k) | ~(shared(k) | template(k))))
     rows = rows.withColumn("text", F.array_join(kept, "\n\n")).withColumn("differenced", F.filter(free, shared)).withColumn("templated", F.filter(free, lambda k: template(k) & ~shared(k)))
     return rows.select(F.col("page").cast("long").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"), F.coalesce("partners", F.lit(0)).alias("partners"), "differenced", "templated")
 

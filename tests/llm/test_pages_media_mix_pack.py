@@ -1,3 +1,5 @@
+import random
+import re
 import struct
 import time
 import zlib
@@ -6,6 +8,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelflow.llm import op2_page_differencing as op2
 from parcelflow.llm import op6_vector_packing as op6
@@ -55,7 +58,7 @@ def test_pages(spark):
     for tasks in (1, 4):
         got = {r.page_id: r.text for r in extracted(spark, rows, tasks)}
         first = f"First & best story {long}"
-        assert got == {1: first, 6: first, 2: f"Second story\n\nends here {long}", 3: "T\n\nbold\n\ntwo", 4: "", 5: "", None: "alone", 7: "kept", 2**60 + 1: "no host"}
+        assert got == {1: first, 6: first, 2: f"Second story\n\nends here {long}", 3: "buy\n\nT\n\nbold\n\ntwo", 4: "", 5: "", None: "alone", 7: "kept", 2**60 + 1: "no host"}
     assert all(r.n_chars == len(r.text) for r in extracted(spark, rows)) and extracted(spark, [(1, None, None)])[0].text == ""
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert op2.main_text(empty).count() == 0
@@ -104,6 +107,80 @@ def test_lines_outside_an_article_are_differenced(spark):
     assert got == {k: [f"{name} text, first part", f"{name} text, second part", f"Read {name} as well", "Same teaser"] for k, name in enumerate(text)}
 
 
+def slow_texts(rows):
+    """The whole result by plain loops; lines, marks and places from the parser, shared lines from the alignment."""
+    parsed = [(k, url, op2.blocks(raw or "")) for k, url, raw in rows]
+    host_of = lambda url: (re.match(r"\w+://([^/?#:]+)", url or "") or [None, ""])[1].lower()
+    path_of = lambda url: (re.match(r"\w+://[^/?#]*([^?#]*)", url or "") or [None, ""])[1]
+    reps = {}
+    for _, url, (lines, marks, places) in parsed:
+        key = (host_of(url), tuple(lines), marks, tuple(places))
+        if lines:
+            reps[key] = min(reps.get(key, path_of(url)), path_of(url))
+    digest = {key: op2._lines_of(next(raw for (_, u, raw), p in zip(rows, parsed, strict=True) if (host_of(u), tuple(p[2][0]), p[2][1], tuple(p[2][2])) == key))[0] for key in reps}
+    votes, lines_at, hits_at = {}, defaultdict(list), defaultdict(list)
+    for key in reps:
+        host, lines, marks, places = key
+        order = sorted((k for k in reps if k[0] == host), key=lambda k: (reps[k], digest[k]))
+        at, count, partners = order.index(key), [0] * len(lines), 0
+        for other in (order[max(0, at - 4) : at] + order[at + 1 : at + 5]) if host else []:
+            shared = op2.common_lines([hash(x) for x in lines], [hash(x) for x in other[1]])
+            rest = lambda ls, same: sum(len(x.split()) for x in ls) - same
+            same = sum(len(lines[k].split()) for k in shared)
+            if rest(lines, same) < 20 and rest(other[1], same) < 20:
+                continue
+            partners += 1
+            for k in shared:
+                count[k] += 1
+        votes[key] = [c >= (1 if partners <= 2 else 2) for c in count]
+        free = {(places[k], lines[k]) for k in range(len(lines)) if not marks[k] & 3}
+        met = {(places[k], lines[k]) for k in range(len(lines)) if not marks[k] & 3 and count[k]}
+        for place, line in free:
+            lines_at[host, place].append(len(line.split()))
+        for place, line in met:
+            hits_at[host, place].append(len(line.split()))
+
+    def template(spots):
+        n, hits = [w for s in spots for w in lines_at[s]], [w for s in spots for w in hits_at.get(s, [])]
+        return len(hits) >= 2 and len(hits) * 200 >= len(n) and sum(hits) <= 20 * len(hits) and (sum(n) - sum(hits)) * len(hits) <= (2.5 * sum(hits) + len(hits)) * (len(n) - len(hits))
+
+    wide = defaultdict(list)
+    for spot in lines_at:
+        wide[spot[1]].append(spot)
+    found = {s for s in lines_at if template([s])} | {s for spots in wide.values() if len(spots) >= 3 and template(spots) for s in spots}
+    out = []
+    for k, url, (lines, marks, places) in parsed:
+        key = (host_of(url), tuple(lines), marks, tuple(places))
+        kept = [x for n, x in enumerate(lines) if not marks[n] & 2 and (marks[n] & 1 or not (votes[key][n] or (key[0], places[n]) in found))]
+        out.append((k, "\n\n".join(kept)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_whole_result_equals_plain_loops(spark, seed):
+    r = random.Random(seed)
+    pool = [" ".join(f"o{k}w{n}" for n in range(r.randrange(2, 9))) for k in range(25)]
+    own = lambda k, n: " ".join(f"t{k}x{r.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(120):
+        ad = f"<div class='{r.choice(['ad', 'promo'])}'>{r.choice(pool)}</div>"
+        menu = "<ul>" + "".join(f"<li>{x}" for x in r.sample(pool, 3)) + "</ul>"
+        text = "".join(f"<p>{own(k, r.randrange(5, 40))}</p>" for _ in range(r.randrange(1, 5)))
+        body = f"{menu}{ad}" + (f"<article>{text}{r.choice(pool)}</article>" if r.random() < 0.5 else f"<div>{text}</div>") + r.choice(["", "<p>All rights reserved</p>", "<footer>f</footer>"])
+        rows.append((k, f"http://h{r.randrange(4)}.org/{r.randrange(60)}", page(body)))
+    rows += [(500 + k, u, h) for k, (_, u, h) in enumerate(r.sample(rows, 10))] + [(600, None, rows[0][2]), (601, "http://h1.org/", None)]
+    got = sorted((x.page_id, x.text) for x in extracted(spark, rows, (None, 1, 5)[seed]))
+    assert got == slow_texts(rows)
+
+
+def test_without_partners_most_texts_keep_adverts(spark, monkeypatch):
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole = {x.page_id: x for x in op2.main_text(table).collect()}
+    alone = {x.page_id: x.text for x in op2.main_text(table.withColumn("url", F.concat(F.lit("http://p"), F.col("page_id"), F.lit(".org/")))).collect()}
+    worse = [k for k, x in whole.items() if len(alone[k]) > len(x.text)]
+    assert len(worse) > 0.9 * len(whole) and all(whole[k].templated or whole[k].differenced for k in worse)
+
+
 @pytest.mark.parametrize("n", [0, 1, 64, 121, 122, 1417, 1418, 100_000])
 def test_media_round_trip(n):
     payload = bytes(k * 7 % 251 for k in range(n))
