@@ -11,7 +11,7 @@ from parcelflow.functions import geo, text
 from parcelflow.operators import graph
 from parcelflow.sources.shared import staged
 
-AREA_STEP = math.log(1.25)
+AREA_STEP, PRICE_STEP = math.log(1.25), -math.log(1 - 0.03)
 SLIM = ("listing_id", "kind", "lat", "lon", "location_precision", "location_radius_km", "area_m2", "price", "city", "keys")
 
 
@@ -54,7 +54,8 @@ def matchable_pairs(forms: DataFrame) -> DataFrame:
     """Pairs (a_id < b_id) that the rules can still match: four blocked equi-joins over narrow rows.
 
     Located pairs meet in a grid as wide as the larger match radius of both and in area buckets of ratio 1.25; pairs with a
-    missing area only match within 150 m; unlocated ones need the same city, area and price; a shared key needs nothing.
+    missing area only match within 150 m; unlocated ones need the same city, area and price, so a town is dealt by buckets of
+    both; a shared key needs nothing.
     """
     slim = forms.select(*SLIM)
     radius = F.greatest(F.lit(2.0), F.coalesce("location_radius_km", F.lit(0.0)))
@@ -87,8 +88,10 @@ def matchable_pairs(forms: DataFrame) -> DataFrame:
     fine = gridded(located, 0.15)
     by_spot = _join(fine, fine.withColumn("y", geo.neighbours(F.col("y"))).withColumn("x", geo.neighbours(F.col("x"))), ["kind", "y", "x"],
                     (F.col("a.area_m2").isNull() | F.col("b.area_m2").isNull()) & (_dist() <= 0.15))
-    town = slim.where("city is not null and area_m2 > 0").withColumn("town", F.lower(F.trim("city"))).withColumn("size", bucket)
-    by_town = _join(town, town.withColumn("size", geo.neighbours(F.col("size"))), ["kind", "town", "size"],
+    town = slim.where("city is not null and area_m2 > 0 and price > 0").withColumn("town", F.lower(F.trim("city"))).withColumn("size", bucket)
+    town = town.withColumn("dear", F.floor(F.log("price") / PRICE_STEP))
+    asked = town.withColumn("size", geo.neighbours(F.col("size"))).withColumn("dear", geo.neighbours(F.col("dear")))
+    by_town = _join(town, asked, ["kind", "town", "size", "dear"],
                     ~(_located("a.") & _located("b.")) & areas & _within(F.col("a.price"), F.col("b.price"), 0.03))
     keyed = slim.withColumn("key", F.explode("keys"))
     by_key = _join(keyed, keyed, ["kind", "key"], F.lit(True))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from parcelflow.functions import text
 from parcelflow.operators import stats
-from parcelflow.sources import adapters, extract, landing, portals, sinks
+from parcelflow.sources import adapters, extract, landed, landing, portals, sinks
 from parcelflow.sources.fixtures import CUR_SQL, SOURCES, current
 from parcelflow.sources.shared import scratch, staged
+from parcelflow.streaming.pages import PageIntake
+from parcelflow.streaming.pages import run as run_pages
 
 QUERIES, ORACLES = {}, {}
 
@@ -176,6 +178,47 @@ def _all_pages(spark: SparkSession, d: str) -> DataFrame:
     return pages
 
 
+_PER_PAGE = "CASE source WHEN 'nieruchomosci_online' THEN 41 WHEN 'domiporta' THEN 36 WHEN 'gratka' THEN 35 WHEN 'morizon' THEN 35 END"
+
+
+@query(f"""WITH {CUR_SQL}, n AS (SELECT source, kind, CAST(source_id AS BIGINT) // 50 + 1 AS page, {_KEPT} AS kept, {_UNREAD} AS bad, source IN ('gratka', 'morizon') AND listing_id % 76 = 0 AS again FROM cur),
+p AS (SELECT source, kind, page, CASE WHEN source NOT IN ('olx', 'otodom') THEN count(*) END AS total, count(*) FILTER (WHERE kept) + count(*) FILTER (WHERE again) AS items, count(*) FILTER (WHERE kept AND bad) + count(*) FILTER (WHERE again) AS errors FROM n GROUP BY 1, 2, 3),
+t AS (SELECT *, CAST(greatest(1, CAST(ceil(total / {_PER_PAGE}) AS BIGINT)) AS INT) AS pages FROM p)
+SELECT source, kind, CAST(page AS INT) AS page, total, CASE WHEN total IS NOT NULL AND {_PER_PAGE} IS NOT NULL THEN pages END AS total_pages, CASE WHEN source = 'adresowo' THEN '/l2' END AS next, source = 'adresowo' OR coalesce(page < CASE WHEN {_PER_PAGE} IS NOT NULL THEN pages END, FALSE) AS has_more, items, errors FROM t""")
+def list_extents(spark: SparkSession, d: str) -> DataFrame:
+    """What each landed list page says of its list, its items and how many of them can't be read."""
+    path = scratch(spark, "landed")
+    landed.land(_all_pages(spark, d).withColumns({"location": F.lit("l"), "fetched_at": F.lit("2024-01-01").cast("timestamp_ntz")}), path)
+    pages, where = landed.read(spark, path), ["source", "kind", "location", "page"]
+    counts = adapters.normalise(pages).groupBy(*where).agg(F.count("*").alias("items"), F.count_if(F.col("source_id").isNull()).alias("errors"))
+    told = adapters.extents(pages).join(counts, where, "left").na.fill(0, ["items", "errors"])
+    return told.select("source", "kind", "page", "total", "total_pages", "next", "has_more", "items", "errors")
+
+
+_TAKEN = ("gratka", "morizon", "adresowo")
+
+
+@query(f"""WITH {CUR_SQL}, b AS (SELECT *, listing_id % 2 = 0 AS two, listing_id % 5 = 0 AS three, price + CASE WHEN listing_id % 2 = 0 AND listing_id % 3 = 0 THEN 1000 ELSE 0 END AS later FROM cur WHERE source IN {_TAKEN} AND NOT ({_UNREAD}))
+SELECT source, CASE WHEN source = 'adresowo' THEN {_ID} ELSE 'f' || {_ID} END AS source_id, kind, title, CASE WHEN three AND listing_id % 10 = 5 THEN NULL ELSE later END AS price, area_m2, '2024-01-01' AS first_seen, CASE WHEN three THEN '2024-01-03' WHEN two THEN '2024-01-02' ELSE '2024-01-01' END AS last_seen,
+  CASE WHEN price IS NULL THEN 0 WHEN two AND listing_id % 3 = 0 THEN 2 ELSE 1 END AS history_rows FROM b""")
+def landed_intake(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that land day by day, taken in by a stream that starts anew each day: the stored listings and their prices."""
+    path, intake, last = scratch(spark, "landed"), PageIntake(scratch(spark, "intake")), -1
+    k = F.col("listing_id")
+    cur = staged(current(spark, d).where(F.col("source").isin(*_TAKEN)))
+    later = cur.withColumn("price", F.col("price") + F.when((k % 2 == 0) & (k % 3 == 0), 1000).otherwise(0))
+    days = [cur, later.where(k % 2 == 0), later.where(k % 5 == 0).withColumn("price", F.when(k % 10 != 5, F.col("price")))]
+    for n, rows in enumerate(days):
+        for source in _TAKEN:
+            pages = landing.LANDED[source](rows.where(F.col("source") == source))
+            landed.land(pages.withColumns({"location": F.lit("l"), "fetched_at": F.lit(f"2024-01-0{n + 1}").cast("timestamp_ntz")}), path)
+        last = max(last, run_pages(spark, path, intake))
+    counts = intake.history(spark).groupBy("listing_id").agg(F.count("*").alias("history_rows"))
+    rows = intake.listings(spark, last).join(counts, "listing_id", "left")
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return rows.select("source", "source_id", "kind", "title", "price", "area_m2", day("first_seen_at").alias("first_seen"), day("last_seen_at").alias("last_seen"), F.coalesce("history_rows", F.lit(0)).alias("history_rows"))
+
+
 _SHAPES = """p AS (SELECT s_nationkey AS n, s_suppkey, CAST(50 AS DOUBLE) + (s_suppkey % 17) * CAST(0.01 AS DOUBLE) AS lat, CAST(20 AS DOUBLE) + (s_suppkey % 23) * CAST(0.01 AS DOUBLE) AS lon FROM supplier)"""
 
 

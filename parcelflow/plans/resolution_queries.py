@@ -133,8 +133,8 @@ def seller_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {FORMS_SQL} , k AS (SELECT listing_id, source, unnest(keys) AS ref FROM g) SELECT a.listing_id AS a_id, b.listing_id AS b_id, a.ref AS key FROM k a JOIN k b ON a.ref = b.ref AND a.listing_id < b.listing_id WHERE NOT (a.source = 'olx' AND b.source = 'gratka') AND NOT (a.source = 'gratka' AND b.source = 'olx')""")
 def identity_key_pairs(spark: SparkSession, d: str) -> DataFrame:
-    cur = staged(current(spark, d))
-    forms = staged(resolve.normal_forms(cur).join(cur.select("listing_id", "source"), "listing_id"))
+    keys = text.identity_keys(F.col("internal_id"), F.col("external_id"), F.col("offer_number"))
+    forms = staged(current(spark, d).select("listing_id", "source", keys.alias("keys")))
     pairs = blocking.shared_keys(forms)
     sides = forms.where("source in ('olx', 'gratka')").select("listing_id", "source", F.explode("keys").alias("key"))
     olx, gratka = sides.where("source = 'olx'"), sides.where("source = 'gratka'")
