@@ -194,6 +194,29 @@ def test_passages_survive_a_shorter_copy_between_them(spark):
     assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
 
 
+def test_stretches_are_the_same_however_the_table_is_cut(spark, docs):
+    near = []
+    for k in range(40):
+        passage = words(120, 40 + k // 8, 10**6).split()
+        own = [w if (k * 31 + j * 17) % 23 else f"x{k}y{j}" for j, w in enumerate(passage)] if k % 3 else passage
+        near.append((1000 + k, f"{words(30, 3000 + k, 10**6)} {' '.join(own)} {words(30, 4000 + k, 10**6)}"))
+    table = docs.select("doc_id", "text").unionAll(spark.createDataFrame(near, "doc_id long, text string"))
+    cuts = [sorted(map(tuple, op9.repeated_stretches(table.repartition(n)).collect())) for n in (1, 4, 16)]
+    assert cuts[0] == cuts[1] == cuts[2] and cuts[0]
+    pairs = op9.repeated_passages(table).collect()
+    covered, held = defaultdict(set), defaultdict(set)
+    for r in pairs:
+        covered[r.doc_id] |= set(range(r.start_word, r.end_word))
+    sizes = defaultdict(set)
+    for doc, start, end, group, size, partner in cuts[0]:
+        assert not held[doc] & set(range(start, end))
+        held[doc] |= set(range(start, end))
+        sizes[group, size].add(doc)
+        assert partner != doc and partner in covered
+    assert held == covered and all(len(d) == size and min(d) == group for (group, size), d in sizes.items())
+    assert op9.repeated_stretches(table.where("false")).count() == 0
+
+
 def near_pairs(texts, least=50):
     """Brute force: pairs of texts with stretches of equal length, ``least`` words or more, at a Jaccard of 0.8 or more."""
     sets = [[tuple(t[k : k + 5]) for k in range(len(t) - 4)] for t in (x.split() for x in texts)]
