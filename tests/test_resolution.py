@@ -279,3 +279,31 @@ def test_intake_leaves_every_listing_with_a_golden_record(spark):
     again = resolve.golden(pipeline.Intake._ready(rows))
     columns = [c for c in golden.columns if c not in ("links", "sources")]
     assert golden.select(columns).exceptAll(again.select(columns)).isEmpty() and golden.count() == again.count() < rows.count()
+
+
+def test_intake_observes_exclusions_pins_and_grace(spark):
+    from parcelflow.streaming.pipeline import Intake
+
+    schema = (
+        "listing_id long, source string, source_id string, kind string, title string, price long, lat double, lon double, location_precision string, location_radius_km double, area_m2 double, plot_area_m2 double, city string, "
+        "advertiser_name string, external_id string, is_active boolean, deactivated_at timestamp_ntz, last_seen_at timestamp_ntz, property_id long, needs_assignment boolean, seen boolean")
+    from datetime import datetime as at
+
+    now = at(2020, 12, 1)
+    base = ("s", "x", "plot", "Brzozowa Polana pod lasem", 100000, 52.0, 17.0, "exact", 0.0, 900.0, None, "C", None, None)
+
+    def assigned(held, new, **how):
+        rows = [(k, *base, off is None, off, now, p, False, False) for k, p, off in held] + [(k, *base, True, None, now, None, True, True) for k in new]
+        out = Intake("unused", (0.0, 0.0, 1.0, 1.0), **how)._assigned(spark.createDataFrame(rows, schema)).collect()
+        return {r.listing_id: r.property_id for r in out}, {r.listing_id for r in out if r.touched}
+
+    pairs = lambda *x: spark.createDataFrame(list(x), "a_id long, b_id long")
+    held = [(1, 11, None), (2, 11, None), (3, 12, None)]
+    assert assigned(held, [7])[0][7] == 11 and assigned(held, [7], exclusions=pairs((7, 1), (2, 7)))[0][7] == 12
+    assert assigned(held, [7], exclusions=pairs((1, 7), (2, 7), (3, 7)))[0][7] == 7
+    old, recent = at(2020, 6, 1), at(2020, 6, 10)
+    assert assigned([(1, 11, old), (2, 11, old), (3, 12, None)], [7])[0][7] == 12 and assigned([(1, 11, recent), (2, 11, recent), (3, 12, None)], [7])[0][7] == 11
+    assert assigned([], [7, 8, 9])[0] == {7: 7, 8: 7, 9: 7} and len(set(assigned([], [7, 8, 9], exclusions=pairs((7, 8)))[0].values())) == 2
+    pins = spark.createDataFrame([(2, "merge", 12, 1), (3, "split", None, 1), (7, "merge", 40, 2), (7, "merge", 41, 1)], "listing_id long, action string, property_id long, at long")
+    got, touched = assigned(held, [7, 8], overrides=pins)
+    assert (got[1], got[2], got[3], got[7]) == (11, 12, 3, 40) and touched == {2, 3, 7, 8} and got[8] in (3, 11, 12, 40)
