@@ -1,7 +1,6 @@
 """Points against lines and polygons.
 
-Lines and polygons are edge tables. Those of a region are small; the broadcast is left to Spark's size threshold, and the
-join is an inequality or grid join, never a driver loop.
+Lines and polygons are edge tables. Points meet them in grid joins; a broadcast is left to Spark's size threshold.
 """
 
 from __future__ import annotations
@@ -19,22 +18,54 @@ def level(metres: Column) -> Column:
     return F.when(metres <= ON_M, "on").when(metres <= NEAR_M, "near").otherwise("far")
 
 
-def nearest_lines(points: DataFrame, lines: DataFrame) -> DataFrame:
+FIRST_CELL_M, WIDER = 2_000.0, 4.0
+
+
+def _covered(axes: DataFrame, cell: float) -> DataFrame:
+    """(variant, gx, gy, axis): the cells that an axis passes, found piece by piece, and those around them."""
+    pieces = F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("axis.bx") - F.col("axis.ax")), F.abs(F.col("axis.by") - F.col("axis.ay"))) / cell)).cast("int")
+    cut = axes.withColumn("pieces", pieces).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    along = lambda c, k: F.col(f"axis.a{c}") + (F.col(f"axis.b{c}") - F.col(f"axis.a{c}")) * k / F.col("pieces")
+
+    def cells(c: str) -> Column:
+        ends = [F.floor(along(c, F.col("k") + e) / cell) for e in (0, 1)]
+        return F.sequence(F.least(*ends) - 1, F.greatest(*ends) + 1)
+
+    return cut.withColumn("gx", F.explode(cells("x"))).withColumn("gy", F.explode(cells("y"))).select("variant", "axis", "gx", "gy").distinct()
+
+
+def nearest_lines(points: DataFrame, lines: DataFrame, first_cell_m: float = FIRST_CELL_M) -> DataFrame:
     """(listing_id, variant, road, metres, level): the nearest axis of every variant, to the millimetre; ties by road.
 
-    The axes of a variant are folded into one array row, so a point meets as many rows as there are variants.
+    Points meet the axes of their grid cell and of those around it; an axis nearer than a cell is wide is the nearest of
+    all. Points without one look again in cells four times as wide, the last ones in cells that hold every axis. The names
+    of the variants, and their scales, are few and come to the driver.
     """
-    ends = lines.select("variant", F.col("a_lat").alias("lat")).unionAll(lines.select("variant", "b_lat"))
-    scale = ends.groupBy("variant").agg((F.lit(geo.M_A_DEGREE) * F.cos(F.radians(F.avg("lat")))).alias("kx"))
-    m = F.lit(geo.M_A_DEGREE)
-    axes = lines.join(scale, "variant").groupBy("variant", "kx").agg(F.collect_list(F.struct(
-        "road", "seg_no", (F.col("a_lon") * F.col("kx")).alias("ax"), (F.col("a_lat") * m).alias("ay"), (F.col("b_lon") * F.col("kx")).alias("bx"), (F.col("b_lat") * m).alias("by"))).alias("axes"))
-    located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon")
-    met = located.crossJoin(axes)  # one row a variant
-    each = F.transform("axes", lambda s: F.struct(
-        (F.floor(geo.segment_metres(F.col("lon") * F.col("kx"), F.col("lat") * m, s.ax, s.ay, s.bx, s.by) * 1000 + 0.5) / 1000).alias("metres"), s.road.alias("road"), s.seg_no.alias("seg_no")))
-    best = met.select("listing_id", "variant", F.array_min(each).alias("b"))
-    return best.select("listing_id", "variant", "b.road", "b.metres", level(F.col("b.metres")).alias("level"))
+    ends = lines.select("variant", F.col("a_lat").alias("lat"), F.col("a_lon").alias("lon")).unionAll(lines.select("variant", "b_lat", "b_lon"))
+    found = ends.groupBy("variant").agg((F.lit(geo.M_A_DEGREE) * F.cos(F.radians(F.avg("lat")))).alias("kx")).collect()
+    if not found:
+        return points.select("listing_id", F.lit("").alias("variant"), F.lit("").alias("road"), F.lit(0.0).alias("metres")).withColumn("level", level(F.col("metres"))).limit(0)
+    variants = F.array(*[F.struct(F.lit(r.variant).alias("variant"), F.lit(r.kx).alias("kx")) for r in sorted(found, key=lambda r: str(r.variant))])
+    scale, m = F.filter(variants, lambda v: v.variant.eqNullSafe(F.col("variant")))[0].kx, F.lit(geo.M_A_DEGREE)
+    axes = staged(lines.withColumn("kx", scale).select("variant", F.struct(
+        "road", "seg_no", (F.col("a_lon") * F.col("kx")).alias("ax"), (F.col("a_lat") * m).alias("ay"), (F.col("b_lon") * F.col("kx")).alias("bx"), (F.col("b_lat") * m).alias("by")).alias("axis")))
+    located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon", F.explode(variants).alias("v"))
+    left = staged(located.select("listing_id", "v.variant", (F.col("lon") * F.col("v.kx")).alias("px"), (F.col("lat") * m).alias("py")))
+    metres = F.floor(geo.segment_metres(F.col("px"), F.col("py"), F.col("axis.ax"), F.col("axis.ay"), F.col("axis.bx"), F.col("axis.by")) * 1000 + 0.5) / 1000
+    cell, out = first_cell_m, None
+    while not left.isEmpty():
+        last = cell > 80_000_000  # wider than the earth: every axis is in reach
+        grid = left.withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell))
+        near = grid.join(_covered(axes, cell), ["variant", "gx", "gy"]).select("listing_id", "variant", F.struct(metres.alias("metres"), F.col("axis.road").alias("road"), F.col("axis.seg_no").alias("seg_no")).alias("b"))
+        best = near.groupBy("listing_id", "variant").agg(F.min("b").alias("b"))
+        best = staged(best if last else best.where(F.col("b.metres") <= cell - 1))
+        out = best if out is None else out.unionAll(best)
+        if last:
+            break
+        left, cell = staged(left.join(best, ["listing_id", "variant"], "left_anti")), cell * WIDER
+    if out is None:
+        out = left.select("listing_id", "variant", F.struct(F.lit(0.0).alias("metres"), F.lit("").alias("road"), F.lit(0).alias("seg_no")).alias("b"))
+    return out.select("listing_id", "variant", "b.road", "b.metres", level(F.col("b.metres")).alias("level"))
 
 
 def nearest_first(near: DataFrame) -> DataFrame:

@@ -307,3 +307,32 @@ def test_intake_observes_exclusions_pins_and_grace(spark):
     pins = spark.createDataFrame([(2, "merge", 12, 1), (3, "split", None, 1), (7, "merge", 40, 2), (7, "merge", 41, 1)], "listing_id long, action string, property_id long, at long")
     got, touched = assigned(held, [7, 8], overrides=pins)
     assert (got[1], got[2], got[3], got[7]) == (11, 12, 3, 40) and touched == {2, 3, 7, 8} and got[8] in (3, 11, 12, 40)
+
+
+def test_nearest_lines_equal_the_scan(spark):
+    import math
+
+    r = random.Random(11)
+    lines = []
+    for variant in "AB":
+        for k in range(40):
+            lat, lon = 52 + r.random() * 2, 17 + r.random() * 2
+            far = r.choice([0.0005, 0.01, 0.8])
+            lines.append((variant, r.choice("xyz"), k, lat, lon, lat + (r.random() - 0.5) * far, lon + (r.random() - 0.5) * far))
+    lines += [("C", "one", 0, 10.0, 100.0, 10.0, 100.0), ("A", "w", 99, 53.0, 18.0, 53.0, 18.1), ("A", "v", 98, 53.0, 18.0, 53.0, 18.1)]
+    points = [(k, 52 + r.random() * 2, 17 + r.random() * 2) for k in range(150)] + [(900, 53.01, 18.05), (901, -60.0, -150.0), (902, None, 18.0), (903, 53.0, 18.05)]
+    kx = {v: 111320 * math.cos(math.radians(sum(x[3] + x[5] for x in lines if x[0] == v) / (2 * sum(x[0] == v for x in lines)))) for v in "ABC"}
+
+    def metres(p, s):
+        k = kx[s[0]]
+        px, py, ax, ay, bx, by = p[2] * k, p[1] * 111320, s[4] * k, s[3] * 111320, s[6] * k, s[5] * 111320
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = 0 if n == 0 else max(0, min(1, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / n))
+        return math.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    p = spark.createDataFrame(points, "listing_id long, lat double, lon double")
+    table = spark.createDataFrame(lines, "variant string, road string, seg_no int, a_lat double, a_lon double, b_lat double, b_lon double")
+    got = {(x.listing_id, x.variant): (x.metres, x.road) for x in spatial.nearest_lines(p, table).collect()}
+    want = {(q[0], v): min((metres(q, s), s[1]) for s in lines if s[0] == v) for q in points if q[1] is not None for v in "ABC"}
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) <= 0.0006 + 1e-9 * want[k][0] for k in want) and got[900, "A"][1] == got[903, "A"][1] == "v"
+    assert spatial.nearest_lines(p.limit(0), table).count() == spatial.nearest_lines(p, table.limit(0)).count() == 0
