@@ -84,19 +84,25 @@ def _crosses(lat: Column, lon: Column) -> Column:
     return ((F.col("a_lat") > lat) != (F.col("b_lat") > lat)) & (lon < (F.col("b_lon") - F.col("a_lon")) * (lat - F.col("a_lat")) / F.nullif(F.col("b_lat") - F.col("a_lat"), F.lit(0.0)) + F.col("a_lon"))
 
 
-CELL = 0.1  # degrees
+CELL, STRIP = 0.1, 0.01  # degrees
 
 
 def containing_units(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(listing_id, terc) of every ring that contains the point: points meet the rings whose boxes cover their cell."""
-    boxes = edges.groupBy("terc", "ring").agg(F.min("a_lat").alias("s"), F.max("a_lat").alias("n"), F.min("a_lon").alias("w"), F.max("a_lon").alias("e"),
-                                              F.collect_list(F.struct("a_lat", "a_lon", "b_lat", "b_lon")).alias("edges"))
+    """(listing_id, terc) of every ring that contains the point.
+
+    Points meet the rings whose boxes cover their cell, and of those rings the edges of their own latitude strip only; a
+    ray to the east crosses a ring that contains its point an odd number of times.
+    """
+    boxes = edges.groupBy("terc", "ring").agg(F.min("a_lat").alias("s"), F.max("a_lat").alias("n"), F.min("a_lon").alias("w"), F.max("a_lon").alias("e"))
     cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / CELL), F.floor(F.col(high) / CELL)))
     boxes = boxes.withColumn("y", cells("s", "n")).withColumn("x", cells("w", "e"))
     located = points.where("lat is not null and lon is not null").select("listing_id", "lat", "lon", F.floor(F.col("lat") / CELL).alias("y"), F.floor(F.col("lon") / CELL).alias("x"))
     met = located.join(boxes, ["y", "x"]).where(F.col("lat").between(F.col("s"), F.col("n")) & F.col("lon").between(F.col("w"), F.col("e")))
-    odd = F.size(F.filter("edges", lambda x: ((x.a_lat > F.col("lat")) != (x.b_lat > F.col("lat"))) & (F.col("lon") < (x.b_lon - x.a_lon) * (F.col("lat") - x.a_lat) / F.nullif(x.b_lat - x.a_lat, F.lit(0.0)) + x.a_lon))) % 2 == 1
-    return met.where(odd).select("listing_id", "terc")
+    met = met.select("listing_id", "lat", "lon", "terc", "ring", F.floor(F.col("lat") / STRIP).alias("strip"))
+    ends = [F.floor(F.col(c) / STRIP) for c in ("a_lat", "b_lat")]
+    strips = edges.where("a_lat <> b_lat").select("terc", "ring", "a_lat", "a_lon", "b_lat", "b_lon", F.explode(F.sequence(F.least(*ends), F.greatest(*ends))).alias("strip"))
+    crossed = met.join(strips, ["terc", "ring", "strip"]).groupBy("listing_id", "terc", "ring").agg(F.count_if(_crosses(F.col("lat"), F.col("lon"))).alias("n"))
+    return crossed.where("n % 2 = 1").select("listing_id", "terc")
 
 
 def nearest_centres(points: DataFrame, centres: DataFrame) -> DataFrame:

@@ -336,3 +336,29 @@ def test_nearest_lines_equal_the_scan(spark):
     want = {(q[0], v): min((metres(q, s), s[1]) for s in lines if s[0] == v) for q in points if q[1] is not None for v in "ABC"}
     assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) <= 0.0006 + 1e-9 * want[k][0] for k in want) and got[900, "A"][1] == got[903, "A"][1] == "v"
     assert spatial.nearest_lines(p.limit(0), table).count() == spatial.nearest_lines(p, table.limit(0)).count() == 0
+
+
+def test_rings_by_strips_equal_brute_force(spark):
+    import math
+
+    r = random.Random(13)
+    rings = []
+    for unit in range(12):
+        for ring in range(1 + unit % 2):
+            lat, lon, n = 52 + r.random(), 17 + r.random(), r.randrange(3, 25)
+            corners = [(lat + r.uniform(0.02, 0.3) * math.sin(2 * math.pi * k / n), lon + r.uniform(0.02, 0.3) * math.cos(2 * math.pi * k / n)) for k in range(n)]
+            rings.append((f"u{unit}", ring, corners))
+    rings.append(("square", 0, [(52.0, 17.0), (52.0, 17.5), (52.5, 17.5), (52.5, 17.0)]))
+    edges = [(t, g, k, *c[k], *c[(k + 1) % len(c)]) for t, g, c in rings for k in range(len(c))]
+    points = [(k, 51.7 + 1.6 * r.random(), 16.7 + 1.6 * r.random()) for k in range(400)] + [(900, None, 1.0), (901, 52.25, 17.25), (902, 52.5, 17.2)]
+
+    def inside(lat, lon, c):
+        cross = 0
+        for (a, x), (b, y) in zip(c, c[1:] + c[:1]):
+            cross += (a > lat) != (b > lat) and lon < (y - x) * (lat - a) / (b - a) + x
+        return cross % 2 == 1
+
+    want = sorted((k, t) for k, lat, lon in points if lat is not None for t, _, c in rings if inside(lat, lon, c))
+    table = spark.createDataFrame(edges, "terc string, ring int, edge int, a_lat double, a_lon double, b_lat double, b_lon double")
+    got = spatial.containing_units(spark.createDataFrame(points, "listing_id long, lat double, lon double"), table)
+    assert sorted(map(tuple, got.collect())) == want and len(want) > 50
