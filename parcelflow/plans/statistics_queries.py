@@ -9,6 +9,7 @@ from parcelflow.operators import spatial, stats
 from parcelflow.plans.space_queries import _DIST
 from parcelflow.sources.fixtures import CUR_SQL, SEGMENTS_SQL, SOURCES, current, segments
 from parcelflow.sources.shared import staged
+from parcelflow.streaming import ingest
 
 QUERIES, ORACLES = {}, {}
 
@@ -88,6 +89,12 @@ def request_rate_10min(spark: SparkSession, d: str) -> DataFrame:
     return stats.trailing_rate(_events(spark, d), limit=2)
 
 
+@query(ORACLES["request_rate_10min"])
+def stream_trailing_rate(spark: SparkSession, d: str) -> DataFrame:
+    """The exact trailing rate of every request as a stream; the rows of the batch query."""
+    return ingest.run_trailing(_events(spark, d), limit=2)
+
+
 @query(f"""WITH {_EVENTS}, g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY ts, event_id) AS island FROM e),
 s AS (SELECT *, row_number() OVER (PARTITION BY source, island ORDER BY ts, event_id) - CASE WHEN island > 0 THEN 1 ELSE 0 END AS streak FROM g)
 SELECT event_id, source, streak, least(360, CAST(45*pow(2, streak-1) AS BIGINT)) AS backoff_minutes FROM s WHERE failed""")

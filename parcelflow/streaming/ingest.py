@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from parcelflow.sources.fixtures import observations
@@ -75,3 +77,89 @@ def run_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spark.read.parquet(f"{base}/out")
     last = out.groupBy("window", "event_type").agg(F.max_by(F.struct("requests", "large"), "batch").alias("r"))
     return last.select(F.col("window.start").cast("timestamp_ntz").alias("window_start"), "event_type", "r.requests", "r.large")
+
+
+TRAILING = "event_id long, at long, recent long, oldest long"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _source_type(events: DataFrame) -> str:
+    return events.schema["source"].dataType.simpleString()
+
+
+class _Trailing(StatefulProcessor):
+    """Events of one source and slice, and those before it that its windows reach, as list state until the stream's time is
+    past the slice.
+
+    Times are whole microseconds. Every batch says anew how many events lie in the window behind each event of the slice
+    whose count its rows can have changed.
+    """
+
+    def __init__(self, width: int, length: int):
+        self.width, self.length = width, length
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "event_id long, at long, own boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        source, slice_ = key
+        new = pd.concat(rows)[["event_id", "at", "own"]]
+        known = pd.DataFrame(list(self.events.get()), columns=["event_id", "at", "own"])
+        self.events.appendList(list(new.itertuples(index=False, name=None)))
+        if known.empty:
+            self.handle.registerTimer((int(slice_) + 1) * self.length // 1000)
+        every = np.sort(np.concatenate([known["at"].to_numpy(np.int64), new["at"].to_numpy(np.int64)]))
+        own = pd.concat([known[known["own"].astype(bool)], new[new["own"].astype(bool)]])
+        own = own[own["at"] >= new["at"].min()]
+        at = own["at"].to_numpy(np.int64)
+        low = np.searchsorted(every, at - (self.width - 1))
+        yield pd.DataFrame({"source": source, "event_id": own["event_id"].to_numpy(np.int64), "at": at, "recent": np.searchsorted(every, at, "right") - low, "oldest": every[np.minimum(low, len(every) - 1)]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.events.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def trailing(events: DataFrame, minutes: int = 10, slice_minutes: int = 60, late: str = "10 minutes") -> DataFrame:
+    """A stream of (event_id, source, ts) to (source, event_id, at, recent, oldest): exact counts of the trailing minutes.
+
+    A source's log is cut into slices, so a busy source isn't one group; an event is also shown to the next slice if a
+    window there reaches it. Event ids are unique, and a later row of an event replaces the one before. Events over ``late``
+    behind the stream's time are dropped, as are events without a time.
+    """
+    width, length = minutes * 60_000_000, slice_minutes * 60_000_000
+    timed = events.where("ts is not null").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    first, last = F.floor(F.col("at") / length), F.floor((F.col("at") + (width - 1)) / length)
+    shown = timed.withColumn("slice", F.explode(F.sequence(first, last)))
+    shown = shown.select("source", "slice", "event_id", "at", (F.col("slice") == first).alias("own"), "ts")
+    return shown.groupBy("source", "slice").transformWithStateInPandas(_Trailing(width, length), f"source {_source_type(events)}, {TRAILING}", "Append", "EventTime")
+
+
+def run_trailing(events: DataFrame, limit: int, minutes: int = 10, parts: int = 3) -> DataFrame:
+    """(event_id, source, recent, over_limit, retry_at) of a log that lands part by part in time order and is read as it lands."""
+    spark = events.sparkSession
+    base, before = scratch(spark, "stream"), spark.conf.get(STORE)
+    log = events.select("event_id", "source", "ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = log.select(F.percentile_approx(micros, [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
+    landed = log.withColumn("part", sum([F.when(micros > c, 1).otherwise(0) for c in cuts], F.lit(0)))
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    spark.conf.set(STORE, ROCKS)  # list state and timers need this store
+    try:
+        for k in range(parts):
+            landed.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{base}/landed/{k}")
+            stream = trailing(spark.readStream.schema(log.schema).option("recursiveFileLookup", "true").parquet(f"{base}/landed"), minutes)
+            stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
+    last = spark.read.schema(f"source {_source_type(events)}, {TRAILING}, batch int").parquet(f"{base}/out").groupBy("source", "event_id").agg(F.max_by(F.struct("recent", "oldest"), "batch").alias("r"))
+    over = F.col("r.recent") > limit
+    return last.select("event_id", "source", "r.recent", over.alias("over_limit"), F.when(over, F.timestamp_micros(F.col("r.oldest") + F.lit(minutes * 60_000_000)).cast("timestamp_ntz")).alias("retry_at"))

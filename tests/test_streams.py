@@ -1,4 +1,4 @@
-"""The intake's tiles: same tables as without them, a batch stays in its own, and it can run again."""
+"""The intake in tiles: same tables as without them, a batch stays in its own and can run again; exact rates as a stream."""
 
 import math
 import os
@@ -84,3 +84,17 @@ def test_tiles_around_hold_the_box(spark):
     named = spark.createDataFrame([(1, 50.1, 17.1, "A"), (2, None, 17.1, "A"), (3, None, None, "a"), (4, 1.0, None, None)], "id long, lat double, lon double, city string")
     a, b, c, d = [x.tile for x in named.select("id", tiles.tile(F.col("id"))).orderBy("id").collect()]
     assert a == "g200_34" and b == c and d.startswith("n")
+
+
+def test_trailing_rate_as_a_stream_equals_the_batch(spark):
+    from parcelflow.operators import stats
+    from parcelflow.streaming import ingest
+
+    r, t0 = random.Random(9), datetime(2020, 3, 1, 10)
+    log = [(k, r.choice("aab"), t0 + timedelta(seconds=r.choice([0, 0.000001, 599.999999, 600]) + 60 * r.randrange(200))) for k in range(400)]
+    events = spark.createDataFrame(log, "event_id long, source string, ts timestamp_ntz")
+    before = spark.conf.get(ingest.STORE)
+    got = {tuple(x) for x in ingest.run_trailing(events, 5).collect()}
+    want = {tuple(x) for x in stats.trailing_rate(events, 5).collect()}
+    assert got == want and len(want) == 400 and any(x[3] for x in want) and not all(x[3] for x in want) and spark.conf.get(ingest.STORE) == before
+    assert ingest.run_trailing(events.limit(0), 5).count() == 0
