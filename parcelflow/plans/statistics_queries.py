@@ -65,7 +65,13 @@ def colocated(spark: SparkSession, d: str) -> DataFrame:
     return stats.colocated(current(spark, d)).select("listing_id", "members", "place")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CUR_SQL}, p AS (SELECT price FROM cur WHERE price IS NOT NULL), e(low, high) AS (VALUES (0, 100000), (100000, 200000), (200000, 300000), (300000, 500000), (500000, NULL)),
+b AS (SELECT CAST(low AS BIGINT) AS low, CAST(high AS BIGINT) AS high, count(price) AS n FROM e LEFT JOIN p ON price >= low AND (high IS NULL OR price < high) GROUP BY 1, 2
+  UNION ALL
+  SELECT h.low, h.high, count(price) FROM (SELECT CASE WHEN side = 0 THEN low ELSE middle END AS low, CASE WHEN side = 0 THEN middle ELSE high END AS high
+    FROM (SELECT *, CASE WHEN high IS NULL THEN greatest(2*low, low+1000000) ELSE (low+high)//2 END AS middle FROM b WHERE n > 950 AND (high IS NULL OR high-low >= 40000)) s, (VALUES (0), (1)) t(side)) h
+  LEFT JOIN p ON price >= h.low AND (h.high IS NULL OR price < h.high) GROUP BY 1, 2)
+SELECT low, high, n AS rows FROM b WHERE n <= 950 OR high-low < 40000""")
 def price_histogram_adaptive(spark: SparkSession, d: str) -> DataFrame:
     return stats.adaptive_histogram(current(spark, d).where("price is not null").select("price"), [0, 100000, 200000, 300000, 500000], most=950)
 
