@@ -263,13 +263,12 @@ def test_a_common_line_is_dealt_by_its_contexts(spark):
 
 
 def test_every_pair_of_a_large_group_is_looked_at(spark):
-    """Pairs that go beyond a line that 40 other texts hold by four words a side: no order makes them neighbours."""
+    """Pairs that share a line that 40 other texts hold, and 25 words after an edit beside it: no order makes them neighbours."""
     docs, want = [], set()
-    for k in range(6):
-        line, at = words(44, 20_000 + k, 10**6), 1000 * k
-        sides = [words(4, 21_000 + k, 10**6), words(4, 22_000 + k, 10**6)]
+    for k in range(8):
+        line, after, at = words(31, 20_000 + k, 10**6), words(25, 22_000 + k, 10**6), 1000 * k
         docs += [(at + i, f"{words(30, 30_000 + at + i, 10**6)} {line} {words(30, 40_000 + at + i, 10**6)}") for i in range(1, 41)]
-        docs += [(at + i, f"{words(30, 50_000 + at + i, 10**6)} {sides[0]} {line} {sides[1]} {words(30, 60_000 + at + i, 10**6)}") for i in (0, 41)]
+        docs += [(at + i, f"{words(30, 50_000 + at + i, 10**6)} {line} edit{i} {after} {words(30, 60_000 + at + i, 10**6)}") for i in (0, 41)]
         want.add((at, at + 41))
     got = op9.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
     assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
