@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from parcelflow.sources.shared import shared_dir, staged
 
-__all__ = ["SPLIT_OF_TEXT", "by_row", "by_text", "documents", "fold", "parts", "shared_dir", "spread_join", "staged", "unused"]
+__all__ = ["SPLIT_OF_TEXT", "by_row", "by_text", "documents", "fold", "parts", "shared_dir", "spread_join", "staged", "staged_alone", "unused"]
 
 SPLIT_OF_TEXT = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +24,17 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def staged_alone(df: DataFrame) -> DataFrame:
+    """``staged``, with the shuffle files of ``df`` dropped at once: nothing but the written table is read later."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return staged(df)
+    finally:
+        conf.set(key, before)
+
+
 def spread_join(rows: DataFrame, labels: DataFrame, key: str, salt_of: str, salts: int = 16) -> DataFrame:
     """``rows`` left-joined to ``labels`` (one row a key) where one key may hold a third of all rows.
 

@@ -274,6 +274,26 @@ def test_every_pair_of_a_large_group_is_looked_at(spark):
     assert {(min(r.doc_id, r.partner_id), max(r.doc_id, r.partner_id)) for r in got} == want
 
 
+def test_pairs_that_add_nothing_make_no_rows():
+    """30 windows whose longest common stretch leaves out a shared shingle: rows that connect documents, none a pair."""
+    import pyarrow as pa
+
+    n, width = 30, 2 * op9.AROUND + 1
+    around = np.tile(np.arange(width, dtype="<u4"), (n, 1))
+    for own in (*range(3, 8), *range(61, 66), *range(67, width)):
+        around[:, own] = 1000 * (own + 1) + np.arange(n)
+    bare = np.packbits(np.tile(np.arange(width) == 66, (n, 1)), axis=1)
+    for classes, want in ((np.zeros(n, int), 0), (np.arange(n), n - 1)):
+        columns = [[5] * n, [0] * n, [0] * n, range(n), [0] * n, classes, [0] * n, [x.tobytes() for x in around], [x.tobytes() for x in bare]]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        names = ["sig", "one", "two", "doc_id", "low", "class_id", "block", "around", "bare"]
+        batch = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+        for batches in ([batch], [batch.slice(0, 7), batch.slice(7)]):
+            got = [r for b in op9._compared(iter(batches)) for r in b.to_pylist()]
+            assert len(got) == want and all((r["a_start"], r["a_end"]) == (0, 65) and r["similarity"] > 0.8 for r in got)
+            assert want == 0 or set(components(range(n), [(r["a"], r["b"]) for r in got]).values()) == {0}
+
+
 BIG = 2**60 + 1
 
 
