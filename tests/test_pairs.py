@@ -2,7 +2,9 @@
 
 import random
 
-from parcelflow.operators import pairs, resolve
+from pyspark.sql import functions as F
+
+from parcelflow.operators import blocking, pairs, resolve
 
 from .test_listings import listings
 from .test_resolution import components
@@ -53,3 +55,25 @@ def test_sets_by_bits_and_one_by_one(monkeypatch):
     for most in (64, 0):
         monkeypatch.setattr(pairs, "MOST_WORDS", most)
         assert pairs._lists(pa.chunked_array([pa.array(rows, pa.list_(pa.string()))]))[0].shared(i, j).tolist() == want
+
+
+def test_capped_suspects_are_the_first_of_all(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(k, k // 3, r.choice("xyz"), r.choice(["plot", "house"]), r.choice([100_000, 104_000, 130_000]), r.choice([500.0, 530.0, 700.0]), 52.3 + r.random() * 0.06, 17.4 + r.random() * 0.06) for k in range(300)]
+    df = spark.createDataFrame(rows, "listing_id long, property_id long, source string, kind string, price long, area_m2 double, lat double, lon double")
+    every = {}
+    for x in blocking.suspects(df).collect():
+        every.setdefault(x.a_id, set()).add(x.b_id)
+        every.setdefault(x.b_id, set()).add(x.a_id)
+    want = {(a, b) for a, held in every.items() for b in sorted(held)[:3]}
+    for rows_at_once in (pairs.PAIRS_AT_ONCE, 100):
+        monkeypatch.setattr(pairs, "PAIRS_AT_ONCE", rows_at_once)
+        got = blocking.capped_suspects(df, 3).collect()
+        assert len(got) == len(want) > 300 and {(x.probe, x.candidate) for x in got} == want
+
+
+def test_suspects_are_decided_where_they_are_formed(spark):
+    held = mixed(spark, 8).withColumn("property_id", F.col("listing_id")).withColumn("source", (F.col("listing_id") % 4).cast("string"))
+    forms = resolve.normal_forms(held)
+    want = {r.reason: r["count"] for r in resolve.decisions(blocking.suspects(held).select("a_id", "b_id"), forms).groupBy("reason").count().collect()}
+    assert {r.reason: r.pairs for r in blocking.suspect_reasons(held, forms).collect()} == want and len(want) > 3
