@@ -77,3 +77,13 @@ def test_suspects_are_decided_where_they_are_formed(spark):
     forms = resolve.normal_forms(held)
     want = {r.reason: r["count"] for r in resolve.decisions(blocking.suspects(held).select("a_id", "b_id"), forms).groupBy("reason").count().collect()}
     assert {r.reason: r.pairs for r in blocking.suspect_reasons(held, forms).collect()} == want and len(want) > 3
+
+
+def test_candidates_are_counted_without_their_rows(spark):
+    forms = resolve.normal_forms(mixed(spark, 11).withColumn("lat", F.col("lat") + F.col("listing_id") % 5 * 0.06))
+    usable = forms.where("listing_id % 5 <> 0")
+    want = {}
+    for x in blocking.candidates(forms, usable).collect():
+        want.setdefault(x.probe, []).append(x.candidate)
+    got = {x.probe: tuple(x[1:]) for x in blocking.candidate_counts(forms, usable).collect()}
+    assert got == {k: (len(v), min(v), max(v)) for k, v in want.items()} and len({len(v) for v in want.values()}) > 5
